@@ -389,7 +389,7 @@ def open_sessions(sessions: DataFrame, manifests: DataFrame, timelines: DataFram
         F.col("events_object").alias("object"),
         F.col("ok").alias("timeline_ok"),
         F.col("error_class").alias("timeline_error"),
-        "last_seq",
+        F.col("last_seq").alias("end_seq"),
     )
     opened = (
         sessions.select("session_id")
@@ -408,13 +408,13 @@ def open_sessions(sessions: DataFrame, manifests: DataFrame, timelines: DataFram
         .when(~safe_object_path(F.col("object")), "unsafe_object")
         .when(F.col("timeline_ok").isNull(), "missing_object")
         .when(~F.col("timeline_ok"), F.concat(F.lit("timeline_"), F.col("timeline_error")))
-        .when(~F.col("last_seq").eqNullSafe(F.col("durable_seq")), "beyond_watermark")
+        .when(~F.col("end_seq").eqNullSafe(F.col("durable_seq")), "beyond_watermark")
         .otherwise("open")
     )
     return opened.select(
         "session_id",
         verdict.alias("verdict"),
-        F.when(verdict == "beyond_watermark", F.coalesce("last_seq", F.lit(0)).cast("bigint"))
+        F.when(verdict == "beyond_watermark", F.coalesce("end_seq", F.lit(0)).cast("bigint"))
         .alias("requested_seq"),
         "durable_seq",
     )

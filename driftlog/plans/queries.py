@@ -463,7 +463,9 @@ def debounce_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_rocksdb(spark)
     path = scratch_path(spark, "touches")
     rows = _touches(spark, sf_dir).select("session_id", "t_ms")
-    rows.repartitionByRange(3, "t_ms").sortWithinPartitions("t_ms").write.parquet(path)
+    # Three files in time order, one per trigger.
+    for part in range(1_793, 1_796):
+        rows.filter(F.expr(f"t_ms div (11 * 86400000) = {part}")).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     closed = run_available(debounce_stream(stream, recipes.RULE), "debounce")
     # Which trailing windows a watermark has passed depends on trigger timing.
@@ -703,7 +705,7 @@ def tree_comparison_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def store_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.growth(recipes.generations(spark, sf_dir))
+    return trees.growth(recipes.generations(spark, sf_dir)).withColumn("gen", F.col("gen").cast("bigint"))
 
 
 @query

@@ -57,7 +57,7 @@ class DebounceProcessor(StatefulProcessor):
             window[1] = max(window[1], t_ms)
             window[2] += count
         for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0])
+            self.handle.deleteTimer(timer)
         self.handle.registerTimer(self._deadline(window))
         self.state.update(tuple(window))
         yield self._rows(closed)
