@@ -87,27 +87,50 @@ def below(path: Column, prefix: Column) -> Column:
     return (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
 
 
+def recorded_paths(
+    paths: Column,
+    root: str | Column,
+    excluded: Sequence[str] = (),
+    ignores: Sequence[str] = ALWAYS_IGNORED,
+) -> Column:
+    """Paths of an array relative to ``root`` with ``/`` separators; those the
+    recording does not cover are left out.  Relative input is taken below
+    ``root``.
+
+    The steps are chained so that each one binds its result once: inside a
+    lambda Spark does not share repeated subexpressions.
+    """
+    top = F.lit(root.rstrip("/") or "/") if isinstance(root, str) else root
+    start = F.when(top == "/", top).otherwise(F.concat(top, F.lit("/")))
+
+    def absolute(path: Column) -> Column:
+        return F.when(path.startswith("/"), path).otherwise(F.concat(start, path))
+
+    def normal(path: Column) -> Column:
+        # Only unusual paths hold empty or "." components.
+        tidy = F.regexp_replace(F.regexp_replace(path, r"(/\.)+(?=/|$)", ""), r"/+", "/")
+        return F.when(path.rlike(r"//|/\.(/|$)|./$"), F.regexp_replace(tidy, r"(?<=.)/$", "")).otherwise(path)
+
+    def covered(path: Column) -> Column:
+        inside = path.startswith(start)
+        for prefix in excluded:
+            inside = inside & ~below(path, F.lit(prefix.rstrip("/")))
+        return inside
+
+    clean = F.filter(F.transform(F.transform(paths, absolute), normal), covered)
+    relative = F.transform(clean, lambda path: F.substr(path, F.length(start) + 1))
+    kept = F.filter(relative, lambda path: (path != "") & ~ignored(path, ignores))
+    return F.transform(kept, lambda path: F.replace(path, F.lit("\\"), F.lit("/")))
+
+
 def recorded_path(
     path: Column,
     root: str | Column,
     excluded: Sequence[str] = (),
     ignores: Sequence[str] = ALWAYS_IGNORED,
 ) -> Column:
-    """The path relative to ``root`` with ``/`` separators, or NULL when the
-    recording does not cover it.  Relative input is taken below ``root``."""
-    top = F.lit(root.rstrip("/") or "/") if isinstance(root, str) else root
-    absolute = F.when(path.startswith("/"), path).otherwise(F.concat(top, F.lit("/"), path))
-    clean = F.regexp_replace(F.regexp_replace(absolute, r"(/\.)+(?=/|$)", ""), r"/+", "/")
-    clean = F.regexp_replace(clean, r"(?<=.)/$", "")
-    hidden = F.lit(False)
-    for prefix in excluded:
-        hidden = hidden | below(clean, F.lit(prefix.rstrip("/")))
-    relative = F.substr(clean, F.length(top) + F.when(top == "/", 1).otherwise(2))
-    keep = ~hidden & clean.startswith(F.when(top == "/", top).otherwise(F.concat(top, F.lit("/"))))
-    return F.when(
-        keep & (relative != "") & ~ignored(relative, ignores),
-        F.replace(relative, F.lit("\\"), F.lit("/")),
-    )
+    """``recorded_paths`` for one path: NULL when it is not covered."""
+    return F.get(recorded_paths(F.array(path), root, excluded, ignores), F.lit(0))
 
 
 def bad_segment(key: Column) -> Column:

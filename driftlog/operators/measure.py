@@ -184,18 +184,22 @@ def _value_chunk(value: Column) -> Column:
     return (F.signum(value) * size).cast("bigint")
 
 
-def statistics(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Exact count, min, p50, p95, p99, max per key, linearly interpolated.
+def statistics(
+    values: DataFrame, keys: Sequence[str], value: str = "value", weight: str | None = None
+) -> DataFrame:
+    """Exact count, min, p50, p95, p99, max per key, linearly interpolated;
+    ``weight`` names a column of repeat counts.
 
     A key may hold most rows, so values are counted first, ranked by running
     counts over value chunks, and only the ranks asked for are kept.
     """
     number = F.col(value).cast("double")
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     counted = (
         values.filter(F.col(value).isNotNull())
-        .select(*keys, number.alias("_v"))
+        .select(*keys, number.alias("_v"), times.alias("_w"))
         .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
     )
     totals = counted.groupBy(*keys).agg(
         F.sum("_c").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max")
@@ -225,16 +229,31 @@ def statistics(values: DataFrame, keys: Sequence[str], value: str = "value") ->
 def summarize_latency(samples: DataFrame) -> DataFrame:
     """Statistics of every latency over all samples and by mode, with sample
     counts; ``scope`` is ``all`` or the mode."""
-    scoped = samples.withColumn("scope", F.explode(F.array(F.lit("all"), F.col("mode"))))
-    counts = scoped.groupBy("scope").agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.count_if(F.col("status") == "ok").alias("successful"),
-        F.count_if(F.col("status") != "ok").alias("failed"),
+    scopes = F.explode(F.array(F.lit("all"), F.col("mode"))).alias("scope")
+    counts = (
+        samples.groupBy("mode")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("status") == "ok").alias("ok"),
+        )
+        .select(scopes, "n", "ok")
+        .groupBy("scope")
+        .agg(
+            F.sum("n").alias("samples"),
+            F.sum("ok").alias("successful"),
+            (F.sum("n") - F.sum("ok")).alias("failed"),
+        )
     )
-    long = scoped.filter(F.col("status") == "ok").unpivot(
-        ["scope"], list(LATENCIES), "metric", "value"
+    # Values are counted per mode first; "all" adds up the counts.
+    counted = (
+        samples.filter(F.col("status") == "ok")
+        .unpivot(["mode"], list(LATENCIES), "metric", "value")
+        .filter(F.col("value").isNotNull())
+        .groupBy("mode", "metric", "value")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .select(scopes, "metric", "value", "times")
     )
-    return statistics(long, ["scope", "metric"]).join(counts, "scope").select(
+    return statistics(counted, ["scope", "metric"], weight="times").join(counts, "scope").select(
         "scope", "metric", "samples", "successful", "failed", "count", "min", "p50", "p95", "p99", "max"
     )
 

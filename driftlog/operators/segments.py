@@ -22,6 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Stands for "no value" in integer columns that pandas must keep exact.
+_NONE = -(1 << 63)
+
+
 def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Whole key groups from key-sorted Arrow batches, several per frame.
 
@@ -58,6 +62,11 @@ def _starts_of_groups(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+def _by_chunk(rows: DataFrame, order: str) -> DataFrame:
+    """Whole chunks per task, in order."""
+    return rows.repartition("session_id", "chunk").sortWithinPartitions("session_id", "chunk", order)
+
+
 def _chain_end(step: np.ndarray, stop: int) -> np.ndarray:
     """For every position, the last chain position before ``stop``."""
     here = np.arange(len(step))
@@ -180,20 +189,21 @@ def _time_fold(rule: Debounce):
 
 
 def _time_assign(rule: Debounce):
+    """Windows of the instants of each chunk; a chunk's first row holds the
+    window carried into it instead of an instant."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _groups(frames, ["session_id", "chunk"]):
             bounds = np.append(_starts_of_groups(frame, ["session_id", "chunk"]), len(frame))
             all_t, all_eff = frame["t_ms"].to_numpy(), frame["eff_ms"].to_numpy()
             all_epoch = frame["epoch"].to_numpy()
-            carried_in = frame["carried"]
             window = np.empty(len(frame), dtype="int64")
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
+            for lo, hi in zip(bounds[:-1] + 1, bounds[1:]):
+                carried = int(all_eff[lo - 1])
                 t, eff = all_t[lo:hi], all_eff[lo:hi]
                 step, forced = _time_steps(t, eff, all_epoch[lo:hi], rule)
-                carried = carried_in.iloc[lo]
                 position = 0
-                if not pd.isna(carried):
-                    carried = int(carried)
+                if carried != _NONE:
                     position = int(np.searchsorted(eff, carried + rule.max_delay_ms, side="left"))
                     forced_at = np.flatnonzero(forced)
                     if len(forced_at):
@@ -203,9 +213,10 @@ def _time_assign(rule: Debounce):
                     until = int(step[position])
                     window[lo + position : lo + until] = t[position]
                     position = until
-            yield pd.DataFrame(
+            out = pd.DataFrame(
                 {"session_id": frame["session_id"], "t_ms": all_t, "window_start": window}
             )
+            yield out[all_t != _NONE]
 
     return run
 
@@ -217,21 +228,30 @@ def debounce_instants(instants: DataFrame, rule: Debounce) -> DataFrame:
     fired before this instant is at most eff_ms; equals t_ms outside pauses)
     and epoch (changes where a command closes the open window).
     """
-    chunked = (
-        instants.withColumn("chunk", F.floor(F.col("t_ms") / rule.chunk_ms).cast("bigint"))
-        .repartition("session_id", "chunk")
-        .sortWithinPartitions("session_id", "chunk", "t_ms")
+    chunked = instants.select(
+        "session_id",
+        F.floor(F.col("t_ms") / rule.chunk_ms).cast("bigint").alias("chunk"),
+        "t_ms",
+        "eff_ms",
+        "epoch",
     )
-    edges = chunked.mapInPandas(_time_edges(rule), _TIME_EDGE_SCHEMA)
+    edges = _by_chunk(chunked, "t_ms").mapInPandas(_time_edges(rule), _TIME_EDGE_SCHEMA)
     entries = (
         edges.repartition("session_id")
         .sortWithinPartitions("session_id", "chunk")
         .mapInPandas(_time_fold(rule), "session_id string, chunk bigint, carried bigint")
     )
-    return (
-        chunked.join(entries, ["session_id", "chunk"])
-        .sortWithinPartitions("session_id", "chunk", "t_ms")
-        .mapInPandas(_time_assign(rule), "session_id string, t_ms bigint, window_start bigint")
+    # The carried window travels as the first row of its chunk.  A join would
+    # let skew handling split a chunk between tasks.
+    lead = entries.select(
+        "session_id",
+        "chunk",
+        F.lit(_NONE).alias("t_ms"),
+        F.coalesce("carried", F.lit(_NONE)).alias("eff_ms"),
+        F.lit(0).cast("bigint").alias("epoch"),
+    )
+    return _by_chunk(chunked.unionByName(lead), "t_ms").mapInPandas(
+        _time_assign(rule), "session_id string, t_ms bigint, window_start bigint"
     )
 
 
@@ -268,20 +288,17 @@ def _batch_edges(limit: BatchLimit):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _groups(frames, ["session_id", "chunk"]):
             bounds = np.append(_starts_of_groups(frame, ["session_id", "chunk"]), len(frame))
+            sessions, chunks, seqs = (frame[c].to_numpy() for c in ("session_id", "chunk", "seq"))
+            lengths, aheads = frame["len"].to_numpy(), frame["ahead"].to_numpy()
             rows = []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                part = frame.iloc[lo:hi]
-                seq = part["seq"].to_numpy()
-                own = int((~part["ahead"].to_numpy()).sum())
+                own = int((~aheads[lo:hi]).sum())
                 if own == 0:
                     continue
-                step = _batch_steps(part["len"].to_numpy(), limit)
+                step = _batch_steps(lengths[lo:hi], limit)
                 leave = step[_chain_end(step, own)]
                 count = min(own, limit.max_events)
-                rows.append(
-                    (part["session_id"].iloc[0], part["chunk"].iloc[0], seq[0],
-                     seq[0] + leave[:count])
-                )
+                rows.append((sessions[lo], chunks[lo], seqs[lo], seqs[lo] + leave[:count]))
             yield pd.DataFrame(rows, columns=["session_id", "chunk", "first_seq", "leaves"])
 
     return run
@@ -302,23 +319,28 @@ def _batch_fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _batch_assign(limit: BatchLimit):
+    """Batches that start in each chunk; a chunk's first row holds where the
+    first of them starts instead of an event."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _groups(frames, ["session_id", "chunk"]):
             bounds = np.append(_starts_of_groups(frame, ["session_id", "chunk"]), len(frame))
+            sessions, seqs = frame["session_id"].to_numpy(), frame["seq"].to_numpy()
+            lengths, aheads = frame["len"].to_numpy(), frame["ahead"].to_numpy()
             rows: list[tuple] = []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                part = frame.iloc[lo:hi]
-                seq = part["seq"].to_numpy()
-                length = part["len"].to_numpy()
-                own = int((~part["ahead"].to_numpy()).sum())
+                if seqs[lo] != _NONE:
+                    continue  # only the head of the next chunk
+                entry = lengths[lo]
+                seq, length = seqs[lo + 1 : hi], lengths[lo + 1 : hi]
+                own = int((~aheads[lo + 1 : hi]).sum())
                 step = _batch_steps(length, limit)
                 total = np.concatenate([[0], np.cumsum(length + 1)])
-                position = int(part["entry"].iloc[0] - seq[0])
-                session = part["session_id"].iloc[0]
+                position = int(entry - seq[0])
                 while position < own:
                     until = min(int(step[position]), len(seq))
                     rows.append(
-                        (session, seq[position], seq[until - 1], until - position,
+                        (sessions[lo], seq[position], seq[until - 1], until - position,
                          int(total[until] - total[position]) + 1)
                     )
                     position = until
@@ -343,13 +365,8 @@ def batch_bounds(events: DataFrame, limit: BatchLimit) -> DataFrame:
     heads = F.when(
         F.col("seq") % width < limit.max_events, F.array(chunk, chunk - 1)
     ).otherwise(F.array(chunk))
-    chunked = (
-        slim.withColumn("chunk", F.explode(heads))
-        .withColumn("ahead", F.col("chunk") < chunk)
-        .repartition("session_id", "chunk")
-        .sortWithinPartitions("session_id", "chunk", "seq")
-    )
-    edges = chunked.mapInPandas(
+    chunked = slim.withColumn("chunk", F.explode(heads)).withColumn("ahead", F.col("chunk") < chunk)
+    edges = _by_chunk(chunked, "seq").mapInPandas(
         _batch_edges(limit),
         "session_id string, chunk bigint, first_seq bigint, leaves array<bigint>",
     )
@@ -358,13 +375,16 @@ def batch_bounds(events: DataFrame, limit: BatchLimit) -> DataFrame:
         .sortWithinPartitions("session_id", "chunk")
         .mapInPandas(_batch_fold, "session_id string, chunk bigint, entry bigint")
     )
-    return (
-        chunked.join(entries, ["session_id", "chunk"])
-        .sortWithinPartitions("session_id", "chunk", "seq")
-        .mapInPandas(
-            _batch_assign(limit),
-            "session_id string, first_seq bigint, last_seq bigint, events bigint, bytes bigint",
-        )
+    lead = entries.select(
+        "session_id",
+        F.lit(_NONE).alias("seq"),
+        F.col("entry").alias("len"),
+        "chunk",
+        F.lit(False).alias("ahead"),
+    )
+    return _by_chunk(chunked.unionByName(lead), "seq").mapInPandas(
+        _batch_assign(limit),
+        "session_id string, first_seq bigint, last_seq bigint, events bigint, bytes bigint",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlog.functions.paths import ALWAYS_IGNORED, recorded_path
+from driftlog.functions.paths import ALWAYS_IGNORED, recorded_paths
 from driftlog.functions.values import operation_bit, operations_of, touch_operation
 from driftlog.operators.ordered import ordered_scan, smallest_per_group, time_chunk
 from driftlog.operators.segments import Debounce, debounce_instants
@@ -28,20 +28,18 @@ def observe(
 
     One row per kept notification, so ``count(*)`` is the raw event count.
     """
-    kept = F.filter(
-        F.transform("paths", lambda path: recorded_path(path, root, excluded, ignores)),
-        lambda path: path.isNotNull(),
-    )
-    return (
-        notifications.filter(F.col("error").isNull())
-        .select(
-            "session_id",
-            "notif_id",
-            "t_ms",
-            touch_operation(F.col("kind"), F.col("rename_mode")).alias("operation"),
-            kept.alias("paths"),
-        )
-        .filter(F.col("operation").isNotNull() & (F.size("paths") > 0))
+    kept = recorded_paths(F.col("paths"), root, excluded, ignores)
+    # A one-element explode evaluates the paths once and drops empty ones; a
+    # filter on their size would be pushed below and evaluate them again.
+    once = F.explode(F.filter(F.array(kept), lambda survivors: F.size(survivors) > 0))
+    return notifications.filter(
+        F.col("error").isNull() & ~F.col("kind").eqNullSafe(F.lit("access"))
+    ).select(
+        "session_id",
+        "notif_id",
+        "t_ms",
+        touch_operation(F.col("kind"), F.col("rename_mode")).alias("operation"),
+        once.alias("paths"),
     )
 
 

@@ -32,9 +32,14 @@ def write_timeline(lines: DataFrame, path: str, part_rows: int = 65_536) -> None
     many tasks.
     """
     part = F.lpad(seq_chunk("seq", part_rows).cast("string"), 12, "0")
+    spark = lines.sparkSession
+    # A fixed count keeps the writers parallel when the data is small.
+    writers = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
     (
         lines.withColumn("part", part)
-        .repartition("session_id", "part")
+        .repartition(writers, "session_id", "part")
         .sortWithinPartitions("session_id", "part", "seq")
         .select("session_id", "part", "value")
         .write.partitionBy("session_id", "part")
