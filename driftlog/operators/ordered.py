@@ -25,14 +25,14 @@ TIME_CHUNK_MS = 600_000
 _CHUNK = "_chunk"
 
 
-def seq_chunk(column: str | Column, width: int = SEQ_CHUNK) -> Column:
+def seq_chunk(column: str | Column, width: int | None = None) -> Column:
     """Chunk number of a contiguous counter."""
-    return F.floor(_col(column) / F.lit(width)).cast("bigint")
+    return F.floor(_col(column) / F.lit(width or SEQ_CHUNK)).cast("bigint")
 
 
-def time_chunk(column: str | Column, width_ms: int = TIME_CHUNK_MS) -> Column:
+def time_chunk(column: str | Column, width_ms: int | None = None) -> Column:
     """Chunk number of an epoch-millisecond column."""
-    return F.floor(_col(column) / F.lit(width_ms)).cast("bigint")
+    return F.floor(_col(column) / F.lit(width_ms or TIME_CHUNK_MS)).cast("bigint")
 
 
 def ordered_scan(

@@ -90,6 +90,7 @@ class Debounce:
 
     quiescence_ms: int = 1_500
     max_delay_ms: int = 10_000
+    chunk_width_ms: int | None = None
 
     def __post_init__(self) -> None:
         if self.quiescence_ms <= 0 or self.max_delay_ms <= 0:
@@ -99,7 +100,7 @@ class Debounce:
     def chunk_ms(self) -> int:
         """Several caps long, so few positions can be an entry; a chunk holds
         at most this many distinct milliseconds."""
-        return max(600_000, 8 * self.max_delay_ms)
+        return self.chunk_width_ms or max(600_000, 8 * self.max_delay_ms)
 
 
 def _time_steps(
@@ -267,6 +268,7 @@ class BatchLimit:
 
     max_events: int = 100
     max_bytes: int = 1 << 20
+    chunk_width: int | None = None
 
     def __post_init__(self) -> None:
         if self.max_events <= 0 or self.max_bytes <= 0:
@@ -274,7 +276,7 @@ class BatchLimit:
 
     @property
     def chunk_rows(self) -> int:
-        return max(65_536, 16 * self.max_events)
+        return max(self.chunk_width or max(65_536, 16 * self.max_events), self.max_events)
 
 
 def _batch_steps(length: np.ndarray, limit: BatchLimit) -> np.ndarray:
