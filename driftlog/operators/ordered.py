@@ -61,7 +61,8 @@ def ordered_scan(
     sums, prev, following = dict(sums or {}), dict(prev or {}), dict(following or {})
     last, upcoming = dict(last or {}), dict(upcoming or {})
     base = df.withColumn(_CHUNK, chunk)
-    order = F.struct(*[F.col(name) for name in by])
+    # A single number as order keeps the chunk aggregate hash-based.
+    order = F.col(by[0]) if len(by) == 1 else F.struct(*[F.col(name) for name in by])
 
     ascending = Window.partitionBy(*keys, _CHUNK).orderBy(*by)
     descending = Window.partitionBy(*keys, _CHUNK).orderBy(*[F.col(name).desc() for name in by])
@@ -76,12 +77,16 @@ def ordered_scan(
     for name, value in sums.items():
         local.append(F.sum(F.coalesce(value, F.lit(0))).over(running).alias(f"_sum_{name}"))
         totals.append(F.sum(F.coalesce(value, F.lit(0))).alias(f"_tot_{name}"))
+    if prev:
+        local.append((F.row_number().over(ascending) == 1).alias("_first_row"))
     for name, value in prev.items():
-        local.append(F.lag(F.struct(value.alias("v"))).over(ascending).alias(f"_prev_{name}"))
-        totals.append(F.max_by(F.struct(value.alias("v")), order).alias(f"_end_{name}"))
+        local.append(F.lag(value).over(ascending).alias(f"_prev_{name}"))
+        totals.append(F.max_by(value, order).alias(f"_end_{name}"))
+    if following:
+        local.append(F.lead(F.lit(True)).over(ascending).isNull().alias("_last_row"))
     for name, value in following.items():
-        local.append(F.lead(F.struct(value.alias("v"))).over(ascending).alias(f"_next_{name}"))
-        totals.append(F.min_by(F.struct(value.alias("v")), order).alias(f"_begin_{name}"))
+        local.append(F.lead(value).over(ascending).alias(f"_next_{name}"))
+        totals.append(F.min_by(value, order).alias(f"_begin_{name}"))
     for name, value in last.items():
         local.append(F.last(value, ignorenulls=True).over(running).alias(f"_last_{name}"))
         totals.append(
@@ -129,9 +134,13 @@ def ordered_scan(
     for name in sums:
         out.append((F.col(f"_sum_{name}") + F.col(f"_base_{name}")).alias(name))
     for name in prev:
-        out.append(F.coalesce(f"_prev_{name}", f"_carry_{name}")["v"].alias(name))
+        out.append(
+            F.when(F.col("_first_row"), F.col(f"_carry_{name}")).otherwise(F.col(f"_prev_{name}")).alias(name)
+        )
     for name in following:
-        out.append(F.coalesce(f"_next_{name}", f"_carry_{name}")["v"].alias(name))
+        out.append(
+            F.when(F.col("_last_row"), F.col(f"_carry_{name}")).otherwise(F.col(f"_next_{name}")).alias(name)
+        )
     for name in last:
         out.append(F.coalesce(f"_last_{name}", f"_carry_{name}").alias(name))
     for name in upcoming:

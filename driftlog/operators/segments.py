@@ -189,7 +189,7 @@ def _time_fold(rule: Debounce):
     return run
 
 
-def _time_assign(rule: Debounce):
+def _time_assign(rule: Debounce, extra: list[str]):
     """Windows of the instants of each chunk; a chunk's first row holds the
     window carried into it instead of an instant."""
 
@@ -217,25 +217,33 @@ def _time_assign(rule: Debounce):
             out = pd.DataFrame(
                 {"session_id": frame["session_id"], "t_ms": all_t, "window_start": window}
             )
+            for name in extra:
+                out[name] = frame[name]
             yield out[all_t != _NONE]
 
     return run
 
 
-def debounce_instants(instants: DataFrame, rule: Debounce) -> DataFrame:
+def debounce_instants(
+    instants: DataFrame, rule: Debounce, extra: tuple[str, ...] = ()
+) -> DataFrame:
     """Map each distinct (session_id, t_ms) to its window's start.
 
     ``instants`` has session_id, t_ms, eff_ms (the latest deadline that has
     fired before this instant is at most eff_ms; equals t_ms outside pauses)
-    and epoch (changes where a command closes the open window).
+    and epoch (changes where a command closes the open window).  The BIGINT
+    columns named in ``extra`` are passed on.
     """
+    absent = F.lit(_NONE)
     chunked = instants.select(
         "session_id",
         F.floor(F.col("t_ms") / rule.chunk_ms).cast("bigint").alias("chunk"),
         "t_ms",
         "eff_ms",
         "epoch",
+        *[F.coalesce(name, absent).alias(name) for name in extra],
     )
+    # Both passes read the same columns, so Spark shares the work below them.
     edges = _by_chunk(chunked, "t_ms").mapInPandas(_time_edges(rule), _TIME_EDGE_SCHEMA)
     entries = (
         edges.repartition("session_id")
@@ -247,12 +255,23 @@ def debounce_instants(instants: DataFrame, rule: Debounce) -> DataFrame:
     lead = entries.select(
         "session_id",
         "chunk",
-        F.lit(_NONE).alias("t_ms"),
-        F.coalesce("carried", F.lit(_NONE)).alias("eff_ms"),
+        absent.alias("t_ms"),
+        F.coalesce("carried", absent).alias("eff_ms"),
         F.lit(0).cast("bigint").alias("epoch"),
+        *[absent.alias(name) for name in extra],
     )
-    return _by_chunk(chunked.unionByName(lead), "t_ms").mapInPandas(
-        _time_assign(rule), "session_id string, t_ms bigint, window_start bigint"
+    schema = "session_id string, t_ms bigint, window_start bigint" + "".join(
+        f", {name} bigint" for name in extra
+    )
+    return (
+        _by_chunk(chunked.unionByName(lead), "t_ms")
+        .mapInPandas(_time_assign(rule, list(extra)), schema)
+        .select(
+            "session_id",
+            "t_ms",
+            "window_start",
+            *[F.nullif(F.col(name), absent).alias(name) for name in extra],
+        )
     )
 
 

@@ -96,7 +96,7 @@ def debounce(
         switches.select("session_id", "t_ms", "command_id", "command"),
         ["session_id"],
         ["t_ms", "command_id"],
-        time_chunk("t_ms"),
+        time_chunk("t_ms", rule.chunk_ms),
         prev={"before": F.col("command")},
     ).filter((F.col("command") == "pause") & ~F.col("before").eqNullSafe(F.lit("pause")))
 
@@ -122,7 +122,7 @@ def debounce(
         marks,
         ["session_id"],
         ["t_ms", "place", "command_id", "close"],
-        time_chunk("t_ms"),
+        time_chunk("t_ms", rule.chunk_ms),
         sums={"epoch": F.col("close").cast("bigint")},
         last={"pause_mark": F.when(F.col("pause"), F.col("t_ms")).when(~F.col("pause"), F.lit(-1))},
         upcoming={
@@ -141,8 +141,7 @@ def debounce(
         "next_pause",
         paused_from.alias("paused_from"),
     )
-    assigned = debounce_instants(prepared.select("session_id", "t_ms", "eff_ms", "epoch"), rule)
-    return assigned.join(prepared.drop("eff_ms", "epoch"), ["session_id", "t_ms"])
+    return debounce_instants(prepared, rule, ("next_close", "next_pause", "paused_from"))
 
 
 def window_bounds(assigned: DataFrame, rule: Debounce) -> DataFrame:
@@ -300,6 +299,7 @@ def assemble(
     windows: DataFrame,
     overflows: DataFrame,
     commands: DataFrame,
+    chunk_ms: int | None = None,
 ) -> DataFrame:
     """Events of all sessions in emission order with contiguous seq.
 
@@ -365,7 +365,7 @@ def assemble(
         events.withColumn("started", is_start),
         ["session_id"],
         ["started", "at_ms", "phase", "place", "step", "type"],
-        F.when(F.col("started") == 0, F.lit(-(1 << 40))).otherwise(time_chunk("at_ms")),
+        F.when(F.col("started") == 0, F.lit(-(1 << 40))).otherwise(time_chunk("at_ms", chunk_ms)),
         rank="seq",
         sums={"snapshots": (F.col("type") == "snapshot").cast("bigint")},
         last={"op": op},

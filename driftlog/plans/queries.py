@@ -112,7 +112,7 @@ def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .alias("value"),
     )
-    text.repartition("session_id").write.partitionBy("session_id").text(path)
+    text.repartition(spark.sparkContext.defaultParallelism, "session_id").write.partitionBy("session_id").text(path)
     return readers.read_manifests(spark, path).select(
         F.regexp_extract("file", "session_id=([^/]+)/", 1).alias("folder"),
         "parsed",
@@ -578,7 +578,7 @@ def assembled_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = (
         recipes.notifications(spark, sf_dir).groupBy("session_id").agg(F.min("t_ms").alias("opened_ms"))
     )
-    return windows.assemble(sessions, captures, reports, commands).select(
+    return windows.assemble(sessions, captures, reports, commands, recipes.RULE.chunk_ms).select(
         "session_id", "seq", "type", "at_ms", "detail", "raw_events", "snapshots"
     )
 
