@@ -103,18 +103,49 @@ class Debounce:
         return self.chunk_width_ms or max(600_000, 8 * self.max_delay_ms)
 
 
-def _time_steps(
-    t: np.ndarray, eff: np.ndarray, epoch: np.ndarray, rule: Debounce
-) -> tuple[np.ndarray, np.ndarray]:
-    """Next window start for every instant of one chunk, and forced starts."""
-    count = len(t)
-    forced = np.zeros(count, dtype=bool)
-    forced[1:] = (epoch[1:] != epoch[:-1]) | (t[:-1] + rule.quiescence_ms <= eff[1:])
-    positions = np.where(forced, np.arange(count), count)
-    nearest = np.minimum.accumulate(positions[::-1])[::-1]
-    forced_after = np.append(nearest[1:], count)
-    capped = np.searchsorted(eff, t + rule.max_delay_ms, side="left")
-    return np.minimum(forced_after, capped), forced
+class _Chunks:
+    """All chunks of a frame at once: next window starts and entry positions.
+
+    Positions of all chunks share one sorted key (chunk number, deadline), so
+    one binary search serves every chunk.
+    """
+
+    def __init__(self, frame: pd.DataFrame, rule: Debounce):
+        self.t, self.eff = frame["t_ms"].to_numpy(), frame["eff_ms"].to_numpy()
+        self.epoch, self.rule = frame["epoch"].to_numpy(), rule
+        count = len(frame)
+        self.low = _starts_of_groups(frame, ["session_id", "chunk"])
+        self.high = np.append(self.low[1:], count)
+        self.group = np.repeat(np.arange(len(self.low)), self.high - self.low)
+        self.floor = min(int(self.eff.min()), int(self.t.min()))
+        self.span = int(max(self.eff.max(), self.t.max())) + rule.max_delay_ms - self.floor + 2
+        self.key = self.group * self.span + (self.eff - self.floor)
+
+        gap = self.t[:-1] + rule.quiescence_ms <= self.eff[1:]
+        forced = np.zeros(count, dtype=bool)
+        forced[1:] = (self.epoch[1:] != self.epoch[:-1]) | gap
+        forced[self.low] = False
+        at = np.where(forced, np.arange(count), count)
+        nearest = np.append(np.minimum.accumulate(at[::-1])[::-1], count)
+        end = self.high[self.group]
+        self.first_forced = np.minimum(nearest[self.low], self.high)
+        capped = self.at_or_after(self.group, self.t + rule.max_delay_ms)
+        self.step = np.minimum(np.minimum(nearest[1:], capped), end)
+
+    def at_or_after(self, group: np.ndarray, deadline: np.ndarray) -> np.ndarray:
+        """First position of the chunk whose eff reaches the deadline."""
+        offset = np.clip(deadline - self.floor, 0, self.span - 1)
+        return np.searchsorted(self.key, group * self.span + offset, side="left")
+
+    def window_ends(self) -> np.ndarray:
+        """For every position, the last window start of its chain."""
+        here = np.arange(len(self.step))
+        jump = np.where(self.step >= self.high[self.group], here, self.step)
+        while True:
+            further = jump[jump]
+            if np.array_equal(further, jump):
+                return jump
+            jump = further
 
 
 _TIME_EDGE_SCHEMA = (
@@ -126,30 +157,27 @@ _TIME_EDGE_SCHEMA = (
 def _time_edges(rule: Debounce):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _groups(frames, ["session_id", "chunk"]):
-            bounds = np.append(_starts_of_groups(frame, ["session_id", "chunk"]), len(frame))
-            sessions, chunks = frame["session_id"].to_numpy(), frame["chunk"].to_numpy()
-            all_t, all_eff = frame["t_ms"].to_numpy(), frame["eff_ms"].to_numpy()
-            all_epoch = frame["epoch"].to_numpy()
-            rows = []
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                t, eff, epoch = all_t[lo:hi], all_eff[lo:hi], all_epoch[lo:hi]
-                step, forced = _time_steps(t, eff, epoch, rule)
-                end = t[_chain_end(step, len(t))]
-                forced_at = np.flatnonzero(forced)
-                reach = chunks[lo] * rule.chunk_ms + rule.max_delay_ms
-                entry_count = min(len(t), int(np.searchsorted(eff, reach, side="left")) + 1)
-                if len(forced_at):
-                    entry_count = min(entry_count, int(forced_at[0]))
-                rows.append(
-                    (
-                        sessions[lo], chunks[lo], t[0], eff[0], epoch[0], t[-1], epoch[-1],
-                        eff[:entry_count], end[:entry_count],
-                        int(end[forced_at[0]]) if len(forced_at) else None,
-                    )
-                )
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in _TIME_EDGE_SCHEMA.split(", ")])
-            out["forced_exit"] = out["forced_exit"].astype("Int64")
-            yield out
+            c = _Chunks(frame, rule)
+            sessions, chunks = frame["session_id"].to_numpy()[c.low], frame["chunk"].to_numpy()[c.low]
+            ends = c.t[c.window_ends()]
+            reach = c.at_or_after(np.arange(len(c.low)), chunks * rule.chunk_ms + rule.max_delay_ms)
+            stop = np.minimum(np.minimum(reach + 1, c.high), c.first_forced)
+            has_forced = c.first_forced < c.high
+            forced_exit = np.where(has_forced, ends[np.minimum(c.first_forced, len(ends) - 1)], 0)
+            yield pd.DataFrame(
+                {
+                    "session_id": sessions,
+                    "chunk": chunks,
+                    "first_t": c.t[c.low],
+                    "first_eff": c.eff[c.low],
+                    "first_epoch": c.epoch[c.low],
+                    "last_t": c.t[c.high - 1],
+                    "last_epoch": c.epoch[c.high - 1],
+                    "entries": [c.eff[a:b] for a, b in zip(c.low, stop)],
+                    "exits": [ends[a:b] for a, b in zip(c.low, stop)],
+                    "forced_exit": pd.array(forced_exit, dtype="Int64"),
+                }
+            ).assign(forced_exit=lambda out: out["forced_exit"].where(has_forced))
 
     return run
 
@@ -195,31 +223,32 @@ def _time_assign(rule: Debounce, extra: list[str]):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _groups(frames, ["session_id", "chunk"]):
-            bounds = np.append(_starts_of_groups(frame, ["session_id", "chunk"]), len(frame))
-            all_t, all_eff = frame["t_ms"].to_numpy(), frame["eff_ms"].to_numpy()
-            all_epoch = frame["epoch"].to_numpy()
-            window = np.empty(len(frame), dtype="int64")
-            for lo, hi in zip(bounds[:-1] + 1, bounds[1:]):
-                carried = int(all_eff[lo - 1])
-                t, eff = all_t[lo:hi], all_eff[lo:hi]
-                step, forced = _time_steps(t, eff, all_epoch[lo:hi], rule)
-                position = 0
-                if carried != _NONE:
-                    position = int(np.searchsorted(eff, carried + rule.max_delay_ms, side="left"))
-                    forced_at = np.flatnonzero(forced)
-                    if len(forced_at):
-                        position = min(position, int(forced_at[0]))
-                    window[lo : lo + position] = carried
-                while position < hi - lo:
-                    until = int(step[position])
-                    window[lo + position : lo + until] = t[position]
-                    position = until
-            out = pd.DataFrame(
-                {"session_id": frame["session_id"], "t_ms": all_t, "window_start": window}
+            is_lead = frame["t_ms"].to_numpy() == _NONE
+            carried = frame["eff_ms"].to_numpy()[is_lead]
+            frame = frame[~is_lead]
+            c = _Chunks(frame, rule)
+            known = carried != _NONE
+            due = np.where(known, carried, 0) + rule.max_delay_ms
+            entry = np.where(
+                known, np.minimum(c.at_or_after(np.arange(len(c.low)), due), c.first_forced), c.low
             )
+            step, is_start = c.step.tolist(), np.zeros(len(frame), dtype=bool)
+            starts: list[int] = []
+            for position, end in zip(entry.tolist(), c.high.tolist()):
+                while position < end:
+                    starts.append(position)
+                    position = step[position]
+            is_start[starts] = True
+            # Instants before a chunk's first start belong to the carried window.
+            value = np.where(is_start, c.t, carried[c.group])
+            known_at = is_start.copy()
+            known_at[c.low] = True
+            source = np.maximum.accumulate(np.where(known_at, np.arange(len(frame)), 0))
+            out = frame[["session_id", "t_ms"]].copy()
+            out["window_start"] = value[source]
             for name in extra:
                 out[name] = frame[name]
-            yield out[all_t != _NONE]
+            yield out
 
     return run
 
