@@ -278,6 +278,16 @@ def diff_operations(versions: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def diff(versions: DataFrame, requests: DataFrame, known: DataFrame) -> DataFrame:
+    """``diff_operations`` for requests by operation (session_id, before_op,
+    after_op); a request with an operation that is not in ``known``
+    (session_id, op, seq) yields no row."""
+    before = known.select("session_id", F.col("op").alias("before_op"), F.col("seq").alias("before_seq"))
+    after = known.select("session_id", F.col("op").alias("after_op"), F.col("seq").alias("after_seq"))
+    resolved = requests.join(before, ["session_id", "before_op"]).join(after, ["session_id", "after_op"])
+    return diff_operations(versions, resolved)
+
+
 def compare_trees(expected: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Missing, extra, changed and refused paths of a restored tree, and
     totals per session that also hold the equal ones."""

@@ -192,7 +192,7 @@ def _accepted_stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataF
 
 @query
 def durable_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publish a stream batch by batch, replay a batch, read what is visible."""
+    """Publish a stream batch by batch, then read what is visible."""
     stream, store = _accepted_stream(spark, sf_dir, "publication")
     run_batches(stream, store.publish, "publication")
     return store.visible()
@@ -469,12 +469,8 @@ def debounce_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     closed = run_available(debounce_stream(stream, recipes.RULE), "debounce")
     # Which trailing windows a watermark has passed depends on trigger timing.
-    newest = rows.agg(F.max("t_ms").alias("newest")).withColumn("k", F.lit(1))
-    return (
-        closed.withColumn("k", F.lit(1)).join(newest, "k")
-        .filter(F.col("closed_ms") + recipes.RULE.max_delay_ms < F.col("newest"))
-        .drop("k", "newest")
-    )
+    newest = rows.agg(F.max("t_ms")).first()[0]
+    return closed.filter(F.col("closed_ms") + recipes.RULE.max_delay_ms < newest)
 
 
 @query
@@ -682,11 +678,15 @@ def materialized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def operation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = recipes.generations(spark, sf_dir).select("session_id").distinct().select(
+    known = recipes.generations(spark, sf_dir).select("session_id", "gen").distinct().selectExpr(
+        "session_id", "concat('op:', cast(gen as string)) op", "cast(gen as bigint) seq"
+    )
+    asked = known.filter("seq in (1, 4)").selectExpr(
         "session_id",
-        F.inline(F.expr("array(struct(0L before_seq, 4L after_seq), struct(3L before_seq, 1L after_seq))")),
+        "case seq when 4 then 'op:0' else 'op:3' end before_op",
+        "op after_op",
     )
-    return trees.diff_operations(_history(spark, sf_dir), asked).select(
+    return trees.diff(_history(spark, sf_dir), asked, known).select(
         "session_id", "before_seq", "after_seq", "path", "before", "after"
     )
 
