@@ -20,11 +20,21 @@ from driftlog.schemas import (
 # --------------------------------------------------------------------------
 
 
-def parse_line(value: Column) -> Column:
-    """The JSON value of a line, or NULL when it is not exactly one value."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
-    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(single, F.try_variant_get(wrapped, "$[0]", "variant"))
+def with_event(lines: DataFrame) -> DataFrame:
+    """Add ``event``, the JSON value of a line, or NULL when the line is not
+    exactly one value.  The line is parsed once, as a one-element array: the
+    parser alone would ignore text after the first value."""
+    return (
+        lines.withColumn("_array", F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))))
+        .withColumn(
+            "event",
+            F.when(
+                F.try_variant_get("_array", "$[1]", "variant").isNull(),
+                F.try_variant_get("_array", "$[0]", "variant"),
+            ),
+        )
+        .drop("_array")
+    )
 
 
 def _kind(variant: Column, path: str) -> Column:
@@ -169,8 +179,7 @@ def _records(lines: DataFrame, whitespace_is_blank: bool) -> DataFrame:
         numbered = number_records(lines, blank)
     event = F.col("event")
     return (
-        numbered.filter(~F.col("blank"))
-        .withColumn("event", parse_line(F.col("value")))
+        with_event(numbered.filter(~F.col("blank")))
         .select(
             "file",
             "line_no",

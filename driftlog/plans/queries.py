@@ -270,9 +270,9 @@ def compatible_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def open_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = recipes.lines(spark, sf_dir)
-    ends = rows.groupBy("file").agg(
+    ends = validate.with_event(rows).groupBy("file").agg(
         F.max("conv_id").alias("conv_id"),
-        F.max(F.try_variant_get(validate.parse_line(F.col("value")), "$.seq", "bigint")).alias("last_seq"),
+        F.max(F.try_variant_get("event", "$.seq", "bigint")).alias("last_seq"),
     )
     timelines = validate.validate_timeline(rows.select("file", "line_no", "value")).join(ends, "file").selectExpr(
         "concat('c', cast(conv_id as string)) session_id",

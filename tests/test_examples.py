@@ -485,7 +485,7 @@ def test_numbering_survives_file_splits(spark):
 
 
 def test_typed_events_keep_meta_types(spark):
-    df = lines(spark, event(0, data={"label": "l", "meta": {"n": 3, "t": "x"}, "ref_op": "op:"})).withColumn(
-        "event", validate.parse_line(F.col("value"))).select("event")
+    df = validate.with_event(
+        lines(spark, event(0, data={"label": "l", "meta": {"n": 3, "t": "x"}, "ref_op": "op:"}))).select("event")
     got = timeline.typed(df).select("mark.label", F.schema_of_variant("mark.meta").alias("m"), "snapshot").first()
     assert (got.label, got.m, got.snapshot) == ("l", "OBJECT<n: BIGINT, t: STRING>", None)
