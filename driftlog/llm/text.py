@@ -119,12 +119,21 @@ def find_words(texts: Texts, spaces: np.ndarray = SPACES) -> Words:
     return Words(starts, ends, np.searchsorted(starts, texts.bounds).astype(np.int64))
 
 
+class Spans:
+    """Hashes of byte spans of one array, equal for equal bytes wherever they stand."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[data] * _power(_BASE, len(data)), out=self.sums[1:])
+        self.back = _power(_BASE_INVERSE, len(data) + 1)
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _power(_BASE, len(data)), out=sums[1:])
-    spans = (sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(data) + 1)[starts]
-    return mix(spans)
+    """64-bit hashes of byte spans."""
+    return Spans(data).hash(starts, ends)
 
 
 def windows(hashes: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
