@@ -1,24 +1,55 @@
 """From raw documents to token ids: the stages of a training-data pipeline.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlog.llm import minhash
+from driftlog.llm import bpe, minhash, mixing, quality, toxicity
 from driftlog.session import save_and_reload
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    ratios = quality.train(docs, _labels(spark, sf_dir).filter("quality = 1"))
+    return quality.keep_good(docs, ratios)
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return minhash.drop_near_duplicates(docs)
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights, in blocks of words."""
+    return mixing.mix_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text is encoded and decoded again; its digests are returned."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
     ("near_duplicates", near_duplicates),
+    ("source_mix", source_mix),
+    ("bpe", token_ids),
 ]
 
 # SQL has no form for the trained stages; tests/llm checks them by brute force.
