@@ -277,13 +277,14 @@ def mix_documents(
     same = size == F.col("_mix_size")
     for name, kind in keys.items():
         same = same & F.col(name).cast(kind).eqNullSafe(F.col(f"_mix_{name}"))
-    chosen = docs.join(shares, same).select(*docs.columns, "_mix_passes", "_mix_pieces")
+    columns = docs.columns
+    chosen = docs.join(shares, same).select(*columns, "_mix_passes", "_mix_pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             passes = np.asarray(part.column("_mix_passes"))
             pieces = part.column("_mix_pieces").to_pylist()
-            rest = part.select(docs.columns)
+            rest = part.select(columns)
             yield rest.take(pa.array(np.repeat(np.arange(len(passes)), passes)))
             some = [i for i, p in enumerate(pieces) if p]
             if some:
@@ -291,7 +292,7 @@ def mix_documents(
                 new = [_cut(texts.raw(i), pieces[i]) for i in some]
                 at = cut.schema.get_field_index("text")
                 cut = cut.set_column(at, cut.schema.field(at), pa.array(new, cut.schema.field(at).type))
-                if "n_chars" in docs.columns:
+                if "n_chars" in columns:
                     at = cut.schema.get_field_index("n_chars")
                     cut = cut.set_column(at, cut.schema.field(at), pa.array([len(t) for t in new], cut.schema.field(at).type))
                 yield cut
