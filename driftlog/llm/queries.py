@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlog.llm import bpe, minhash, mixing, quality, toxicity
+from driftlog.llm import bpe, minhash, mixing, quality, toxicity, warc
+from driftlog.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +56,31 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(warc.locate_records(spark, path), with_payload=False).drop("url")
+
+
+# Base32 of a digest in SQL: eight letters for every ten hexadecimal digits.
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((v >> {shift}) & 31 as integer), 1)"
+_EIGHT = " || ".join(_LETTER.format(shift=shift) for shift in range(35, -1, -5))
+ORACLES["op2_warc"] = f"""
+with named as (
+    select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages
+), firsts as (
+    select hex, min(page_id) as first_id from named group by hex
+), parts as (
+    select hex, k, cast('0x' || substr(hex, 10 * k + 1, 10) as bigint) as v
+    from firsts, range(4) t(k)
+), digests as (
+    select hex, string_agg({_EIGHT}, '' order by k) as payload_digest from parts group by hex
+)
+select n.page_id, strlen(n.html) as payload_bytes, d.payload_digest,
+    case when n.page_id = f.first_id then 'response' else 'revisit' end as record_type,
+    case when n.page_id = f.first_id then null else f.first_id end as refers_to
+from named n join firsts f using (hex) join digests d using (hex)
+"""
