@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlog.llm import bpe, minhash, mixing, quality, toxicity, warc
+from driftlog.llm import balltree, bpe, minhash, mixing, quality, toxicity, warc
 from driftlog.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,27 @@ select n.page_id, strlen(n.html) as payload_bytes, d.payload_digest,
     case when n.page_id = f.first_id then null else f.first_id end as refers_to
 from named n join firsts f using (hex) join digests d using (hex)
 """
+
+
+@query
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_top_k"] = """
+with usable as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id,
+        cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+    from usable q join usable c on q.vec_id % 50 = 0 and q.vec_id != c.vec_id and len(q.v) = len(c.v)
+), ranked as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+        vec_id, score
+    from scored
+)
+select * from ranked where rank <= 5
+"""
