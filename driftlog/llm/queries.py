@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlog.llm import balltree, bpe, minhash, mixing, quality, simple8b, toxicity, warc
+from driftlog.llm import balltree, bpe, licenses, minhash, mixing, quality, simple8b, toxicity, warc
 from driftlog.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,8 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     simple8b.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return simple8b.read_ids(simple8b.locate_files(spark, path), digest=True)
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("notices")
