@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlog.llm import balltree, bpe, licenses, minhash, mixing, quality, simple8b, toxicity, warc
+from driftlog.llm import balltree, bpe, licenses, lm, minhash, mixing, quality, simple8b, toxicity, warc
 from driftlog.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,8 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents")).drop("notices")
+
+
+@query
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
