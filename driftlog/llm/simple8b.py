@@ -37,7 +37,9 @@ CACHED_PIECES = 300_000
 #: Selector: (ids in a word, bits of an id).  Selector 0 is the escape.
 WIDTHS = [(1, 60), (1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1), (120, 0)]
 ESCAPE_BITS = 61
-_HEADER = struct.Struct("<8s5q")
+# Little-endian: magic, file number, documents, ids, words, escapes.
+_HEADER = "<8s5q"
+_HEADER_BYTES = struct.calcsize(_HEADER)
 _MAGIC = b"S8BIDS01"
 
 
@@ -164,7 +166,7 @@ def build_file(number: int, doc_ids: list[int | None], counts: np.ndarray, ids:
     """A file without its final line feed."""
     words, starts, escapes = pack(ids)
     parts = [
-        _HEADER.pack(_MAGIC, number, len(doc_ids), len(ids), len(words), len(escapes)),
+        struct.pack(_HEADER, _MAGIC, number, len(doc_ids), len(ids), len(words), len(escapes)),
         np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], np.uint8).tobytes(),
         counts.astype("<u4").tobytes(), starts.astype("<u4").tobytes(),
@@ -175,11 +177,11 @@ def build_file(number: int, doc_ids: list[int | None], counts: np.ndarray, ids:
 
 
 def parse_file(raw: bytes) -> IdFile:
-    magic, number, docs, total, n_words, n_escapes = _HEADER.unpack_from(raw)
+    magic, number, docs, total, n_words, n_escapes = struct.unpack_from(_HEADER, raw)
     body = raw[:-5]
     if magic != _MAGIC or raw[-1:] != b"\n" or struct.unpack("<I", raw[-5:-1])[0] != zlib.crc32(body):
         raise ValueError("not a sound token-id file")
-    at = _HEADER.size
+    at = _HEADER_BYTES
 
     def take(kind: str, count: int) -> np.ndarray:
         nonlocal at
@@ -351,7 +353,7 @@ def locate_files(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader()
         for batch in batches:
-            heads = [_HEADER.unpack(reader.read(p, 0, _HEADER.size)) for p in batch.column(0).to_pylist()]
+            heads = [struct.unpack(_HEADER, reader.read(p, 0, _HEADER_BYTES)) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([h[1] for h in heads]), pa.array([h[3] for h in heads])],
                 ["path", "length", "number", "ids"],
