@@ -91,11 +91,11 @@ def recorded_paths(
     paths: Column,
     root: str | Column,
     excluded: Sequence[str] = (),
-    ignores: Sequence[str] = ALWAYS_IGNORED,
+    ignores: Sequence[str] = (),
 ) -> Column:
     """Paths of an array relative to ``root`` with ``/`` separators; those the
     recording does not cover are left out.  Relative input is taken below
-    ``root``.
+    ``root``.  ``ignores`` are added to the fixed ones.
 
     The steps are chained so that each one binds its result once: inside a
     lambda Spark does not share repeated subexpressions.
@@ -119,7 +119,7 @@ def recorded_paths(
 
     clean = F.filter(F.transform(F.transform(paths, absolute), normal), covered)
     relative = F.transform(clean, lambda path: F.substr(path, F.length(start) + 1))
-    kept = F.filter(relative, lambda path: (path != "") & ~ignored(path, ignores))
+    kept = F.filter(relative, lambda path: (path != "") & ~ignored(path, ignore_list(ignores)))
     return F.transform(kept, lambda path: F.replace(path, F.lit("\\"), F.lit("/")))
 
 
@@ -127,7 +127,7 @@ def recorded_path(
     path: Column,
     root: str | Column,
     excluded: Sequence[str] = (),
-    ignores: Sequence[str] = ALWAYS_IGNORED,
+    ignores: Sequence[str] = (),
 ) -> Column:
     """``recorded_paths`` for one path: NULL when it is not covered."""
     return F.get(recorded_paths(F.array(path), root, excluded, ignores), F.lit(0))

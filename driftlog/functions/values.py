@@ -59,18 +59,19 @@ def change_kind(before: Column, after: Column) -> Column:
         .when(before.isNull(), "added")
         .when(after.isNull(), "removed")
         .when(same_content & ~both_files, F.lit(None).cast("string"))
-        .when(same_content & (before["executable"] == after["executable"]), F.lit(None).cast("string"))
+        .when(same_content & (before["executable"].eqNullSafe(after["executable"])), F.lit(None).cast("string"))
         .when(same_content & both_files, "mode_changed")
         .otherwise("modified")
     )
 
 
 def response_class(status: Column) -> Column:
-    """success, conflict, retry or permanent for an HTTP status."""
+    """success, conflict, retry or permanent for an HTTP status; a NULL status
+    is a request that got no answer and is tried again."""
     return (
         F.when(status.between(200, 299), "success")
         .when(status == 409, "conflict")
-        .when((status == 429) | status.between(500, 599), "retry")
+        .when(status.isNull() | (status == 429) | status.between(500, 599), "retry")
         .otherwise("permanent")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftlog.functions.values import clock_ns, rule_violations
 from driftlog.operators.ordered import attach_facts, first_per_group, ordered_scan, seq_chunk
 
+# Sample modes, latency names and the required numbers of a result.
 MODES = ("isolated", "burst", "continuous")
 LATENCIES = (
     "watcher_detection_wall_estimate",
@@ -21,6 +22,19 @@ LATENCIES = (
     "edit_completion_to_snapshot_receipt_monotonic",
     "edit_start_to_snapshot_receipt_monotonic",
 )
+PAIRED_NUMBERS = (
+    "off_workload_seconds",
+    "on_workload_seconds",
+    "off_baseline_setup_seconds",
+    "on_baseline_setup_seconds",
+    "recorder_baseline_seconds",
+    "flush_time_to_durable_seconds",
+    "cold_session_open_and_index_seconds",
+    "warm_index_op_to_tree_lookup_ns",
+    "materialization_seconds",
+    "events",
+    "materialized_files",
+)
 
 
 def summarize(timeline: DataFrame) -> DataFrame:
@@ -91,19 +105,21 @@ def overhead(runs: DataFrame) -> DataFrame:
 def check_paired(results: DataFrame, expected_mutations: int | None = None) -> DataFrame:
     """Broken rules of paired results, one row per rule.
 
-    ``results``: run_id, schema, off_mutations, on_mutations, the measured
-    numbers listed below, events and baseline_excluded.
+    ``results``: run_id, schema, off_mutations, on_mutations, the numbers in
+    ``PAIRED_NUMBERS`` and baseline_excluded.  A column that is absent breaks
+    its rule like a NULL.
     """
-    numbers = [name for name in results.columns if name.endswith(("_seconds", "_ns"))] + [
-        "events", "materialized_files",
-    ]
+    needed = ("schema", "off_mutations", "on_mutations", "baseline_excluded", *PAIRED_NUMBERS)
+    for name in needed:
+        if name not in results.columns:
+            results = results.withColumn(name, F.lit(None).cast("boolean" if name == "baseline_excluded" else "double"))
     checks = [
         ("schema", F.col("schema") == 1),
         ("equal_mutations", F.col("off_mutations").eqNullSafe(F.col("on_mutations"))),
     ]
     if expected_mutations is not None:
         checks.append(("expected_mutations", F.col("off_mutations") == expected_mutations))
-    checks += [(f"non_negative_{name}", F.col(name) >= 0) for name in numbers]
+    checks += [(f"non_negative_{name}", F.col(name) >= 0) for name in PAIRED_NUMBERS]
     checks += [
         ("has_events", F.col("events") >= 1),
         ("baseline_excluded", F.col("baseline_excluded")),
@@ -258,9 +274,14 @@ def summarize_latency(samples: DataFrame) -> DataFrame:
     )
 
 
-def check_latency(samples: DataFrame) -> DataFrame:
+def check_latency(samples: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """Broken rules of latency samples of each result (result_id): one row per
-    sample and rule, and one per result-level rule with a NULL sample."""
+    sample and rule, and one per result-level rule with a NULL sample.
+
+    ``summaries`` (result_id, failures, successful, failed) holds a row per
+    result; a result may report no failure, must have samples, and its counts
+    must be those of its samples.
+    """
     completion = F.col("edit_completion_to_snapshot_receipt_monotonic")
     per_sample = samples.select(
         "result_id",
@@ -296,7 +317,25 @@ def check_latency(samples: DataFrame) -> DataFrame:
         F.lit(None).cast(samples.schema["sample_id"].dataType).alias("sample_id"),
         F.explode(rule_violations([(f"missing_{mode}", F.col(mode)) for mode in MODES])).alias("rule"),
     )
-    return per_sample.unionByName(repeated).unionByName(missing)
+    broken = per_sample.unionByName(repeated).unionByName(missing)
+    if summaries is None:
+        return broken
+    counts = samples.groupBy("result_id").agg(F.count(F.lit(1)).alias("_n"))
+    judged = summaries.join(counts, "result_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rules = rule_violations(
+        [
+            ("failures", F.col("failures") == 0),
+            ("no_samples", F.col("_n") > 0),
+            ("summary_counts", (F.col("successful") == F.col("_n")) & (F.col("failed") == 0)),
+        ]
+    )
+    return broken.unionByName(
+        judged.select(
+            "result_id",
+            F.lit(None).cast(samples.schema["sample_id"].dataType).alias("sample_id"),
+            F.explode(rules).alias("rule"),
+        )
+    )
 
 
 def normalize_clocks(rows: DataFrame, column: str = "ts") -> tuple[DataFrame, DataFrame]:

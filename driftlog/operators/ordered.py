@@ -208,38 +208,3 @@ def smallest_per_group(
 
 def _col(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
-
-
-def attach_to_hot(
-    rows: DataFrame,
-    facts: DataFrame,
-    keys: Sequence[str],
-    spread: Column,
-    how: str = "left",
-    hot_keys: int = 1_000,
-    hot_rows: int = 100_000,
-    salts: int = 64,
-) -> DataFrame:
-    """Like ``attach_facts`` for wide ``facts`` that must not be repeated for
-    every key: only the most frequent keys of ``rows`` are spread.
-
-    At most ``hot_keys`` keys are broadcast; a key outside that list holds
-    less than one row in ``hot_keys``, so it fits one task.
-    """
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.col("_rows").desc(), *keys)
-        .limit(hot_keys)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt).drop("_hot")
-    repeated = (
-        facts.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -209,8 +209,9 @@ def retry_schedule(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataF
 
     ``attempts``: request_id, attempt (from 1), status, retry_after (seconds).
     The backoff doubles with every retry, also when a server's Retry-After
-    replaces it.  A request has at most ``max_retries`` + 1 attempts, which
-    bounds its window.
+    replaces it.  Attempts after the first ``max_retries`` + 1 have no wait and
+    are reported with ``over_limit``.  A request has few attempts, which bounds
+    its window.
     """
     kind = response_class(F.col("status"))
     backoff = F.least(
@@ -227,9 +228,9 @@ def retry_schedule(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataF
     ends = F.coalesce(
         F.max(F.col("wait_ms").isNull()).over(earlier), F.lit(False)
     )
+    over = F.col("attempt") > max_retries + 1
     return (
-        attempts.filter(F.col("attempt") <= max_retries + 1)
-        .withColumn("class", kind)
+        attempts.withColumn("class", kind)
         .withColumn("wait_ms", wait)
         .select(
             "request_id",
@@ -237,10 +238,11 @@ def retry_schedule(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataF
             "class",
             "wait_ms",
             F.coalesce(F.sum("wait_ms").over(earlier), F.lit(0)).alias("started_after_ms"),
-            ((F.col("class") == "retry") & (F.col("attempt") > max_retries)).alias("gave_up"),
+            ((F.col("class") == "retry") & (F.col("attempt") == max_retries + 1)).alias("gave_up"),
+            over.alias("over_limit"),
             ends.alias("after_end"),
         )
-        .filter(~F.col("after_end"))
+        .filter(~F.col("after_end") | F.col("over_limit"))
         .drop("after_end")
     )
 
@@ -385,21 +387,22 @@ def redact_log(log: DataFrame, secrets: DataFrame) -> DataFrame:
     )
 
 
-def normalized_prefix(prefix: str) -> str:
-    """A prefix of non-empty, ordinary segments, without outer slashes."""
-    clean = prefix.strip().strip("/")
-    if not clean or any(part in ("", ".", "..") for part in clean.split("/")):
-        raise ValueError("prefix must contain only non-empty path segments")
-    return clean
+def folder_of(prefix: str | Column) -> Column:
+    """A prefix as a folder name that ends in one slash; NULL when a segment
+    of it is empty, ``.`` or ``..``.  Outer blanks and slashes do not count."""
+    bare = F.btrim(F.btrim(F.lit(prefix) if isinstance(prefix, str) else prefix), F.lit("/"))
+    return F.when(~bad_segment(bare), F.concat(bare, F.lit("/")))
 
 
 def audit_listing(listing: DataFrame, prefix: str) -> DataFrame:
     """Broken rules of an object listing (key_name, size) under a prefix: one
-    row per key and rule with the number of listed objects."""
-    exact = normalized_prefix(prefix) + "/"
+    row per key and rule with the number of listed objects.  An unusable prefix
+    is the only row, as rule ``bad_prefix``."""
+    exact = folder_of(prefix)
     key = F.col("key_name")
-    relative = F.substring(key, len(exact) + 1, 1 << 30)
     inside = key.startswith(exact)
+    relative = F.substr(key, F.length(exact) + 1)
+    usable = listing.filter(exact.isNotNull())
     rules = rule_violations(
         [
             ("outside_prefix", inside),
@@ -408,11 +411,11 @@ def audit_listing(listing: DataFrame, prefix: str) -> DataFrame:
             ("unsafe_segment", ~(inside & bad_segment(F.regexp_replace(relative, "/$", "")))),
         ]
     )
-    per_row = listing.select("key_name", F.explode(rules).alias("rule")).groupBy("key_name", "rule").agg(
+    per_row = usable.select("key_name", F.explode(rules).alias("rule")).groupBy("key_name", "rule").agg(
         F.count(F.lit(1)).alias("objects")
     )
     repeated = (
-        listing.groupBy("key_name")
+        usable.groupBy("key_name")
         .agg(F.count(F.lit(1)).alias("objects"))
         .filter(F.col("objects") > 1)
         .select("key_name", F.lit("duplicate").alias("rule"), "objects")
@@ -421,15 +424,20 @@ def audit_listing(listing: DataFrame, prefix: str) -> DataFrame:
         listing.filter(inside)
         .agg(F.count(F.lit(1)).alias("objects"))
         .filter(F.col("objects") == 0)
-        .select(F.lit(exact).alias("key_name"), F.lit("empty").alias("rule"), "objects")
+        .select(
+            F.coalesce(exact, F.lit(prefix)).alias("key_name"),
+            F.when(exact.isNull(), "bad_prefix").otherwise("empty").alias("rule"),
+            "objects",
+        )
     )
     return per_row.unionByName(repeated).unionByName(empty)
 
 
 def listing_totals(listing: DataFrame, prefix: str) -> DataFrame:
-    """Objects and bytes of the sound part of a listing."""
-    exact = normalized_prefix(prefix) + "/"
-    return listing.filter(F.col("key_name").startswith(exact) & (F.col("size") >= 0)).agg(
+    """Objects and bytes of the keys that ``audit_listing`` has no rule for."""
+    exact = folder_of(prefix)
+    broken = audit_listing(listing, prefix).select("key_name").distinct()
+    return listing.filter(F.col("key_name").startswith(exact)).join(broken, "key_name", "left_anti").agg(
         F.count(F.lit(1)).alias("object_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("object_bytes")
     )
 
@@ -437,10 +445,8 @@ def listing_totals(listing: DataFrame, prefix: str) -> DataFrame:
 def sessions_in_listing(listing: DataFrame, prefix: str) -> DataFrame:
     """Objects and bytes per session below a parent prefix; the session is
     the single segment that follows the prefix."""
-    exact = normalized_prefix(prefix) + "/"
-    segment = F.split_part(
-        F.substring("key_name", len(exact) + 1, 1 << 30), F.lit("/"), F.lit(1)
-    )
+    exact = folder_of(prefix)
+    segment = F.split_part(F.substr(F.col("key_name"), F.length(exact) + 1), F.lit("/"), F.lit(1))
     return (
         listing.filter(F.col("key_name").startswith(exact))
         .withColumn("session_id", segment)
@@ -448,12 +454,3 @@ def sessions_in_listing(listing: DataFrame, prefix: str) -> DataFrame:
         .groupBy("session_id")
         .agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
     )
-
-
-def session_prefixes(sessions: Sequence[str], prefix: str) -> list[str]:
-    """Exact object prefixes of sessions; unsafe names are refused."""
-    parent = normalized_prefix(prefix)
-    for session in sessions:
-        if not session or "/" in session or session in (".", ".."):
-            raise ValueError("session id must be one non-empty path segment")
-    return [f"{parent}/{session}" for session in sessions]

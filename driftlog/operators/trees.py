@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.functions.values import CHANGE_KINDS, change_kind, valid_object_id
 from driftlog.operators.ordered import (
     attach_facts,
-    attach_to_hot,
     ordered_scan,
     seq_chunk,
     smallest_per_group,
 )
 
 MAX_CHANGES = 5_000
+POINTS = 4_096
 
 
 def _entry() -> Column:
@@ -214,29 +216,62 @@ def changes_between_generations(trees: DataFrame) -> DataFrame:
     )
 
 
+def _with_points(versions: DataFrame, requests: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Versions with the requests of their session as one sorted array each.
+
+    A session's distinct requests become arrays of at most ``POINTS`` structs,
+    so a version row meets few arrays instead of every request, and only the
+    matching requests are ever turned into rows.
+    """
+    asked = requests.select("session_id", *columns).distinct()
+    group = F.pmod(F.xxhash64(*columns), F.lit(1 << 20))
+    counted = asked.groupBy("session_id").agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("_groups"))
+    packed = (
+        asked.join(counted, "session_id")
+        .withColumn("_group", F.pmod(group, "_groups"))
+        .groupBy("session_id", "_group")
+        .agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_points"))
+        .select("session_id", "_points")
+    )
+    return versions.join(packed, "session_id")
+
+
 def tree_at(versions: DataFrame, requests: DataFrame) -> DataFrame:
     """Entries valid at each requested (session_id, at_seq)."""
-    asked = requests.select("session_id", "at_seq").distinct()
-    inside = (F.col("valid_from") <= F.col("at_seq")) & (
-        F.col("valid_to").isNull() | (F.col("at_seq") < F.col("valid_to"))
+    valid = F.filter(
+        "_points",
+        lambda p: (F.col("valid_from") <= p["at_seq"])
+        & (F.col("valid_to").isNull() | (p["at_seq"] < F.col("valid_to"))),
+    )
+    return (
+        _with_points(versions, requests, ["at_seq"])
+        .select(*versions.columns, F.explode(valid).alias("_point"))
+        .select(*versions.columns, "_point.at_seq")
     )
-    return attach_facts(versions, asked, ["session_id"], F.col("path"), how="inner").filter(inside)
 
 
 def materialize(versions: DataFrame, requests: DataFrame, known: DataFrame, blobs: DataFrame) -> DataFrame:
     """Files of each requested (session_id, op) with their content.
 
     ``known`` maps durable operations to sequence numbers (session_id, op,
-    seq); an unknown operation yields no row.  A content shared by very many
-    paths is spread over tasks.
+    seq).  A request for another operation is one row with the outcome
+    ``unknown_op`` and no path; files have the outcome ``ok``, or
+    ``missing_content`` when no blob holds theirs.  Both joins are plain, so
+    that adaptive execution splits a content shared by very many paths.
     """
-    at = requests.join(known, ["session_id", "op"]).select(
-        "session_id", "op", F.col("seq").alias("at_seq")
+    at = requests.join(known, ["session_id", "op"], "left").select("session_id", "op", F.col("seq").alias("at_seq"))
+    entries = tree_at(versions, at.filter("at_seq is not null")).join(at, ["session_id", "at_seq"])
+    files = entries.join(blobs.select("blob", "content"), "blob", "left").select(
+        "session_id",
+        "op",
+        F.when(F.col("content").isNull(), "missing_content").otherwise("ok").alias("outcome"),
+        "path",
+        "executable",
+        "bytes",
+        "content",
     )
-    entries = tree_at(versions, at).join(at, ["session_id", "at_seq"])
-    return attach_to_hot(
-        entries, blobs.select("blob", "content"), ["blob"], F.col("path"), how="inner"
-    ).select("session_id", "op", "path", "executable", "bytes", "content")
+    unknown = at.filter("at_seq is null").select("session_id", "op", F.lit("unknown_op").alias("outcome"))
+    return files.unionByName(unknown, allowMissingColumns=True)
 
 
 def diff_operations(versions: DataFrame, requests: DataFrame) -> DataFrame:
@@ -247,23 +282,27 @@ def diff_operations(versions: DataFrame, requests: DataFrame) -> DataFrame:
     unchanged paths are dropped before any shuffle by path.
     """
     asked = requests.select("session_id", "before_seq", "after_seq").distinct()
-    low, high = F.least("before_seq", "after_seq"), F.greatest("before_seq", "after_seq")
-    crossing = ((F.col("valid_from") > low) & (F.col("valid_from") <= high)) | (
-        (F.col("valid_to") > low) & (F.col("valid_to") <= high)
-    )
 
-    def alive(point: str) -> Column:
-        return (F.col("valid_from") <= F.col(point)) & (
-            F.col("valid_to").isNull() | (F.col(point) < F.col("valid_to"))
+    def alive(point: Column) -> Column:
+        return (F.col("valid_from") <= point) & (F.col("valid_to").isNull() | (point < F.col("valid_to")))
+
+    def differs(request: Column) -> Column:
+        one, two = request["before_seq"], request["after_seq"]
+        low, high = F.least(one, two), F.greatest(one, two)
+        crossing = ((F.col("valid_from") > low) & (F.col("valid_from") <= high)) | (
+            (F.col("valid_to") > low) & (F.col("valid_to") <= high)
         )
+        return crossing & (alive(one) | alive(two))
 
+    points = ["before_seq", "after_seq"]
     return (
-        attach_facts(versions, asked, ["session_id"], F.col("path"), how="inner")
-        .filter(crossing & (alive("before_seq") | alive("after_seq")))
+        _with_points(versions, asked, points)
+        .select(*versions.columns, F.explode(F.filter("_points", differs)).alias("_point"))
+        .select(*versions.columns, "_point.before_seq", "_point.after_seq")
         .groupBy("session_id", "before_seq", "after_seq", "path")
         .agg(
-            F.max(F.when(alive("before_seq"), _entry())).alias("old"),
-            F.max(F.when(alive("after_seq"), _entry())).alias("new"),
+            F.max(F.when(alive(F.col("before_seq")), _entry())).alias("old"),
+            F.max(F.when(alive(F.col("after_seq")), _entry())).alias("new"),
         )
         .filter(~F.col("old").eqNullSafe(F.col("new")))
         .select(
@@ -280,12 +319,18 @@ def diff_operations(versions: DataFrame, requests: DataFrame) -> DataFrame:
 
 def diff(versions: DataFrame, requests: DataFrame, known: DataFrame) -> DataFrame:
     """``diff_operations`` for requests by operation (session_id, before_op,
-    after_op); a request with an operation that is not in ``known``
-    (session_id, op, seq) yields no row."""
+    after_op), with the outcome ``ok``.  A request with an operation that is
+    not in ``known`` (session_id, op, seq) is one row with the outcome
+    ``unknown_op``, the sequence numbers that are known, and no path."""
     before = known.select("session_id", F.col("op").alias("before_op"), F.col("seq").alias("before_seq"))
     after = known.select("session_id", F.col("op").alias("after_op"), F.col("seq").alias("after_seq"))
-    resolved = requests.join(before, ["session_id", "before_op"]).join(after, ["session_id", "after_op"])
-    return diff_operations(versions, resolved)
+    resolved = requests.join(before, ["session_id", "before_op"], "left").join(after, ["session_id", "after_op"], "left")
+    both = F.col("before_seq").isNotNull() & F.col("after_seq").isNotNull()
+    changed = diff_operations(versions, resolved.filter(both)).withColumn("outcome", F.lit("ok"))
+    unknown = resolved.filter(~both).select(
+        "session_id", "before_seq", "after_seq", F.lit("unknown_op").alias("outcome")
+    )
+    return changed.unionByName(unknown, allowMissingColumns=True)
 
 
 def compare_trees(expected: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -243,9 +243,18 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
-def validate_timeline(lines: DataFrame) -> DataFrame:
+def _all_files(lines: DataFrame, files: DataFrame | None) -> DataFrame:
+    seen = lines.select("file")
+    return (seen if files is None else seen.union(files.select("file"))).distinct()
+
+
+def validate_timeline(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Reader verdict per file: JSON, then version, sequence, session; the
-    first failing line wins and blank lines are skipped but numbered."""
+    first failing line wins and blank lines are skipped but numbered.
+
+    ``files`` (file) lists all files; an empty one has no line, and is a valid
+    timeline without events.
+    """
     records = _with_first_session(_records(lines, whitespace_is_blank=True))
     ladder = [
         ("json", ~strict_event(F.col("event")), _none(), _none()),
@@ -255,7 +264,7 @@ def validate_timeline(lines: DataFrame) -> DataFrame:
         ("session", F.col("session_id") != F.col("first_session"), F.col("first_session"),
          F.col("session_id")),
     ]
-    files = lines.select("file").distinct()
+    files = _all_files(lines, files)
     return _verdicts(files, _failure(records, ladder, F.col("line_no")))
 
 
@@ -292,9 +301,10 @@ def validate_spool(lines: DataFrame, expected: DataFrame) -> DataFrame:
     return _verdicts(files, failures.unionByName(cut_short))
 
 
-def validate_records(lines: DataFrame) -> DataFrame:
+def validate_records(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Viewer verdict per file: all lines must parse before any record is
-    checked; records are numbered without blank lines, from one."""
+    checked; records are numbered without blank lines, from one.  ``files``
+    lists all files, so that empty ones have a verdict too."""
     records = _with_first_session(_records(lines, whitespace_is_blank=True))
     event = F.col("event")
     ladder = [
@@ -308,7 +318,7 @@ def validate_records(lines: DataFrame) -> DataFrame:
         ("session", F.col("session_id") != F.col("first_session"), F.col("first_session"),
          F.col("session_id")),
     ]
-    files = lines.select("file").distinct()
+    files = _all_files(lines, files)
     return _verdicts(files, _failure(records, ladder, F.col("rec_no") + 1, early=("json",)))
 
 

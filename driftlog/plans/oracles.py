@@ -428,7 +428,7 @@ _q("debounce_with_commands", "select * from bounds", _COMMANDED, True)
 _q("debounce_streamed", f"""select a.session_id, a.window_start, max(t_ms) as last_ms, least(a.window_start + {CAP}, max(t_ms) + {QUIET}) as closed_ms,
   sum(c)::bigint as raw_events
 from assigned a join (select session_id, t_ms, count(*) as c from touches group by 1, 2) using (session_id, t_ms)
-group by 1, 2 having least(a.window_start + {CAP}, max(t_ms) + {QUIET}) + {CAP} < (select max(t_ms) from touches)""",
+group by 1, 2""",
    WINDOWS.replace("union select session_id, t_ms from overs", ""), True)
 _ACTIVITY = f"""select session_id, window_start, count(*) as paths, sum(raw_events)::bigint as raw_events,
   min(first_ms) as started_ms, max(last_ms) as ended_ms, {op_list('flatten(list(ops))')} as operations from wpaths group by 1, 2"""
@@ -517,21 +517,17 @@ hist as (select session_id, path, min(gen) as valid_from, case when max(gen) < 4
   from runs group by session_id, path, blob, island)"""
 _q("path_history", "select * from hist", _HIST)
 _q("tree_as_of", "select session_id, gen as at_seq, path, blob, bytes from gens", GENS)
-_q("materialized_files", """select session_id, 'op:' || gen as op, path, bytes, sha256(body) as content_id from gens where gen in (1, 4)""", GENS)
-_q("operation_diff", """select session_id, b as before_seq, a as after_seq, path, o.blob as before, n.blob as after
-from (values (0, 4), (3, 1)) r(b, a), lateral (
-  select coalesce(x.session_id, y.session_id) as session_id, coalesce(x.path, y.path) as path, x.blob as xb, y.blob as yb
-  from (select * from gens where gen = b) x full join (select * from gens where gen = a) y
-  on x.session_id = y.session_id and x.path = y.path) d""".replace("o.blob as before, n.blob as after", "xb as before, yb as after")
-   + " where xb is distinct from yb", GENS)
-ORACLES["operation_diff"] = f"with {GENS},\n" + """pairs as (
-  select 0 as b, 4 as a, x.session_id as s1, y.session_id as s2, x.path as p1, y.path as p2, x.blob as xb, y.blob as yb
-  from (select * from gens where gen = 0) x full join (select * from gens where gen = 4) y on x.session_id = y.session_id and x.path = y.path
-  union all
-  select 3, 1, x.session_id, y.session_id, x.path, y.path, x.blob, y.blob
-  from (select * from gens where gen = 3) x full join (select * from gens where gen = 1) y on x.session_id = y.session_id and x.path = y.path)
-select coalesce(s1, s2) as session_id, b::bigint as before_seq, a::bigint as after_seq, coalesce(p1, p2) as path, xb as before, yb as after
-from pairs where xb is distinct from yb"""
+_q("materialized_files", """select session_id, 'op:' || gen as op, 'ok' as outcome, path, bytes, sha256(body) as content_id from gens
+union all select distinct session_id, 'op:unknown', 'unknown_op', null, null, null from gens where gen = 0""", GENS)
+_q("operation_diff", """select session_id, b::bigint as before_seq, a::bigint as after_seq, 'ok' as outcome, path, xb as before, yb as after from (
+  select coalesce(x.session_id, y.session_id) as session_id, coalesce(x.b, y.b) as b, coalesce(x.a, y.a) as a,
+    coalesce(x.path, y.path) as path, x.blob as xb, y.blob as yb
+  from (select g.*, r.* from gens g join asked r on g.gen = r.b) x
+  full join (select g.*, r.* from gens g join asked r on g.gen = r.a) y
+  on x.session_id = y.session_id and x.path = y.path and x.a = y.a and x.b = y.b)
+where xb is distinct from yb
+union all select distinct session_id, 0, null::bigint, 'unknown_op', null, null, null from gens where gen = 0""",
+   f"{GENS},\nasked(b, a) as (values (3, 1), (0, 2), (0, 3), (0, 4))")
 _COMPARED = f"""{TREES},
 pairs as (select session_id, path, b.blob as want, a.blob as got,
     case when a.blob is null then 'missing' when b.blob is null then 'extra' when a.blob = b.blob then 'equal' else 'changed' end as outcome
@@ -629,15 +625,14 @@ _q("response_classes", """select attempt_id, status, class, class = 'success' or
 from (select *, case when status between 200 and 299 then 'success' when status = 409 then 'conflict'
     when status = 429 or status between 500 and 599 then 'retry' else 'permanent' end as class from tries)""", ATTEMPTS)
 _q("retry_schedule", """select request_id, attempt, class, wait_ms, coalesce(started, 0)::bigint as started_after_ms,
-  class = 'retry' and attempt > 8 as gave_up
+  class = 'retry' and attempt = 9 as gave_up, attempt > 9 as over_limit
 from (select *, sum(wait_ms) over w as started, coalesce(bool_or(wait_ms is null) over w, false) as ended
   from (select request_id, attempt, class, case when class = 'retry' and attempt <= 8
       then coalesce(retry_after * 1000, least(50 * 2 ** (attempt - 1), 5000))::bigint end as wait_ms
     from (select o_orderkey // 11 as request_id, (o_orderkey % 11 + 1)::int as attempt,
-        case when o_custkey % 10 < 9 then 'retry' else 'success' end as class, case when o_custkey % 40 = 1 then 2 end as retry_after from orders)
-    where attempt <= 9)
+        case when o_custkey % 10 < 9 then 'retry' else 'success' end as class, case when o_custkey % 40 = 1 then 2 end as retry_after from orders))
   window w as (partition by request_id order by attempt rows between unbounded preceding and 1 preceding))
-where not ended""")
+where not ended or attempt > 9""")
 _q("acknowledgement_checks", """select session_id, last_seq, durable_seq, accepted as accepted_through_seq, durable as durable_through_seq,
   case when accepted is null then 'missing' when accepted < last_seq then 'short' when durable_seq is not null and durable is null then 'no_durable'
     when durable < durable_seq then 'durable_short' else 'ok' end as verdict
@@ -678,7 +673,7 @@ _q("listing_audit", """select key_name, rule, count(*) as objects from (
     when 3 then 'trailing_slash' when 4 then 'invalid_size' end as rule from listed) where rule is not null group by 1, 2
 union all select key_name, 'duplicate', count(*) from listed group by 1 having count(*) > 1""", _LISTING)
 _q("listing_totals", """select count(*) as object_count, sum(size)::bigint as object_bytes from listed
-where starts_with(key_name, 'rec/dev/') and size >= 0""", _LISTING)
+where fault not in (-1, 0, 1, 3, 4) and key_name in (select key_name from listed group by 1 having count(*) = 1)""", _LISTING)
 _q("listing_sessions", """select 's' || (page_id % 7) as session_id, count(*) as objects, sum(length(html))::bigint as bytes from pages
 where page_id % 10 <> 0 group by 1""")
 
@@ -701,7 +696,9 @@ from (select o_orderpriority || '-' || (o_custkey % 10) as run_id,
 _q("paired_result_rules", """select o_orderkey as run_id, unnest(list_filter([
   case when o_orderkey % 50 = 0 then 'schema' end, case when o_orderkey % 31 = 0 then 'equal_mutations' end,
   case when o_orderkey % 37 = 0 then 'non_negative_on_workload_seconds' end,
+  case when o_orderkey % 29 = 0 then 'non_negative_on_baseline_setup_seconds' end,
   case when o_totalprice < 1000 then 'non_negative_flush_time_to_durable_seconds' end,
+  'non_negative_warm_index_op_to_tree_lookup_ns',
   case when o_orderkey % 41 = 0 then 'has_events' end, case when o_orderkey % 43 = 0 then 'baseline_excluded' end], lambda x: x is not null)) as rule
 from orders""")
 _q("matched_edits", """select e.session_id, sample_id, e.path, case when s.snap is not null then f.seq end as touched_seq, s.snap as snapshot_seq,
@@ -767,7 +764,10 @@ _q("latency_result_rules", """select session_id as result_id, sample_id, unnest(
 union all select session_id, null, 'path_repeated' from (select session_id, path from changed group by 1, 2 having count(*) > 1) group by 1
 union all select session_id, null, unnest(list_filter([case when not bool_or(mode = 'isolated') then 'missing_isolated' end,
   case when not bool_or(mode = 'burst') then 'missing_burst' end, case when not bool_or(mode = 'continuous') then 'missing_continuous' end],
-  lambda x: x is not null)) from changed group by 1""", f"""{_SAMPLES},
+  lambda x: x is not null)) from changed group by 1
+union all select session_id, null, unnest(list_filter([case when n % 2 <> 0 then 'failures' end,
+  case when n % 3 = 0 or n % 5 = 0 then 'summary_counts' end], lambda x: x is not null)) from (select session_id, count(*) as n from changed group by 1)
+union all select 'none', null, 'no_samples'""", f"""{_SAMPLES},
 changed as (select session_id, sample_id, status, completion, touched_seq, case when sample_id % 101 = 0 then 'other' else mode end as mode,
     case when sample_id % 51 = 0 then '' when sample_id % 53 = 0 then 'same' else path end as path,
     case when sample_id % 59 = 0 then touched_seq else snapshot_seq end as snapshot_seq from metrics)""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,21 +30,28 @@ def build_session(master: str = "local[8]", app: str = "driftlog", **conf: str)
         )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if master.startswith("local"):
+        name_shared_root(spark)
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach: the cluster names it in
-    ``spark.checkpoint.dir``; only a local session without it falls back to a
-    fresh temporary folder."""
+    """The folder all executors can reach, named in ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fresh = tempfile.mkdtemp(prefix="driftlog-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    return named.rstrip("/")
+
+
+def name_shared_root(spark: SparkSession) -> str:
+    """``shared_root`` for entry points: a local session that names no folder
+    gets one of its own, which is deleted when the process ends."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        own = tempfile.mkdtemp(prefix="driftlog-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", own)
+    return shared_root(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

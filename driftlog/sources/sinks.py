@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.functions.values import event_object_name
-from driftlog.operators.ordered import attach_facts, seq_chunk
+from driftlog.operators.ordered import attach_facts, ordered_scan, seq_chunk
+from driftlog.session import save_and_reload
 
 
 def event_json(timeline: DataFrame) -> DataFrame:
@@ -61,61 +64,106 @@ def unpublished_objects(watermarks: DataFrame, published: DataFrame) -> DataFram
 class DurableStore:
     """Accepted events and their watermark as parquet below one folder.
 
-    Every publication writes its data first, in a folder named by its batch,
-    and its watermark last.  Readers only see events at or below the newest
-    watermark, so a failed attempt stays invisible and a replay of a batch
-    rewrites the same folders.
+    ``staged`` holds what writers sent, in a folder per writer and batch;
+    ``accepted`` the events of each session's gapless prefix, appended by one
+    committed job per publication; ``marks`` the watermark, written last.  The
+    watermark never passes a gap: later events stay staged until the missing
+    ones come.  Nothing accepted is ever rewritten: a replayed batch and a
+    second or restarted writer only add events that are not there yet.  One
+    writer publishes at a time.  Sequence numbers start at 0.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str, writer: str | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
+        # Batch numbers start again with a new checkpoint, writer names do not.
+        self.writer = writer or uuid.uuid4().hex
 
-    def _events(self, batch_id: int) -> str:
-        return f"{self.path}/events/batch={batch_id}"
-
-    def _marks(self, batch_id: int) -> str:
-        return f"{self.path}/watermarks/batch={batch_id}"
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{kind}")
+        except AnalysisException:
+            # Nothing was published so far.
+            return self.spark.createDataFrame([], schema)
 
     def publish(self, batch: DataFrame, batch_id: int) -> None:
         """Publish one batch; usable as a ``foreachBatch`` function."""
-        batch.write.mode("overwrite").parquet(self._events(batch_id))
-        written = self.spark.read.schema(self.schema).parquet(self._events(batch_id))
-        marks = written.groupBy("session_id").agg(F.max("seq").alias("durable_seq"))
-        marks.write.mode("overwrite").parquet(self._marks(batch_id))
+        batch.write.mode("overwrite").parquet(f"{self.path}/staged/{self.writer}/batch={batch_id}")
+        key = ["session_id", "seq"]
+        marks = self.watermarks()
+        waiting = (
+            self._read("staged", self.schema)
+            .join(marks, "session_id", "left")
+            .withColumn("next_seq", F.coalesce(F.col("durable_seq") + 1, F.lit(0)))
+            .filter(F.col("seq") >= F.col("next_seq"))
+            .drop("durable_seq")
+            .dropDuplicates(key)
+        )
+        waiting = save_and_reload(waiting, "waiting")
+        # In a gapless run the rank of an event is its distance from the start.
+        placed = ordered_scan(waiting.select(*key, "next_seq"), ["session_id"], ["seq"], seq_chunk("seq"), rank="rank")
+        prefix = save_and_reload(placed.filter(F.col("seq") == F.col("next_seq") + F.col("rank")).select(*key), "prefix")
+        # After a failure between the two writes, events may be accepted already.
+        done = self._read("accepted", self.schema).select(*key)
+        fresh = waiting.drop("next_seq").join(prefix, key, "left_semi").join(done, key, "left_anti")
+        fresh.write.mode("append").parquet(f"{self.path}/accepted")
+        reached = prefix.groupBy("session_id").agg(F.max("seq").alias("durable_seq"))
+        reached.write.mode("append").parquet(f"{self.path}/marks")
 
     def watermarks(self) -> DataFrame:
-        """Newest durable sequence per session."""
-        return (
-            self.spark.read.schema("session_id string, durable_seq bigint, batch bigint")
-            .parquet(f"{self.path}/watermarks")
-            .groupBy("session_id")
-            .agg(F.max("durable_seq").alias("durable_seq"))
-        )
+        """Newest durable sequence per session; all events up to it are there."""
+        marks = self._read("marks", "session_id string, durable_seq bigint")
+        return marks.groupBy("session_id").agg(F.max("durable_seq").alias("durable_seq"))
 
     def visible(self) -> DataFrame:
-        """Events behind the watermark, each (session_id, seq) once."""
-        stored = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(f"{self.path}/events")
-        complete = self.spark.read.schema("batch bigint").parquet(f"{self.path}/watermarks").distinct()
-        rest = [F.col(c) for c in stored.columns if c not in {"session_id", "seq", "batch"}]
-        newest = (
-            stored.join(complete, "batch", "left_semi")
-            .groupBy("session_id", "seq")
-            .agg(F.max_by(F.struct(*rest), "batch").alias("row"))
-            .select("session_id", "seq", "row.*")
-        )
+        """Events at or behind the watermark, each (session_id, seq) once."""
         return (
-            attach_facts(newest, self.watermarks(), ["session_id"], F.col("seq"), how="inner")
+            attach_facts(self._read("accepted", self.schema), self.watermarks(), ["session_id"], F.col("seq"), how="inner")
             .filter(F.col("seq") <= F.col("durable_seq"))
             .drop("durable_seq")
         )
 
     def live(self) -> DataFrame:
-        """Stream over accepted events only."""
-        return self.spark.readStream.schema(self.schema).option(
-            "recursiveFileLookup", "true"
-        ).parquet(f"{self.path}/events")
+        """Stream over accepted events, each (session_id, seq) once."""
+        return self.spark.readStream.schema(self.schema).parquet(f"{self.path}/accepted")
+
+    def write_objects(self) -> None:
+        """Write the immutable event object of every session's watermark that is
+        not there yet: ``objects/session_id=S/object=NAME`` in seq order."""
+        named = unpublished_objects(self.watermarks(), self.published())
+        events = attach_facts(self.visible(), named.select("session_id", "events_object"), ["session_id"], F.col("seq"), how="inner")
+        columns = [F.col(c) for c in self.spark.createDataFrame([], self.schema).columns]
+        lines = events.select(
+            "session_id", F.replace("events_object", F.lit("events/"), F.lit("")).alias("object"), "seq",
+            F.to_json(F.struct(*columns)).alias("value"),
+        )
+        chunk = F.lpad(seq_chunk("seq").cast("string"), 12, "0")
+        (
+            lines.withColumn("part", chunk)
+            .repartition("session_id", "object", "part")
+            .sortWithinPartitions("session_id", "object", "part", "seq")
+            .drop("seq")
+            .write.mode("append").partitionBy("session_id", "object", "part").text(f"{self.path}/objects")
+        )
+
+    def published(self) -> DataFrame:
+        """session_id and events_object of the objects that are there."""
+        found = list_files(self.spark, f"{self.path}/objects")
+        return found.select(
+            F.regexp_extract("path", "session_id=([^/]+)/", 1).alias("session_id"),
+            F.concat(F.lit("events/"), F.regexp_extract("path", "object=([^/]+)/", 1)).alias("events_object"),
+        ).distinct()
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files below a folder, empty ones too; their
+    content is not read.  A folder that is not there has none."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, length bigint")
+    return found.select("path", "length")
 
 
 def advance_cursor(acks: DataFrame, path: str) -> None:

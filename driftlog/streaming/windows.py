@@ -19,20 +19,24 @@ _STATE = "window_start bigint, last_ms bigint, raw_events bigint"
 class DebounceProcessor(StatefulProcessor):
     """One open window per session.
 
-    A row at or after the deadline closes the window and opens the next one;
-    an event-time timer closes it when nothing more comes.  A row older than
-    the open window joins it: a closed window is never reopened.
+    A row at or after the deadline closes the window and opens the next one; a
+    row with ``is_end`` closes the session's open window after the other rows
+    that came with it.  A row older than the open window joins it, and one that
+    finds none opens the next: a closed window is never reopened and no row is
+    lost.  With ``idle_ms`` a window also closes when no row came for so long.
     """
 
-    def __init__(self, rule: Debounce):
+    def __init__(self, rule: Debounce, idle_ms: int | None = None):
         self.rule = rule
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("window", _STATE)
 
-    def _deadline(self, window) -> int:
-        return min(window[0] + self.rule.max_delay_ms, window[1] + self.rule.quiescence_ms)
+    def _closed(self, session: str, window) -> tuple:
+        deadline = min(window[0] + self.rule.max_delay_ms, window[1] + self.rule.quiescence_ms)
+        return session, window[0], window[1], deadline, window[2]
 
     def _rows(self, closed) -> pd.DataFrame:
         return pd.DataFrame(closed, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
@@ -41,32 +45,40 @@ class DebounceProcessor(StatefulProcessor):
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
         # Rows are folded to counts per instant while they arrive.
-        counts = None
+        counts = pd.Series(dtype="float64")
+        ended = False
         for frame in rows:
-            part = frame.groupby("t_ms").size()
-            counts = part if counts is None else counts.add(part, fill_value=0)
+            ended = ended or bool(frame["is_end"].any())
+            counts = counts.add(frame[~frame["is_end"]].groupby("t_ms").size(), fill_value=0)
         window = list(self.state.get()) if self.state.exists() else None
         closed = []
         for t_ms, count in counts.sort_index().items():
             t_ms, count = int(t_ms), int(count)
-            if window is not None and t_ms >= self._deadline(window):
-                closed.append((key[0], window[0], window[1], self._deadline(window), window[2]))
+            if window is not None and t_ms >= self._closed(key[0], window)[3]:
+                closed.append(self._closed(key[0], window))
                 window = None
             if window is None:
                 window = [t_ms, t_ms, 0]
             window[1] = max(window[1], t_ms)
             window[2] += count
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(self._deadline(window))
-        self.state.update(tuple(window))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if window is not None and ended:
+            closed.append(self._closed(key[0], window))
+            window = None
+        if window is None:
+            self.state.clear()
+        else:
+            self.state.update(tuple(window))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield self._rows(closed)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         closed = []
         if self.state.exists():
-            window = self.state.get()
-            closed.append((key[0], window[0], window[1], self._deadline(window), window[2]))
+            closed.append(self._closed(key[0], self.state.get()))
             self.state.clear()
         yield self._rows(closed)
 
@@ -74,14 +86,16 @@ class DebounceProcessor(StatefulProcessor):
         pass
 
 
-def debounce_stream(touches: DataFrame, rule: Debounce = Debounce(), lateness: str = "0 seconds") -> DataFrame:
-    """Closed windows of a stream of kept notifications (session_id, t_ms)."""
-    timed = touches.select(
-        "session_id", "t_ms", F.timestamp_millis("t_ms").alias("event_time")
-    ).withWatermark("event_time", lateness)
-    return timed.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=DebounceProcessor(rule),
+def debounce_stream(touches: DataFrame, rule: Debounce = Debounce(), idle_ms: int | None = None) -> DataFrame:
+    """Closed windows of a stream of kept notifications (session_id, t_ms) and,
+    where a column ``is_end`` is true, ends of sessions.
+
+    There is no watermark, because rows behind one would be dropped.
+    """
+    end = F.coalesce("is_end", F.lit(False)) if "is_end" in touches.columns else F.lit(False)
+    return touches.select("session_id", "t_ms", end.alias("is_end")).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=DebounceProcessor(rule, idle_ms),
         outputStructType=_OUTPUT,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from driftlog.functions.paths import glob_regex, ignore_list, recorded_path
 from driftlog.functions.values import (
-    checkpoint_hex, clock_ns, event_object_name, response_class, touch_operation, valid_object_id,
+    change_kind, checkpoint_hex, clock_ns, event_object_name, response_class, touch_operation, valid_object_id,
 )
 from driftlog.operators import measure, publish, timeline, trees, validate, windows
 from driftlog.operators.segments import Debounce
-from driftlog.session import scratch_path, shared_root
+from driftlog.session import name_shared_root, scratch_path, shared_root
 from driftlog.sources import readers, sinks
+from driftlog.streaming.runs import run_available, use_rocksdb
+from driftlog.streaming.windows import debounce_stream
 
 
 def rows(df, *columns):
@@ -357,8 +359,9 @@ def test_retry_waits(spark):
                                "request_id bigint, attempt int, status int, retry_after int")
     got = publish.retry_schedule(df)
     first = got.filter("request_id = 1").orderBy("attempt").collect()
-    assert [r.wait_ms for r in first] == [50, 100, 2000, 400, 800, 1600, 3200, 5000, None]
-    assert first[-1].gave_up and first[-1].started_after_ms == 13_150
+    assert [r.wait_ms for r in first] == [50, 100, 2000, 400, 800, 1600, 3200, 5000, None, None, None]
+    assert first[8].gave_up and first[8].started_after_ms == 13_150
+    assert [r.over_limit for r in first] == [False] * 9 + [True] * 2
     assert rows(got.filter("request_id = 2"), "attempt", "class") == [(1, "retry"), (2, "success")]
 
 
@@ -386,11 +389,9 @@ def test_listing_rules(spark):
         ("p/s/z", "duplicate"), ("q/x", "outside_prefix")]
     assert rows(publish.audit_listing(bad.filter("key_name = 'q/x'"), "p/s"), "rule") == [("empty",), ("outside_prefix",)]
     for prefix in ("", "/", "a//b", "a/../b", "."):
-        with pytest.raises(ValueError):
-            publish.normalized_prefix(prefix)
-    assert publish.session_prefixes(["s"], "/a/") == ["a/s"]
-    with pytest.raises(ValueError):
-        publish.session_prefixes(["a/b"], "p")
+        assert rows(publish.audit_listing(bad, prefix), "key_name", "rule") == [(prefix, "bad_prefix")]
+    # Only the keys without a broken rule count.
+    assert rows(publish.listing_totals(bad, "p/s"), "object_count", "object_bytes") == [(0, 0)]
 
 
 def test_sync_actions(spark):
@@ -407,20 +408,93 @@ def test_sync_actions(spark):
     assert rows(publish.sync_stats(publish.sync_plan(src, dst)), "files_linked", "files_reused", "bytes_copied") == [(1, 2, 9)]
 
 
-def test_publication_is_idempotent(spark):
-    store = sinks.DurableStore(spark, scratch_path(spark, "store"), "session_id string, seq bigint, body string")
-    def batch(*seqs):
-        return spark.createDataFrame([("s", q, f"b{q}") for q in seqs], store.schema)
-    store.publish(batch(0, 1), 0)
-    store.publish(batch(2, 3), 1)
-    store.publish(batch(2, 3), 1)
-    batch(4).write.parquet(f"{store.path}/events/batch=2")  # data without its watermark
+def test_publication_survives_gaps_replays_and_restarts(spark):
+    path = scratch_path(spark, "store")
+    schema = "session_id string, seq bigint, body string"
+    store = sinks.DurableStore(spark, path, schema)
+
+    def batch(session, *seqs):
+        return spark.createDataFrame([(session, q, f"b{q}") for q in seqs], schema)
+
+    store.publish(batch("s", 0, 1), 0)
+    store.publish(batch("s", 2, 3), 1)
+    store.publish(batch("s", 2, 3), 1)
+    # A gap: 6 waits until 4 and 5 are there.
+    store.publish(batch("s", 6), 2)
     assert rows(store.visible(), "seq") == [(0,), (1,), (2,), (3,)]
-    assert rows(store.watermarks(), "durable_seq") == [(3,)]
+    assert rows(store.watermarks(), "session_id", "durable_seq") == [("s", 3)]
+    # Data of a failed attempt is staged, not accepted.
+    batch("s", 9).write.parquet(f"{path}/staged/other/batch=7")
+    assert store.live().isStreaming and store.visible().filter("seq = 9").isEmpty()
+    # A restarted writer begins with batch 0 again and repeats what is there.
+    again = sinks.DurableStore(spark, path, schema)
+    again.publish(batch("s", 3, 4, 5).union(batch("t", 0)), 0)
+    assert rows(again.visible(), "session_id", "seq") == [("s", q) for q in range(7)] + [("t", 0)]
+    assert rows(again.watermarks(), "session_id", "durable_seq") == [("s", 6), ("t", 0)]
+    streamed = run_available(again.live(), "live")
+    assert rows(streamed, "session_id", "seq") == rows(again.visible(), "session_id", "seq")
+    again.write_objects()
+    again.write_objects()
+    assert rows(again.published(), "session_id", "events_object") == [
+        ("s", "events/00000000000000000006.ndjson"), ("t", "events/00000000000000000000.ndjson")]
+    lines = readers.read_lines(spark, f"{path}/objects").filter("file like '%session_id=s%'")
+    assert rows(lines, "line_no")[-1] == (7,) and lines.count() == 7
+
+
+def test_no_streamed_row_is_lost(spark):
+    use_rocksdb(spark)
+    path = scratch_path(spark, "late")
+    times = [1_000, 2_000, 400_000, 50_000, 401_000, 900_000, 300]
+    for t in times:
+        spark.createDataFrame([("s", t, False)], "session_id string, t_ms bigint, is_end boolean").coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([("s", None, True)], "session_id string, t_ms bigint, is_end boolean").coalesce(1).write.mode("append").parquet(path)
+    shape = "session_id string, t_ms bigint, is_end boolean"
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path)
+    closed = run_available(debounce_stream(stream, Debounce(1_500, 10_000)), "late-windows")
+    assert closed.agg(F.sum("raw_events")).first()[0] == len(times)
+
+
+def test_long_sessions_export_in_parts(spark):
+    path = scratch_path(spark, "parts")
+    lines = spark.range(5).selectExpr("'s' session_id", "id seq", "id").select(
+        "session_id", "seq", F.format_string('{"v":0,"seq":%d,"session_id":"s","ts":"x","type":"mark","data":{"label":"l","meta":{},"ref_op":"o"}}', "id").alias("value"))
+    sinks.write_timeline(lines, path, part_rows=2)
+    got = readers.read_lines(spark, path)
+    assert rows(got, "line_no") == [(n,) for n in range(1, 6)] and got.select("file").distinct().count() == 1
+    assert rows(validate.validate_timeline(got.select("file", "line_no", "value")), "ok") == [(True,)]
+    assert rows(readers.file_endings(spark, path), "complete") == [(True,)]
+
+
+def test_absent_values(spark):
+    same = spark.createDataFrame([(("file", "b", None), ("file", "b", None))], "x struct<entry_type:string,blob:string,executable:boolean>, y struct<entry_type:string,blob:string,executable:boolean>")
+    assert same.select(change_kind(F.col("x"), F.col("y"))).first()[0] is None
+    assert spark.range(1).select(response_class(F.lit(None).cast("int"))).first()[0] == "retry"
+    seen = spark.createDataFrame([(".git/x",), ("a.tmp",), ("b",)], "p string").select(recorded_path(F.col("p"), "/w", ignores=["*.tmp"]).alias("p"))
+    assert [r.p for r in seen.collect()] == [None, None, "b"]
+
+
+def test_empty_objects_have_verdicts(spark):
+    lines = spark.createDataFrame([], "file string, line_no bigint, value string")
+    files = spark.createDataFrame([("e",)], "file string")
+    assert rows(validate.validate_timeline(lines, files), "file", "ok") == [("e", True)]
+    assert rows(validate.validate_records(lines, files), "file", "ok") == [("e", True)]
+    manifest = spark.createDataFrame([("s", True, 1, 0, 4, "events/x")], "session_id string, parsed boolean, session_format int, schema_version int, durable_seq bigint, events_object string")
+    timeline_rows = spark.createDataFrame([("s", "events/x", True, None, None)], "session_id string, events_object string, ok boolean, error_class string, last_seq bigint")
+    got = validate.open_sessions(manifest.select("session_id"), manifest, timeline_rows)
+    assert rows(got, "verdict", "requested_seq") == [("beyond_watermark", 0)]
 
 
 def test_shared_root_follows_the_session(spark):
-    assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_root(spark) == named.rstrip("/")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        with pytest.raises(ValueError):
+            shared_root(spark)
+        assert name_shared_root(spark) == shared_root(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", named)
+    assert name_shared_root(spark) == named.rstrip("/")
 
 
 # ------------------------------------------------------------ measurement
