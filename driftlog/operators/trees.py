@@ -134,7 +134,7 @@ def diff_rows(differing: DataFrame) -> DataFrame:
     )
 
 
-def diff_stats(rows: DataFrame, max_changes: int = MAX_CHANGES) -> DataFrame:
+def diff_stats(rows: DataFrame, max_changes: int) -> DataFrame:
     """Counts per kind over the complete diff and the truncation flag."""
     return rows.groupBy("session_id").agg(
         *[F.count_if(F.col("kind") == kind).alias(kind) for kind in CHANGE_KINDS],
@@ -142,7 +142,7 @@ def diff_stats(rows: DataFrame, max_changes: int = MAX_CHANGES) -> DataFrame:
     )
 
 
-def capped_changes(rows: DataFrame, max_changes: int = MAX_CHANGES) -> DataFrame:
+def capped_changes(rows: DataFrame, max_changes: int) -> DataFrame:
     """The first ``max_changes`` change rows of each session by path."""
     return smallest_per_group(rows, ["session_id"], ["path"], max_changes)
 

@@ -214,12 +214,13 @@ def aggregate_windows(paths: DataFrame) -> DataFrame:
 
 
 def cap_paths(
-    paths: DataFrame, limit: int = MAX_AUDIT_PATHS, reporter: str = DEFAULT_REPORTER
-) -> tuple[DataFrame, DataFrame]:
-    """Keep the ``limit`` first-seen paths of each window with their full
-    operation sets, and report each window that had more.
+    paths: DataFrame, limit: int, reporter: str = DEFAULT_REPORTER
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``limit`` first-seen paths of each window with their full operation
+    sets, a report of each window that had more, and the paths cut off.
 
-    The reported raw count covers all notifications of the window.
+    A recorder uses ``MAX_AUDIT_PATHS``.  The reported raw count covers all
+    notifications of the window.
     """
     kept = smallest_per_group(
         paths, ["session_id", "window_start"], ["first_seen", "path"], limit
@@ -234,15 +235,17 @@ def cap_paths(
             "raw_events",
         )
     )
-    return kept, reports
+    cut = paths.join(kept.select("session_id", "window_start", "path"), ["session_id", "window_start", "path"], "left_anti")
+    return kept, reports, cut
 
 
 def cap_overflows(
-    reports: DataFrame, limit: int = MAX_OVERFLOW_REPORTS, reporter: str = DEFAULT_REPORTER
-) -> DataFrame:
-    """The first ``limit - 1`` reports of a window, then one limit report
-    that keeps its own raw count; the rest is dropped."""
-    return smallest_per_group(
+    reports: DataFrame, limit: int, reporter: str = DEFAULT_REPORTER
+) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit - 1`` reports of a window, then one limit report that
+    keeps its own raw count; and the reports cut off.  A recorder uses
+    ``MAX_OVERFLOW_REPORTS``."""
+    kept = smallest_per_group(
         reports, ["session_id", "window_start"], ["t_ms", "notif_id"], limit, rank="place"
     ).withColumn(
         "source",
@@ -250,6 +253,8 @@ def cap_overflows(
             F.col("place") == limit - 1, F.lit(f"{reporter}:overflow_report_limit:{limit}")
         ).otherwise(F.col("source")),
     )
+    keys = ["session_id", "window_start", "t_ms", "notif_id"]
+    return kept, reports.join(kept.select(*keys), keys, "left_anti")
 
 
 def full_scan_windows(reports: DataFrame) -> DataFrame:

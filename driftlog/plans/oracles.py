@@ -517,6 +517,9 @@ hist as (select session_id, path, min(gen) as valid_from, case when max(gen) < 4
   from runs group by session_id, path, blob, island)"""
 _q("path_history", "select * from hist", _HIST)
 _q("tree_as_of", "select session_id, gen as at_seq, path, blob, bytes from gens", GENS)
+_q("durable_prefix", """select session_id, case when conv_id % 5 = 0 then least(last, 2) else last end as durable_seq,
+  case when conv_id % 5 = 0 then least(last, 2) else last end + 1 as events
+from (select conv_id, 'c' || conv_id as session_id, max(turn)::bigint as last from conversations group by 1)""")
 _q("materialized_files", """select session_id, 'op:' || gen as op, 'ok' as outcome, path, bytes, sha256(body) as content_id from gens
 union all select distinct session_id, 'op:unknown', 'unknown_op', null, null, null from gens where gen = 0""", GENS)
 _q("operation_diff", """select session_id, b::bigint as before_seq, a::bigint as after_seq, 'ok' as outcome, path, xb as before, yb as after from (
@@ -660,9 +663,9 @@ _q("sync_totals", """select session_id, count(*) filter (action = 'link') as fil
   count(*) filter (action = 'error_symlink') as errors from sync group by 1""", SYNC)
 _q("store_composition", """select session_id, immutable, count(*) as objects, sum(bytes)::bigint as bytes from typed_files where side = 'dest' group by 1, 2""", SYNC)
 _q("redacted_log", """select source as session_id, doc_id as message_id,
-  replace(replace('token ' || token || ' failed', lo, '***'), hi, '***') as message
-from (select doc_id, source, substr(sha256(text), 1, 12) as token, min(substr(sha256(text), 1, 12)) over (partition by source) as lo,
-  max(substr(sha256(text), 1, 12)) over (partition by source) as hi from documents)""")
+  replace(replace('token ' || token || ' failed: ' || text, lo, '***'), hi, '***') as message
+from (select doc_id, source, text, sha256(text) as token, min(sha256(text)) over (partition by source) as lo,
+  max(sha256(text)) over (partition by source) as hi from documents)""")
 _LISTING = """listed as (
   select 'rec/dev/' || case page_id % 25 when 0 then '../' when 1 then 'a//' else '' end || 'p'
     || case when page_id % 25 = 6 then page_id - 1 else page_id end || case when page_id % 25 = 3 then '/' else '.html' end as key_name,
@@ -777,7 +780,7 @@ _q("rejected_clocks", "select session_id, seq, ts from tl where n % 17 = 0", TAL
 _q("workload_final_state", """select slot, 'file-' || lpad(slot::varchar, 8, '0') || '.dat' as path, coalesce(writes, 0) as writes,
   substr(repeat(lpad(coalesce(last + 1000, slot)::varchar, 20, '0') || ':', 4), 1, 64) as payload
 from range(1000) t(slot) left join (select event_id % 1000 as slot, max(event_id) as last, count(*) as writes
-  from events where event_id % 1000 < 900 group by 1) using (slot)""")
+  from events group by 1) using (slot)""")
 _q("churn_mismatches", """select session_id, path, null::varchar as planned, kind as observed from differing
 where kind = 'mode_changed' and session_id = 's1'""", TREES)
 _q("churn_totals", """select session_id, coalesce(i.add, 0) as add, modify, mode, remove, move,

@@ -198,6 +198,24 @@ def durable_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.visible()
 
 
+@query
+def durable_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarks after a gap, a replayed batch and a restarted writer."""
+    rows = timeline.index(recipes.timeline(spark, sf_dir)).select(
+        "session_id", "seq", F.col("kind").alias("type"), "op"
+    )
+    there = rows.filter("not (cast(substr(session_id, 2) as bigint) % 5 = 0 and seq = 3)")
+    path = scratch_path(spark, "prefix-store")
+    first = sinks.DurableStore(spark, path, _EVENT_SCHEMA)
+    first.publish(there.filter("seq % 2 = 0"), 0)
+    first.publish(there.filter("seq % 2 = 0"), 0)
+    second = sinks.DurableStore(spark, path, _EVENT_SCHEMA)
+    second.publish(there.filter("seq % 2 = 1 or seq = 0"), 0)
+    return second.visible().groupBy("session_id").agg(
+        F.max("seq").alias("durable_seq"), F.count(F.lit(1)).alias("events")
+    )
+
+
 @query
 def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, store = _accepted_stream(spark, sf_dir, "live")
@@ -491,7 +509,7 @@ def window_path_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def capped_window_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = windows.cap_paths(_window_paths(spark, sf_dir), limit=2)
+    kept, _, _ = windows.cap_paths(_window_paths(spark, sf_dir), limit=2)
     return kept.select(
         "session_id", "window_start", "path", "rank", _joined(operations_of(F.col("operation_bits"))).alias("operations")
     )
@@ -499,13 +517,13 @@ def capped_window_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def path_limit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, reports = windows.cap_paths(_window_paths(spark, sf_dir), limit=2)
+    _, reports, _ = windows.cap_paths(_window_paths(spark, sf_dir), limit=2)
     return reports
 
 
 @query
 def touched_path_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = windows.cap_paths(_window_paths(spark, sf_dir))
+    kept = _window_paths(spark, sf_dir)
     listed = windows.touched_events(kept)
     return listed.select(
         "session_id", "window_start",
@@ -525,7 +543,7 @@ def capped_overflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = _overflows(spark, sf_dir).withColumn(
         "window_start", F.expr("t_ms div (5 * 86400000) * (5 * 86400000)")
     )
-    return windows.cap_overflows(reports, limit=2).select(
+    return windows.cap_overflows(reports, limit=2)[0].select(
         "session_id", "window_start", "notif_id", "place", "source", "raw_events"
     )
 
@@ -569,7 +587,8 @@ def assembled_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = bounds.join(touched, ["session_id", "window_start"], "left").select(
         "session_id", "window_start", "closed_ms", "touched_raw"
     )
-    reports = windows.cap_overflows(windows.in_windows(_overflows(spark, sf_dir), assigned)).join(
+    reports = windows.in_windows(_overflows(spark, sf_dir), assigned)
+    reports = windows.cap_overflows(reports, windows.MAX_OVERFLOW_REPORTS)[0].join(
         bounds.select("session_id", "window_start", "closed_ms"), ["session_id", "window_start"]
     )
     sessions = (
@@ -756,7 +775,7 @@ def orphan_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recipes.table(spark, sf_dir, "conversations").filter("turn = 0").selectExpr(
+    return recipes.table(spark, sf_dir, "conversations").select("conv_id").distinct().selectExpr(
         "concat(case conv_id % 9 when 1 then 'a/' when 2 then '..' when 3 then 'b\\\\\\\\' else '' end, "
         "case when conv_id % 9 = 4 then '' else concat('c', cast(conv_id as string)) end) session_id",
         "case conv_id % 7 when 1 then 'refs/heads/x' when 2 then 'refs//r' when 3 then 'refs/r/' "
@@ -771,7 +790,8 @@ def session_name_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def advance_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = recipes.table(spark, sf_dir, "conversations").filter("turn = 0").selectExpr(
+    talks = recipes.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    ids = talks.selectExpr(
         "conv_id", "concat('c', cast(conv_id as string)) session_id", "substr(sha2(text, 256), 1, 40) h"
     )
     wanted = ids.selectExpr("session_id", "case when conv_id % 8 = 7 then 'zz' else concat('c:', h) end wanted")
@@ -893,8 +913,8 @@ def store_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = recipes.table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "substr(sha2(text, 256), 1, 12) token")
-    log = docs.selectExpr("source session_id", "doc_id message_id", "concat('token ', token, ' failed') message")
+    docs = recipes.table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "text", "sha2(text, 256) token")
+    log = docs.selectExpr("source session_id", "doc_id message_id", "concat('token ', token, ' failed: ', text) message")
     secrets = docs.groupBy("source").agg(
         F.array(F.min("token"), F.max("token"), F.lit("")).alias("secrets")
     ).withColumnRenamed("source", "session_id")
@@ -1059,7 +1079,7 @@ def rejected_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def workload_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    writes = recipes.table(spark, sf_dir, "events").filter("event_id % 1000 < 900").selectExpr("event_id write_index")
+    writes = recipes.table(spark, sf_dir, "events").selectExpr("event_id write_index")
     return measure.final_state(writes, 1000, 64)
 
 

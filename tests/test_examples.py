@@ -253,7 +253,9 @@ def test_overflow_sources_extend_windows(spark):
 
 def test_report_cap_keeps_its_own_count(spark):
     df = spark.range(80).selectExpr("'s' session_id", "0L window_start", "id t_ms", "id notif_id", "'x' source", "id raw_events")
-    got = windows.cap_overflows(df).orderBy("place").collect()
+    kept, cut = windows.cap_overflows(df, windows.MAX_OVERFLOW_REPORTS)
+    assert kept.count() + cut.count() == df.count()
+    got = kept.orderBy("place").collect()
     assert len(got) == 64 and got[62].source == "x"
     assert (got[63].source, got[63].raw_events) == ("recorder:overflow_report_limit:64", 63)
 
@@ -262,7 +264,8 @@ def test_path_cap_keeps_first_seen(spark):
     df = notes(spark, (0, "create", None, ["/w/b"]), (1, "create", None, ["/w/a"]), (2, "create", None, ["/w/c"]), (3, "remove", None, ["/w/b"]))
     touches = windows.observe(df, "/w")
     paths = windows.window_paths(windows.in_windows(touches, windows.debounce(touches, Debounce(100, 500))))
-    kept, reports = windows.cap_paths(paths, 2)
+    kept, reports, cut = windows.cap_paths(paths, 2)
+    assert kept.count() + cut.count() == paths.count()
     assert rows(kept, "path", "operation_bits") == [("a", 1), ("b", 5)]
     assert rows(reports, "source", "raw_events") == [("recorder:audit_path_limit:2", 4)]
 
