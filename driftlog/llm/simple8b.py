@@ -32,7 +32,7 @@ from driftlog.llm.text import TO_LOWER, Texts, find_words, gather, hash_spans, s
 BLOCK = 128
 CHUNK = 512 * BLOCK
 FILE_IDS = 8_000_000
-CACHED_WORDS = 3_000_000
+CACHED_WORDS = 2_000_000
 CACHED_PIECES = 300_000
 #: Selector: (ids in a word, bits of an id).  Selector 0 is the escape.
 WIDTHS = [(1, 60), (1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1), (120, 0)]
@@ -220,55 +220,86 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(model_json)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.sign_ids = self._ids([self.SIGN])[0]
+        self.sign_ids = self._ids([self.SIGN])[0].tolist()
         self.runs = regex.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
         self.forget()
-        self.piece_ids: dict[bytes, list[int]] = {}
+        self._forget_pieces()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.rows = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int64)
+        # Known words by hash: many, sorted, and the latest ones beside them.
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.ids = np.zeros(0, np.int32)
         self.bounds = np.zeros(1, np.int64)
 
-    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+    def _forget_pieces(self) -> None:
+        self.piece_rows: dict[bytes, int] = {}
+        self.piece_ids = np.zeros(0, np.int32)
+        self.piece_bounds = np.zeros(1, np.int64)
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         encoded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [e.ids for e in encoded]
+        return [np.array(e.ids, np.int32) for e in encoded]
 
     def _ask(self, pieces: list[bytes]) -> None:
+        """Learn the ids of new pieces."""
         joined = [p for p in pieces if self.SIGN not in p]
         alone = [p for p in pieces if self.SIGN in p]
         groups = [joined[at : at + self.GROUP] for at in range(0, len(joined), self.GROUP)]
+        order, parts, sizes = [], [], []
         for group, ids in zip(groups, self._ids([(b" " + self.SIGN + b" ").join(g) for g in groups]), strict=True):
-            parts: list[list[int]] = [[]]
-            for i in ids:
-                if i == self.sign_ids[0]:
-                    parts.append([])
-                else:
-                    parts[-1].append(i)
-            if len(parts) == len(group) and len(self.sign_ids) == 1:
-                self.piece_ids.update(zip(group, parts, strict=True))
+            signs = np.flatnonzero(ids == self.sign_ids[0])
+            if len(signs) == len(group) - 1 and len(self.sign_ids) == 1:
+                order += group
+                parts.append(np.delete(ids, signs))
+                sizes.append(np.diff(np.concatenate(([-1], signs, [len(ids)]))) - 1)
             else:
                 alone += group
-        self.piece_ids.update(zip(alone, self._ids(alone), strict=True))
+        own = self._ids(alone)
+        order += alone
+        parts += own
+        sizes.append(np.array([len(x) for x in own], np.int64))
+        first = len(self.piece_rows)
+        self.piece_rows.update(zip(order, range(first, first + len(order)), strict=True))
+        self.piece_ids = np.concatenate([self.piece_ids, *parts])
+        self.piece_bounds = np.concatenate((self.piece_bounds, self.piece_bounds[-1] + np.cumsum(np.concatenate(sizes))))
 
     def _learn(self, words: list[bytes], plain: list[bool], hashes: np.ndarray) -> None:
-        if len(self.piece_ids) > CACHED_PIECES:
-            self.piece_ids = {}
+        if len(self.piece_rows) > CACHED_PIECES:
+            self._forget_pieces()
         cut = [self.runs.findall(w) if p else [w] for w, p in zip(words, plain, strict=True)]
-        self._ask(list({p for own in cut for p in own if p not in self.piece_ids}))
-        lists = [[i for p in own for i in self.piece_ids[p]] for own in cut]
-        more = self.bounds[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)
-        rows = np.concatenate((self.rows, len(self.bounds) - 1 + np.arange(len(words))))
-        known = np.concatenate((self.hashes, hashes))
-        order = np.argsort(known, kind="stable")
-        self.hashes, self.rows = known[order], rows[order]
-        self.ids = np.concatenate((self.ids, np.array([i for x in lists for i in x], np.int64)))
-        self.bounds = np.concatenate((self.bounds, more))
+        flat = [p for own in cut for p in own]
+        self._ask(list(dict.fromkeys(p for p in flat if p not in self.piece_rows)))
+        rows = np.fromiter(map(self.piece_rows.__getitem__, flat), np.int64, len(flat))
+        ids, sizes = gather(self.piece_ids, self.piece_bounds, rows)
+        counts = np.array([len(own) for own in cut], np.int64)
+        sizes = np.add.reduceat(sizes, np.cumsum(counts) - counts)
+        first = len(self.bounds) - 1
+        self.ids = np.concatenate((self.ids, ids))
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
+        late = self._merge(self.known[1], (hashes, first + np.arange(len(words))))
+        if 4 * len(late[0]) > len(self.known[0][0]):
+            self.known = [self._merge(self.known[0], late), (late[0][:0], late[1][:0])]
+        else:
+            self.known[1] = late
+
+    @staticmethod
+    def _merge(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = np.concatenate((one[0], two[0]))
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], np.concatenate((one[1], two[1]))[order]
+
+    def _rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of known words, -1 for others."""
+        rows = np.full(len(hashes), -1, np.int64)
+        for known, own in self.known:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                rows = np.where(known[at] == hashes, own[at], rows)
+        return rows
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, concatenated, and bounds."""
-        if len(self.hashes) > CACHED_WORDS:
+        if len(self.bounds) > CACHED_WORDS:
             self.forget()
         words = find_words(texts)
         odd = np.concatenate(([0], np.cumsum((texts.data >= 128) | (texts.data == 39) | (texts.data == 60))))
@@ -280,16 +311,16 @@ class WordEncoder:
             hash_spans(texts.data, words.starts, words.ends) ^ np.uint64(1),
         )
         seen, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, seen)
-        fresh = (at == len(self.hashes)) | (self.hashes[np.minimum(at, len(self.hashes) - 1)] != seen if len(self.hashes) else True)
+        rows = self._rows(seen)
+        fresh = rows < 0
         if fresh.any():
             picked = first[fresh]
             raw, lowered = texts.data.tobytes(), low.tobytes()
             flags = plain[picked].tolist()
             spans = zip(words.starts[picked].tolist(), words.ends[picked].tolist(), flags, strict=True)
             self._learn([(lowered if p else raw)[a:b] for a, b, p in spans], flags, seen[fresh])
-            at = np.searchsorted(self.hashes, seen)
-        ids, sizes = gather(self.ids, self.bounds, self.rows[at][which] if len(seen) else which)
+            rows = self._rows(seen)
+        ids, sizes = gather(self.ids, self.bounds, rows[which])
         sums = np.concatenate(([0], np.cumsum(sizes)))
         return ids, sums[words.bounds]
 
