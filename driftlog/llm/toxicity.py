@@ -19,17 +19,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlog.llm.reduce import sum_vectors
+from driftlog.llm.sampling import bounded_sample
 from driftlog.llm.text import Texts, find_words, hash_spans, slices
 from driftlog.session import save_and_reload
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4_096
 PATTERN_VOTERS = 48
-BUCKET_BITS = 20
+EVIDENCE = 11.5
+BUCKET_BITS = 18
 PREFIXES = (4, 5, 6)
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
@@ -121,11 +124,9 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .filter(f"not ({HELD_OUT})")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(ids), "doc_id"
+        F.broadcast(bounded_sample(ids, rows)), "doc_id"
     ).select("text", "toxic")
 
 
@@ -152,6 +153,11 @@ def mine(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     toxic_texts, other_texts = totals[-2:]
     odds = _log_odds(totals[:size], totals[size:-2], toxic_texts, other_texts)
     odds[totals[:size] < 3] = -np.inf
+    rate = (toxic_texts + 1) / (toxic_texts + other_texts + 2)
+    share = F.col("share")
+    divergence = share * F.log(share / rate) + F.when(
+        share < 1, (1 - share) * F.log((1 - share) / (1 - rate))
+    ).otherwise(0.0)
     # Buckets only preselect; the features in them are counted by full hash.
     likely = np.zeros(size, bool)
     likely[np.argsort(-odds, kind="stable")[: 8 * FEATURES]] = True
@@ -170,8 +176,11 @@ def mine(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         sample.mapInArrow(spell, "h bigint, toxic bigint")
         .groupBy("h")
         .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other"))
-        .filter("toxic >= 3")
+        .withColumn("share", F.col("toxic") / (F.col("toxic") + F.col("other")))
         .withColumn("odds", F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5)))
+        # Many features are tried: the evidence that a feature is more frequent
+        # in toxic texts, n times the divergence from their share, must be high.
+        .filter((F.col("share") > rate) & ((F.col("toxic") + F.col("other")) * divergence >= EVIDENCE))
         .orderBy(F.desc("odds"), F.desc("toxic"), "h")
         .limit(FEATURES)
         .toPandas()
@@ -327,11 +336,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             )
 
     # At most sample_rows short lists reach the driver.
-    fitted = sample.mapInArrow(project, "cols array<int>, target double").toPandas()
-    sizes = fitted["cols"].map(len).to_numpy(int) if len(fitted) else np.zeros(0, int)
-    cols = np.concatenate([np.asarray(x, int) for x in fitted["cols"]]) if len(fitted) else np.zeros(0, int)
+    fitted = sample.mapInArrow(project, "cols array<int>, target double").toArrow().combine_chunks()
+    sizes = np.asarray(pc.list_value_length(fitted["cols"]), np.int64)
+    cols = np.asarray(pc.list_flatten(fitted["cols"]), np.int64)
     begin = np.concatenate([odds, np.full(width - len(odds), 3.0)])
-    weights, bias = fit_classifier(np.repeat(np.arange(len(sizes)), sizes), cols, fitted["target"].to_numpy(float), width, begin)
+    weights, bias = fit_classifier(np.repeat(np.arange(len(sizes)), sizes), cols, fitted["target"].to_numpy(), width, begin)
     return Classifier(lookup, weights, bias)
 
 
