@@ -11,20 +11,22 @@ from driftlog.schemas import BODIES
 
 def typed(events: DataFrame) -> DataFrame:
     """Typed bodies from an ``event`` VARIANT column: one nullable struct per
-    event type next to session_id, seq, ts and type."""
+    event type next to session_id, seq, ts and type, and the body of any type
+    as VARIANT ``data``."""
     event = F.col("event")
     kind = F.try_variant_get(event, "$.type", "string")
     bodies = [
         F.when(kind == name, F.try_variant_get(event, "$.data", body)).alias(name)
         for name, body in BODIES.items()
     ]
-    rest = [c for c in events.columns if c not in {"event", "session_id", "seq"}]
+    rest = [c for c in events.columns if c not in {"event", "session_id", "seq", "data"}]
     return events.select(
         F.try_variant_get(event, "$.session_id", "string").alias("session_id"),
         F.try_variant_get(event, "$.seq", "bigint").alias("seq"),
         F.try_variant_get(event, "$.ts", "string").alias("ts"),
         kind.alias("type"),
         *bodies,
+        F.try_variant_get(event, "$.data", "variant").alias("data"),
         *rest,
     )
 
@@ -176,7 +178,9 @@ def _text(value: Column | str) -> Column:
 def describe(timeline: DataFrame) -> DataFrame:
     """Title, detail and path list of every event for display.
 
-    Live notices may carry ``notice_detail`` and ``notice_recovery``.
+    Live notices may carry ``notice_detail`` and ``notice_recovery``.  An event
+    of an unknown type shows its body, the VARIANT column ``data`` where there
+    is one.
     """
     kind = F.col("type")
     touched = F.coalesce(F.col("touched_paths.paths"), F.array().cast("array<struct<path:string,operations:array<string>>>"))
@@ -189,6 +193,7 @@ def describe(timeline: DataFrame) -> DataFrame:
     notice = (
         F.concat(_text("notice_detail"), F.lit(" "), _text("notice_recovery")) if has_notice else F.lit("")
     )
+    body = F.to_json("data") if "data" in timeline.columns else F.lit(None).cast("string")
     touched_count = F.size(touched)
     title = (
         F.when(kind == "session_start", "Session started")
@@ -221,7 +226,7 @@ def describe(timeline: DataFrame) -> DataFrame:
         .when(kind.isin("sse_overflow", "sequence_gap"), notice)
         .when(kind == "flush", _text("flush.op"))
         .when(kind == "session_end", _text("session_end.reason"))
-        .otherwise(F.coalesce(F.to_json("error"), F.lit("{}")))
+        .otherwise(F.coalesce(F.to_json("error"), body, F.lit("{}")))
     )
     paths = (
         F.when(kind == "touched_paths", F.transform(touched, lambda p: p["path"]))

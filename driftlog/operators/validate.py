@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,9 +128,13 @@ def _field_ok(variant: Column, path: str, kind: str) -> Column:
     raise ValueError(kind)
 
 
-def strict_event(variant: Column) -> Column:
+def strict_event(variant: Column, start_fields: Sequence[str] = ()) -> Column:
     """Does the value have the envelope and the body its type requires?
-    Unknown fields are ignored; an unknown type is not an event."""
+    Unknown fields are ignored; an unknown type is not an event.
+
+    ``start_fields`` are further text fields that a producer's session_start
+    must have, as its version strings.
+    """
     envelope = (
         _is_unsigned(variant, "$.v")
         & (F.try_variant_get(variant, "$.v", "bigint") <= 255)
@@ -141,7 +147,8 @@ def strict_event(variant: Column) -> Column:
     body = F.lit(False)
     for name, fields in REQUIRED.items():
         ok = F.lit(True)
-        for field, expected in fields.items():
+        extra = dict.fromkeys(start_fields, "string") if name == "session_start" else {}
+        for field, expected in {**fields, **extra}.items():
             ok = ok & _field_ok(variant, f"$.data.{field}", expected)
         body = F.when(kind == name, ok).otherwise(body)
     return F.coalesce(envelope & body, F.lit(False))
@@ -248,16 +255,18 @@ def _all_files(lines: DataFrame, files: DataFrame | None) -> DataFrame:
     return (seen if files is None else seen.union(files.select("file"))).distinct()
 
 
-def validate_timeline(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def validate_timeline(
+    lines: DataFrame, files: DataFrame | None = None, start_fields: Sequence[str] = ()
+) -> DataFrame:
     """Reader verdict per file: JSON, then version, sequence, session; the
     first failing line wins and blank lines are skipped but numbered.
 
     ``files`` (file) lists all files; an empty one has no line, and is a valid
-    timeline without events.
+    timeline without events.  ``start_fields``: see ``strict_event``.
     """
     records = _with_first_session(_records(lines, whitespace_is_blank=True))
     ladder = [
-        ("json", ~strict_event(F.col("event")), _none(), _none()),
+        ("json", ~strict_event(F.col("event"), start_fields), _none(), _none()),
         ("version", F.col("version") != SCHEMA_VERSION, _none(), F.col("version").cast("string")),
         ("sequence", F.col("seq") != F.col("rec_no"), F.col("rec_no").cast("string"),
          F.col("seq").cast("string")),
@@ -268,7 +277,7 @@ def validate_timeline(lines: DataFrame, files: DataFrame | None = None) -> DataF
     return _verdicts(files, _failure(records, ladder, F.col("line_no")))
 
 
-def validate_spool(lines: DataFrame, expected: DataFrame) -> DataFrame:
+def validate_spool(lines: DataFrame, expected: DataFrame, start_fields: Sequence[str] = ()) -> DataFrame:
     """Spool verdict per file against ``expected`` (file, spool_session,
     spool_version, complete): the last line must end in a newline, only empty
     lines are skipped, and lines are numbered without them."""
@@ -279,7 +288,7 @@ def validate_spool(lines: DataFrame, expected: DataFrame) -> DataFrame:
         F.col("line_no"),
     )
     ladder = [
-        ("json", ~strict_event(F.col("event")), _none(), _none()),
+        ("json", ~strict_event(F.col("event"), start_fields), _none(), _none()),
         ("sequence", F.col("seq") != F.col("rec_no"), F.col("rec_no").cast("string"),
          F.col("seq").cast("string")),
         ("session", F.col("session_id") != F.col("spool_session"), F.col("spool_session"),

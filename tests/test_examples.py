@@ -476,6 +476,20 @@ def test_absent_values(spark):
     assert [r.p for r in seen.collect()] == [None, None, "b"]
 
 
+def test_producers_can_require_start_fields(spark):
+    body = {"roots": ["/w"], "baseline_op": "op:", "baseline_tree": "t:", "ignore": []}
+    bare, full = lines(spark, event(0, kind="session_start", data=body)), lines(spark, event(0, kind="session_start", data={**body, "producer_version": "1"}))
+    assert verdict(validate.validate_timeline(bare))[0]
+    assert verdict(validate.validate_timeline(bare, start_fields=["producer_version"]))[:2] == (False, "json")
+    assert verdict(validate.validate_timeline(full, start_fields=["producer_version"]))[0]
+
+
+def test_unknown_events_show_their_body(spark):
+    typed = timeline.typed(validate.with_event(lines(spark, event(0, kind="novel", data={"a": 1}))))
+    shown = timeline.describe(typed)
+    assert rows(shown, "title", "detail") == [("novel", '{"a":1}')]
+
+
 def test_empty_objects_have_verdicts(spark):
     lines = spark.createDataFrame([], "file string, line_no bigint, value string")
     files = spark.createDataFrame([("e",)], "file string")
