@@ -12,6 +12,7 @@ from driftlog.operators.ordered import attach_facts, first_per_group, ordered_sc
 
 # Sample modes, latency names and the required numbers of a result.
 MODES = ("isolated", "burst", "continuous")
+VALUE_CHUNKS = 256
 LATENCIES = (
     "watcher_detection_wall_estimate",
     "debounce_projector_daemon_wall",
@@ -193,13 +194,6 @@ def scope_estimates(samples: DataFrame) -> DataFrame:
     )
 
 
-def _value_chunk(value: Column) -> Column:
-    """Monotone chunk of a number: 256 per power of two, so their count is
-    bounded by the number format and not by the rows."""
-    size = F.floor(F.log2(F.abs(value) + 1.0) * 256)
-    return (F.signum(value) * size).cast("bigint")
-
-
 def statistics(
     values: DataFrame, keys: Sequence[str], value: str = "value", weight: str | None = None
 ) -> DataFrame:
@@ -207,7 +201,9 @@ def statistics(
     ``weight`` names a column of repeat counts.
 
     A key may hold most rows, so values are counted first, ranked by running
-    counts over value chunks, and only the ranks asked for are kept.
+    counts over value chunks, and only the ranks asked for are kept.  Chunks
+    are cut at approximate quantiles of each key's distinct values, so a narrow
+    distribution is split like a wide one.
     """
     number = F.col(value).cast("double")
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
@@ -218,12 +214,17 @@ def statistics(
         .agg(F.sum("_w").alias("_c"))
     )
     totals = counted.groupBy(*keys).agg(
-        F.sum("_c").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max")
+        F.sum("_c").alias("count"),
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+        F.percentile_approx("_v", [i / VALUE_CHUNKS for i in range(1, VALUE_CHUNKS)], 10 * VALUE_CHUNKS).alias("_cuts"),
+    )
+    cut = attach_facts(counted, totals, list(keys), F.col("_v"), how="inner").withColumn(
+        "_cut", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
     )
-    ranked = ordered_scan(
-        counted, list(keys), ["_v"], _value_chunk(F.col("_v")), sums={"_through": F.col("_c")}
+    placed = ordered_scan(
+        cut.drop("_cuts"), list(keys), ["_v"], F.col("_cut"), sums={"_through": F.col("_c")}
     )
-    placed = attach_facts(ranked, totals, list(keys), F.col("_v"), how="inner")
     picks = []
     for percent in (50, 95, 99):
         rank = (F.col("count") - 1) * F.lit(percent) / F.lit(100.0)

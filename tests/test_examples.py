@@ -524,6 +524,16 @@ def test_statistics_interpolate(spark):
     assert got["b"].p99 == 7.0 and "c" not in got
 
 
+def test_narrow_values_are_split(spark, monkeypatch):
+    seen = []
+    real = measure.ordered_scan
+    monkeypatch.setattr(measure, "ordered_scan", lambda df, *rest, **more: seen.append(df) or real(df, *rest, **more))
+    df = spark.range(4000).selectExpr("'k' k", "1569.0 + id / 1000000.0 value")
+    got = measure.statistics(df, ["k"]).first()
+    assert (got.p50, got["count"]) == (pytest.approx(1569.0 + 1999.5e-6, abs=1e-9), 4000)
+    assert seen[0].groupBy("_cut").count().agg(F.max("count")).first()[0] <= 80
+
+
 def test_one_estimate_per_window(spark):
     name = measure.LATENCIES[0]
     df = spark.createDataFrame([("s", 1, 4, 20, "ok", 1.0), ("s", 2, 4, 10, "ok", 2.0)],
