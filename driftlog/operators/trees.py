@@ -36,18 +36,24 @@ def content_ids(inventory: DataFrame, prior: DataFrame | None = None, full_scan:
     """Blob id per inventory row (session_id, path, bytes, mtime_ms, content).
 
     An incremental scan trusts unchanged (path, bytes, mtime_ms) and hashes
-    only the rest; a full scan hashes everything.
+    only the rest; a full scan hashes everything.  Listings are compared without
+    contents, and contents are only read for the paths that changed; while
+    these are few, adaptive execution broadcasts them and moves no content.
     """
     digest = F.sha2("content", 256)
     if full_scan or prior is None:
         return inventory.withColumn("blob", digest).withColumn("reused", F.lit(False)).drop("content")
     known = prior.select("session_id", "path", "bytes", "mtime_ms", F.col("blob").alias("known_blob"))
-    return (
-        inventory.join(known, ["session_id", "path", "bytes", "mtime_ms"], "left")
-        .withColumn("blob", F.coalesce("known_blob", digest))
-        .withColumn("reused", F.col("known_blob").isNotNull())
-        .drop("known_blob", "content")
+    listing = inventory.drop("content").join(known, ["session_id", "path", "bytes", "mtime_ms"], "left")
+    columns = [c for c in inventory.columns if c != "content"]
+    reused = listing.filter(F.col("known_blob").isNotNull()).select(
+        *columns, F.col("known_blob").alias("blob"), F.lit(True).alias("reused")
+    )
+    changed = listing.filter(F.col("known_blob").isNull()).select("session_id", "path")
+    hashed = inventory.join(changed, ["session_id", "path"], "left_semi").select(
+        *columns, digest.alias("blob"), F.lit(False).alias("reused")
     )
+    return reused.unionByName(hashed)
 
 
 def tree_ids(entries: DataFrame, keys: list[str]) -> DataFrame:
