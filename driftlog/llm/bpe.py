@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from driftlog.llm.text import Spans, Texts, gather, slices
 
 LONG_WORD = 256
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.iinfo(np.int64).max

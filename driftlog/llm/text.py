@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 SHINGLE_WORDS = 5
 
 SPACES = np.zeros(256, bool)
@@ -46,7 +46,7 @@ def _power(base: int, count: int) -> np.ndarray:
         steps = np.full(max(count, 1), base, np.uint64)
         steps[0] = 1
         known = np.multiply.accumulate(steps)
-        if count <= 4 * SLICE_BYTES:
+        if count <= 16 * SLICE_BYTES:
             _powers[str(base)] = known
     return known[:count]
 
