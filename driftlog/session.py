@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN_ROOT = "driftlog.scratch.dir"
+
 
 def build_session(master: str = "local[8]", app: str = "driftlog", **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for.
@@ -37,8 +39,12 @@ def build_session(master: str = "local[8]", app: str = "driftlog", **conf: str)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach, named in ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors can reach, named in ``spark.checkpoint.dir``.
+
+    Spark takes that setting only when a session starts, so the folder that
+    ``name_shared_root`` gives a local session stands in ``OWN_ROOT``.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_ROOT, None)
     if not named:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return named.rstrip("/")
@@ -47,10 +53,11 @@ def shared_root(spark: SparkSession) -> str:
 def name_shared_root(spark: SparkSession) -> str:
     """``shared_root`` for entry points: a local session that names no folder
     gets one of its own, which is deleted when the process ends."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_ROOT, None)
+    if not named and spark.sparkContext.master.startswith("local["):
         own = tempfile.mkdtemp(prefix="driftlog-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", own)
+        spark.conf.set(OWN_ROOT, own)
     return shared_root(spark)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -502,16 +504,36 @@ def test_empty_objects_have_verdicts(spark):
 
 
 def test_shared_root_follows_the_session(spark):
-    named = spark.conf.get("spark.checkpoint.dir")
-    assert shared_root(spark) == named.rstrip("/")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        with pytest.raises(ValueError):
-            shared_root(spark)
-        assert name_shared_root(spark) == shared_root(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", named)
-    assert name_shared_root(spark) == named.rstrip("/")
+    root = name_shared_root(spark)
+    assert shared_root(spark) == root
+    assert name_shared_root(spark) == root
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert root == named.rstrip("/")
+
+
+def test_a_session_without_a_shared_folder(tmp_path):
+    """A plain local install: no Spark configuration at all."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = """
+from driftlog.session import build_session, name_shared_root, save_and_reload, shared_root
+from pyspark.sql import SparkSession
+plain = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert not plain.conf.get("spark.checkpoint.dir", None)
+try:
+    shared_root(plain)
+except ValueError:
+    pass
+else:
+    raise AssertionError
+assert name_shared_root(plain) == shared_root(plain)
+spark = build_session("local[1]")
+assert save_and_reload(spark.range(3), "r").count() == 3
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_SUBMIT_ARGS"}
+    env |= {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": repo}
+    done = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
 
 
 # ------------------------------------------------------------ measurement
