@@ -15,6 +15,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from driftlog.llm.text import Spans, Texts, gather, slices
 
 LONG_WORD = 256
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.iinfo(np.int64).max
@@ -179,6 +180,41 @@ class Codec:
                 heapq.heappush(heap, (rank[p], before[i]))
         return [t for t in token if t >= 0]
 
+    def merge_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """``merge_exactly`` of many short words: one merge of each per round."""
+        tokens = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        out: list = [None] * len(words)
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """Rank of the pair that begins at each place; none across words."""
+            inside = at[at + 1 < len(tokens)]
+            inside = inside[owner[inside] == owner[inside + 1]]
+            found = np.full(len(tokens), _NONE)
+            found[inside] = self.merged(tokens[inside], tokens[inside + 1])
+            return found[at]
+
+        rank = ranks(np.arange(len(tokens)))
+        while len(tokens):
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            sizes = np.diff(np.append(first, len(tokens)))
+            least = np.minimum.reduceat(rank, first)
+            over = least == _NONE
+            for i, a, n in zip(owner[first[over]].tolist(), first[over].tolist(), sizes[over].tolist(), strict=True):
+                out[i] = tokens[a : a + n]
+            at = np.flatnonzero((rank == np.repeat(least, sizes)) & np.repeat(~over, sizes))
+            at = at[np.concatenate(([True], owner[at][1:] != owner[at][:-1]))] if len(at) else at
+            tokens = tokens.copy()
+            tokens[at] = rank[at]
+            kept = np.repeat(~over, sizes)
+            kept[at + 1] = False
+            moved = np.cumsum(kept) - 1
+            at = moved[at]
+            tokens, owner, rank = tokens[kept], owner[kept], rank[kept]
+            touched = np.concatenate((at, at[at > 0] - 1))
+            rank[touched] = ranks(touched)
+        return out
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Vocabulary ids of all words, concatenated, and bounds."""
         short = [w if len(w) <= LONG_WORD else b"" for w in words]
@@ -188,7 +224,10 @@ class Codec:
         pairs, which = np.unique(tokens[border] << 32 | tokens[border + 1], return_inverse=True)
         fine = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
         exact[owner[border[~fine[which]]]] = True
-        redone = {int(i): self.merge_exactly(words[i]) for i in np.flatnonzero(exact)}
+        failing = np.flatnonzero(exact).tolist()
+        brief = [i for i in failing if len(words[i]) <= LONG_WORD]
+        redone = dict(zip(brief, self.merge_together([words[i] for i in brief]), strict=True))
+        redone |= {i: self.merge_exactly(words[i]) for i in failing if len(words[i]) > LONG_WORD}
         sizes = np.bincount(owner, minlength=len(words))
         for i, new in redone.items():
             sizes[i] = len(new)
@@ -206,6 +245,18 @@ class Codec:
         self.known = _Numbers()
         self.word_ids = np.zeros(0, np.int64)
         self.word_bounds = np.zeros(1, np.int64)
+        self.word_uses = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the quarter of the known words that were used most."""
+        kept = np.sort(np.argsort(-self.word_uses, kind="stable")[: CACHED_WORDS // 4])
+        spelled = list(self.known)
+        ids, sizes = gather(self.word_ids, self.word_bounds, kept)
+        uses = self.word_uses[kept]
+        self.forget()
+        for i in kept.tolist():
+            self.known[spelled[i]] = len(self.known)
+        self.word_ids, self.word_bounds, self.word_uses = ids, np.concatenate(([0], np.cumsum(sizes))), uses
 
     def _words(self, text: str) -> list:
         if self.splitter is None or not self.splitter.search(text):
@@ -221,8 +272,10 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, concatenated, and bounds."""
         if len(self.known) > CACHED_WORDS:
-            self.forget()
-        numbers = [list(map(self.known.__getitem__, self._words(t))) for t in texts]
+            self.forget_rare()
+        words = [self._words(t) for t in texts]
+        counts = np.array([len(w) for w in words], np.int64)
+        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         fresh = self.known.fresh
         if fresh:
             plain = [w.encode() if isinstance(w, str) else b"" for w in fresh]
@@ -236,8 +289,9 @@ class Codec:
             more = self.word_bounds[-1] + np.cumsum(sizes)
             self.word_bounds = np.concatenate((self.word_bounds, more))
             self.known.fresh = []
-        counts = np.array([len(n) for n in numbers], np.int64)
-        flat = np.fromiter((i for n in numbers for i in n), np.int64, int(counts.sum()))
+        uses = np.bincount(flat, minlength=len(self.known))
+        uses[: len(self.word_uses)] += self.word_uses
+        self.word_uses = uses
         ids, sizes = gather(self.word_ids, self.word_bounds, flat)
         sums = np.concatenate(([0], np.cumsum(sizes)))
         return ids, sums[np.concatenate(([0], np.cumsum(counts)))]
