@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlog.llm.blobs import RangeReader, list_blobs, write_blobs
-from driftlog.llm.text import TO_LOWER, Texts, find_words, gather, hash_spans, slices
+from driftlog.llm.text import TO_LOWER, Texts, find_words, gather, hash_spans, same_spans, slices
 
 BLOCK = 128
 CHUNK = 512 * BLOCK
@@ -230,6 +230,8 @@ class WordEncoder:
         self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
         self.ids = np.zeros(0, np.int32)
         self.bounds = np.zeros(1, np.int64)
+        self.spelled = np.zeros(0, np.uint8)
+        self.spelled_bounds = np.zeros(1, np.int64)
 
     def _forget_pieces(self) -> None:
         self.piece_rows: dict[bytes, int] = {}
@@ -274,6 +276,9 @@ class WordEncoder:
         counts = np.array([len(own) for own in cut], np.int64)
         sizes = np.add.reduceat(sizes, np.cumsum(counts) - counts)
         first = len(self.bounds) - 1
+        self.spelled = np.concatenate((self.spelled, np.frombuffer(b"".join(words), np.uint8)))
+        ends = self.spelled_bounds[-1] + np.cumsum([len(w) for w in words])
+        self.spelled_bounds = np.concatenate((self.spelled_bounds, ends))
         self.ids = np.concatenate((self.ids, ids))
         self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
         late = self._merge(self.known[1], (hashes, first + np.arange(len(words))))
@@ -304,23 +309,32 @@ class WordEncoder:
         words = find_words(texts)
         odd = np.concatenate(([0], np.cumsum((texts.data >= 128) | (texts.data == 39) | (texts.data == 60))))
         plain = odd[words.ends] == odd[words.starts]
-        low = TO_LOWER[texts.data]
-        hashes = np.where(
-            plain,
-            hash_spans(low, words.starts, words.ends),
-            hash_spans(texts.data, words.starts, words.ends) ^ np.uint64(1),
-        )
+        # Plain words are looked up in lower case, others as they stand.
+        steps = np.zeros(len(texts.data) + 1, np.int8)
+        steps[words.starts[plain]] = 1
+        steps[words.ends[plain]] -= 1
+        data = np.where(np.cumsum(steps[:-1], dtype=np.int8) > 0, TO_LOWER[texts.data], texts.data)
+        hashes = hash_spans(data, words.starts, words.ends)
         seen, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         rows = self._rows(seen)
         fresh = rows < 0
         if fresh.any():
             picked = first[fresh]
-            raw, lowered = texts.data.tobytes(), low.tobytes()
-            flags = plain[picked].tolist()
-            spans = zip(words.starts[picked].tolist(), words.ends[picked].tolist(), flags, strict=True)
-            self._learn([(lowered if p else raw)[a:b] for a, b, p in spans], flags, seen[fresh])
+            raw, flags = data.tobytes(), plain[picked].tolist()
+            spans = zip(words.starts[picked].tolist(), words.ends[picked].tolist(), strict=True)
+            self._learn([raw[a:b] for a, b in spans], flags, seen[fresh])
             rows = self._rows(seen)
-        ids, sizes = gather(self.ids, self.bounds, rows[which])
+        rows = rows[which]
+        ids, sizes = gather(self.ids, self.bounds, rows)
+        # Words that only share the hash of a known word are encoded alone.
+        at = self.spelled_bounds
+        alike = same_spans(data, words.starts, words.ends, self.spelled, at[rows], at[rows + 1])
+        if not alike.all():
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in np.flatnonzero(~alike).tolist():
+                word = data[words.starts[i] : words.ends[i]].tobytes()
+                parts[i] = np.concatenate(self._ids(self.runs.findall(word) if plain[i] else [word]))
+            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
         sums = np.concatenate(([0], np.cumsum(sizes)))
         return ids, sums[words.bounds]
 

@@ -7,6 +7,7 @@ slices of about ``SLICE_BYTES``, so memory follows the longest text at worst.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
 SHINGLE_WORDS = 5
+LONG_SPAN = 4_096
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -131,9 +133,57 @@ class Spans:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one number each."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+_LANE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    return Spans(data).hash(starts, ends)
+    """64-bit hashes of byte spans, eight bytes at a time.
+
+    Every eight bytes are mixed into the hash of those before, so spans do not
+    cancel out as terms of a sum can; unlike spans of up to eight bytes and one
+    length never share a hash.  Spans over ``LONG_SPAN`` bytes are digested one
+    by one.
+    """
+    lanes = _lanes(data)
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(_BASE))
+    for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, "<u8")[0]
+    rows = np.flatnonzero(sizes <= LONG_SPAN)
+    at, left = starts[rows], sizes[rows]
+    while True:
+        open_ = left > 0
+        if not open_.all():
+            rows, at, left = rows[open_], at[open_], left[open_]
+        if not len(rows):
+            return out
+        own = lanes[at] & _LANE_MASKS[np.minimum(left, 8)]
+        out[rows] = mix(mix(out[rows] ^ own) + np.uint64(_BASE))
+        at, left = at + 8, left - 8
+
+
+def same_spans(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray
+) -> np.ndarray:
+    """Whether each span of ``data`` holds the same bytes as its span of ``other``."""
+    mine, theirs = _lanes(data), _lanes(other)
+    out = ends - starts == to - from_
+    rows = np.flatnonzero(out)
+    at, there, left = starts[rows], from_[rows], (ends - starts)[rows]
+    while len(rows):
+        mask = _LANE_MASKS[np.clip(left, 0, 8)]
+        alike = (mine[at] & mask) == (theirs[there] & mask)
+        out[rows[~alike]] = False
+        more = alike & (left > 8)
+        rows, at, there, left = rows[more], at[more] + 8, there[more] + 8, left[more] - 8
+    return out
 
 
 def windows(hashes: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
