@@ -292,7 +292,19 @@ def fit_classifier(
     return w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
+class VoteScorer:
+    """Stands in for the classifier where no row is labelled: the label
+    model's posterior of a text's votes; a text without votes is clean."""
+
+    def __init__(self, voters: Voters, model: LabelModel):
+        self.voters, self.model = voters, model
+
+    def score(self, texts: Texts) -> np.ndarray:
+        votes = self.voters.vote(*features(texts), len(texts))
+        return np.where(votes == 0, 0.0, self.model.posterior(votes))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier | VoteScorer:
     """Voters, label model and classifier; see the module text.
 
     Only labels of rows outside the held-out fifth are read.  Without labels
@@ -335,6 +347,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 [pa.array([x.tolist() for x in lists], pa.list_(pa.int32())), pa.array(target)], ["cols", "target"]
             )
 
+    if sample.isEmpty():
+        return VoteScorer(voters, model)
     # At most sample_rows short lists reach the driver.
     fitted = sample.mapInArrow(project, "cols array<int>, target double").toArrow().combine_chunks()
     sizes = np.asarray(pc.list_value_length(fitted["cols"]), np.int64)
@@ -344,7 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Classifier(lookup, weights, bias)
 
 
-def score_documents(docs: DataFrame, classifier: Classifier) -> DataFrame:
+def score_documents(docs: DataFrame, classifier: Classifier | VoteScorer) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted for every row of ``docs``.
 
     The score depends on the text only.  NULL and empty texts score like a text
@@ -367,7 +381,7 @@ def score_documents(docs: DataFrame, classifier: Classifier) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, classifier: Classifier) -> DataFrame:
+def keep_clean(docs: DataFrame, classifier: Classifier | VoteScorer) -> DataFrame:
     """The rows of ``docs`` scored below 0.5, all columns unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
