@@ -28,21 +28,36 @@ PHRASES = [
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 ]
-#: Common wording of licence notices, as words.
+#: Common wording of licence notices, as words; the label; the
+#: words that tell it from other notices, which must stand unedited.
 NOTICES = [
-    ("this program is free software you can redistribute it and or modify it under the terms of", "gpl"),
-    ("licensed under the gnu general public license", "gpl"),
-    ("licensed under the gnu lesser general public license", "lgpl"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee", "isc"),
-    ("subject to the terms of the mozilla public license", "mpl"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("licensed under a creative commons attribution", "cc-by"),
-    ("licensed under cc by", "cc-by"),
-    ("all rights reserved", "proprietary"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general", "gpl", "gnu general"),
+    ("licensed under the gnu general public license", "gpl", "gnu general"),
+    ("gnu general public license as published by the free software foundation", "gpl", "gnu general"),
+    ("licensed under the gnu lesser general public license", "lgpl", "lesser"),
+    ("licensed under the gnu affero general public license", "agpl", "affero"),
+    ("licensed under the apache license version 2 0", "apache", "apache"),
+    ("you may not use this file except in compliance with the license", "apache", "compliance"),
+    ("released under the mit license", "mit", "mit"),
+    ("licensed under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", "granted charge"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "source binary"),
+    ("licensed under the bsd license", "bsd", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used", "bsd", "neither nor"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee", "isc", "purpose fee"),
+    ("subject to the terms of the mozilla public license", "mpl", "mozilla"),
+    ("released under the mpl license", "mpl", "mpl"),
+    ("licensed under the eclipse public license", "epl", "eclipse"),
+    ("distributed under the boost software license version 1 0", "boost", "boost"),
+    ("licensed under the artistic license", "artistic", "artistic"),
+    ("licensed under the zlib license", "zlib", "zlib"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered"),
+    ("this work is dedicated to the public domain", "public-domain", "public domain"),
+    ("to the extent possible under law the author has waived all copyright and related rights", "cc0", "waived"),
+    ("licensed under a creative commons attribution", "cc-by", "commons attribution"),
+    ("licensed under cc by", "cc-by", "cc by"),
+    ("do what the fuck you want to public license", "wtfpl", "want"),
+    ("all rights reserved", "proprietary", "all reserved"),
 ]
 CHARS_PER_EDIT = 12
 
@@ -54,6 +69,7 @@ _SEPARATORS[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = False
 class Notice(NamedTuple):
     text: str
     label: str
+    naming: list[str]
     edits: int
     pattern: regex.Pattern
 
@@ -63,12 +79,12 @@ def allowed_edits(text: str) -> int:
 
 
 @lru_cache(maxsize=4)
-def _search(notices: tuple[tuple[str, str], ...]) -> tuple[list[Notice], ahocorasick.Automaton]:
+def _search(notices: tuple[tuple[str, str, str], ...]) -> tuple[list[Notice], ahocorasick.Automaton]:
     built, pieces = [], {}
-    for number, (text, label) in enumerate(notices):
+    for number, (text, label, naming) in enumerate(notices):
         edits = allowed_edits(text)
         pattern = regex.compile(rf"(?<![^ ])(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}(?![^ ])", regex.ENHANCEMATCH)
-        built.append(Notice(text, label, edits, pattern))
+        built.append(Notice(text, label, naming.split(), edits, pattern))
         cuts = [round(i * len(text) / (edits + 1)) for i in range(edits + 2)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             pieces.setdefault(text[a:b], []).append((number, a))
@@ -89,10 +105,24 @@ class Found(NamedTuple):
     edits: int
 
 
-def find_notices(words: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICES)) -> list[Found]:
-    """All fuzzy notices in lower-case words joined by single spaces."""
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(out.pop()[1], b)
+        out.append((a, b))
+    return out
+
+
+def find_notices(words: str, notices: tuple[tuple[str, str, str], ...] = tuple(NOTICES)) -> list[Found]:
+    """All fuzzy notices in lower-case words joined by single spaces.
+
+    Edits may fall anywhere but in the naming words of a notice, which must
+    stand in the found span in their order.
+    """
     built, automaton = _search(notices)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, list[tuple[int, int]]] = {}
     for end, (size, uses) in automaton.iter(words):
         for number, offset in uses:
             notice = built[number]
@@ -101,21 +131,19 @@ def find_notices(words: str, notices: tuple[tuple[str, str], ...] = tuple(NOTICE
             # A window reaches to the ends of the words it cuts.
             a = words.rfind(" ", 0, a) + 1
             b = words.find(" ", b) if words.find(" ", b) >= 0 else len(words)
-            known = windows.setdefault(number, [])
-            if known and a <= known[-1][1]:
-                known[-1][0] = min(known[-1][0], a)
-                known[-1][1] = max(known[-1][1], b)
-            else:
-                known.append([a, b])
+            windows.setdefault(number, []).append((a, b))
     found = []
     for number, spans in windows.items():
         notice = built[number]
         first, counted = 0, 0
-        for a, b in spans:
+        for a, b in _merged(spans):
             for m in notice.pattern.finditer(words[a:b]):
                 # Spans come in order, so each space is counted once.
                 first += words.count(" ", counted, a + m.start())
                 counted = a + m.start()
+                own = iter(m.group().split(" "))
+                if not all(word in own for word in notice.naming):
+                    continue
                 found.append(
                     Found(notice.label, notice.text, first, first + m.group().count(" "), sum(m.fuzzy_counts))
                 )
@@ -156,9 +184,11 @@ _SPANS = pa.list_(
 )
 
 
-def scan_documents(docs: DataFrame) -> DataFrame:
+def scan_documents(docs: DataFrame, notices: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Licence labels of every whole text, one row per row of ``docs``.
 
+    ``notices`` replaces the table of (wording, label, naming words).
+
     doc_id, n_words; n_base, first_word, last_word and base_labels of the exact
     phrases; labels, these and those of the fuzzy notices; score, 1 for an
     exact phrase, else the share of the best notice's characters that are not
@@ -166,9 +196,12 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     Words are runs of ASCII letters, digits and all non-ASCII characters, after
     lower-casing A-Z.  NULL and empty texts have no words and no labels; a text
-    without exact phrase has NULL first_word and last_word.  Repeated rows get
-    equal rows; other columns are ignored.
+    without exact phrase has NULL first_word and last_word.  Very long texts are
+    searched whole.  Of overlapping spans of one notice the first is reported.
+    Repeated rows get equal rows; other columns are ignored; an empty table
+    gives an empty result.
     """
+    table = tuple(NOTICES if notices is None else notices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -185,7 +218,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
                 np.maximum.at(last, owner, at - bounds[owner])
                 for i in set(owner.tolist()):
                     labels[i].add(label)
-            spans = [find_notices(t) for t in _normal(low, ~_SEPARATORS[low.data])]
+            spans = [find_notices(t, table) for t in _normal(low, ~_SEPARATORS[low.data])]
             score = [
                 1.0 if labels[i] else max((1 - f.edits / len(f.notice) for f in own), default=0.0)
                 for i, own in enumerate(spans)
