@@ -44,7 +44,7 @@ def rules(text):
 
 def test_rule_counts(make_docs, edge_rows):
     rows = edge_rows + [(20, "a b\na b\n\n \na b"), (21, "x " * 30), (22, "é# b*\n" * 3), (23, prose(5, 20) + "\n" + prose(5, 20))]
-    got = quality.score_documents(make_docs(rows, clash=True), np.zeros(1 << quality.BUCKET_BITS)).collect()
+    got = quality.score_documents(make_docs(rows, clash=True), quality.Model(np.zeros(1 << quality.BUCKET_BITS), {})).collect()
     found = Counter((r.doc_id, *[r[c] for c in quality.COUNTS], r.base_failed) for r in got)
     want = Counter()
     for i, text in rows:
@@ -66,14 +66,14 @@ def test_ratio_is_the_multinomials(make_docs, spark):
             raw[bucket] += 1
             target[bucket] += i == 1
     want = np.log((target + 0.5) / (target.sum() + size / 2)) - np.log((raw + 0.5) / (raw.sum() + size / 2))
-    assert np.allclose(ratios, want)
+    assert np.allclose(ratios.ratios, want)
     none = quality.train(make_docs(rows), spark.createDataFrame([], "doc_id long"))
-    assert not none.any()
+    assert not none.ratios.any() and not none.cuts
 
 
 def test_keeping_passes_all_columns(make_docs, edge_rows):
     docs = make_docs(edge_rows, clash=True)
-    ratios = np.zeros(1 << quality.BUCKET_BITS)
+    ratios = quality.Model(np.zeros(1 << quality.BUCKET_BITS), {})
     kept = quality.keep_good(docs, ratios)
     assert kept.columns == docs.columns
     assert kept.count() == quality.score_documents(docs, ratios).filter("kept").count()
