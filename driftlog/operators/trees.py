@@ -56,43 +56,72 @@ def content_ids(inventory: DataFrame, prior: DataFrame | None = None, full_scan:
     return reused.unionByName(hashed)
 
 
+LANES = 4
+
+
+def _lanes(path: Column, entry: Column) -> list[Column]:
+    """The parts of an entry's digest that are summed up."""
+    digest = F.sha2(
+        F.concat_ws("\u0000", path, entry["entry_type"], F.coalesce(entry["blob"], F.lit("")),
+                    entry["executable"].cast("string")),
+        256,
+    )
+    return [F.conv(F.substring(digest, 1 + 15 * lane, 15), 16, 10).cast("decimal(20,0)") for lane in range(LANES)]
+
+
+def _tree_id() -> Column:
+    sums = [F.col(f"_lane{lane}").cast("string") for lane in range(LANES)]
+    return F.concat(F.lit("t:"), F.sha2(F.concat_ws(":", F.col("entries").cast("string"), *sums), 256))
+
+
 def tree_ids(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Content-derived id of each entry set.
 
     The id hashes the entry count and four sums over entry digests, so it
     needs no order and is combined before the shuffle.
     """
-    entry = F.sha2(
-        F.concat_ws("\u0000", "path", "entry_type", F.coalesce("blob", F.lit("")),
-                    F.col("executable").cast("string")),
-        256,
-    )
-    lanes = [
-        F.sum(F.conv(F.substring("_digest", 1 + 15 * lane, 15), 16, 10).cast("decimal(20,0)"))
-        .alias(f"_lane{lane}")
-        for lane in range(4)
-    ]
+    lanes = [F.sum(lane).alias(f"_lane{i}") for i, lane in enumerate(_lanes(F.col("path"), _entry()))]
     return (
         with_entry_defaults(entries)
-        .withColumn("_digest", entry)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("bytes"), *lanes)
-        .select(
-            *keys,
-            F.concat(
-                F.lit("t:"),
-                F.sha2(
-                    F.concat_ws(
-                        ":",
-                        F.col("entries").cast("string"),
-                        *[F.col(f"_lane{lane}").cast("string") for lane in range(4)],
-                    ),
-                    256,
-                ),
-            ).alias("tree"),
-            "entries",
-            "bytes",
-        )
+        .select(*keys, _tree_id().alias("tree"), "entries", "bytes")
+    )
+
+
+def running_tree_ids(changes: DataFrame, generations: DataFrame, order: str) -> DataFrame:
+    """``tree_ids`` of every generation, from the changes between them alone.
+
+    ``changes`` holds session_id, the generation in ``order``, path, the entry
+    structs before and after (NULL where absent) and after_bytes, before_bytes;
+    ``generations`` all pairs of session_id and ``order``.  Ids are hashes of
+    sums, so a generation's sums are those before it plus the digests of new
+    entries less those of old ones: unchanged entries are never read.
+    """
+    zero = F.lit(0).cast("decimal(20,0)")
+    before, after = F.col("before"), F.col("after")
+
+    def change(new: Column, old: Column) -> Column:
+        return F.when(after.isNotNull(), new).otherwise(zero) - F.when(before.isNotNull(), old).otherwise(zero)
+
+    lanes = [
+        F.sum(change(new, old)).cast("decimal(38,0)").alias(f"_lane{i}")
+        for i, (new, old) in enumerate(zip(_lanes(F.col("path"), after), _lanes(F.col("path"), before), strict=True))
+    ]
+    step = changes.groupBy("session_id", order).agg(
+        F.sum(after.isNotNull().cast("bigint") - before.isNotNull().cast("bigint")).alias("entries"),
+        F.sum(F.coalesce("after_bytes", F.lit(0)) - F.coalesce("before_bytes", F.lit(0))).alias("bytes"),
+        *lanes,
+    )
+    names = ["entries", "bytes", *[f"_lane{i}" for i in range(LANES)]]
+    return ordered_scan(
+        generations.select("session_id", order).join(step, ["session_id", order], "left"),
+        ["session_id"],
+        [order],
+        seq_chunk(order),
+        sums={f"_sum{name}": F.col(name) for name in names},
+    ).select("session_id", order, *[F.col(f"_sum{name}").alias(name) for name in names]).select(
+        "session_id", order, _tree_id().alias("tree"), "entries", "bytes"
     )
 
 

@@ -299,14 +299,16 @@ def touched_events(kept_paths: DataFrame) -> DataFrame:
     )
 
 
-def assemble(
+def ordered_events(
     sessions: DataFrame,
     windows: DataFrame,
     overflows: DataFrame,
     commands: DataFrame,
     chunk_ms: int | None = None,
 ) -> DataFrame:
-    """Events of all sessions in emission order with contiguous seq.
+    """Events of all sessions in emission order with contiguous seq, without
+    bodies: session_id, seq, type, at_ms, window_start, command_id, capture,
+    detail, raw_events, op and snapshots, the number of snapshots so far.
 
     ``sessions``   session_id, opened_ms
     ``windows``    session_id, window_start, closed_ms, touched_raw (NULL for
@@ -322,7 +324,7 @@ def assemble(
 
     def rows(df: DataFrame, kind: str, at: Column, phase: int, place: Column,
              step: Column = F.lit(0), detail: Column = text, raw: Column = number,
-             capture: Column = text) -> DataFrame:
+             capture: Column = text, window: Column = number, command: Column = number) -> DataFrame:
         return df.select(
             "session_id",
             F.lit(kind).alias("type"),
@@ -333,6 +335,8 @@ def assemble(
             detail.alias("detail"),
             raw.cast("bigint").alias("raw_events"),
             capture.alias("capture"),
+            window.alias("window_start"),
+            command.alias("command_id"),
         )
 
     closed = windows.filter(F.col("closed_ms").isNotNull())
@@ -344,6 +348,7 @@ def assemble(
         "left_anti",
     )
     command_at = (F.col("t_ms"), 3, F.col("command_id"))
+    named = {"command": F.col("command_id")}
     events = (
         rows(sessions, "session_start", F.coalesce(F.col("opened_ms"), F.lit(0)), -1, F.lit(0),
              capture=F.lit("baseline"))
@@ -351,15 +356,16 @@ def assemble(
                           F.col("closed_ms"), 0, F.col("place"), detail=F.col("source"),
                           raw=F.col("raw_events")))
         .unionByName(rows(closed.filter(F.col("touched_raw").isNotNull()), "touched_paths",
-                          F.col("closed_ms"), 1, F.lit(0), raw=F.col("touched_raw")))
-        .unionByName(rows(closed, "snapshot", F.col("closed_ms"), 2, F.lit(0), capture=captured))
+                          F.col("closed_ms"), 1, F.lit(0), raw=F.col("touched_raw"), window=F.col("window_start")))
+        .unionByName(rows(closed, "snapshot", F.col("closed_ms"), 2, F.lit(0), capture=captured,
+                          window=F.col("window_start")))
         .unionByName(rows(idle_snaps, "snapshot", *command_at,
                           capture=F.concat(F.lit("s"), F.col("command_id").cast("string"))))
-        .unionByName(rows(commands.filter(F.col("command") == "mark"), "mark", *command_at))
-        .unionByName(rows(commands.filter(F.col("command") == "flush"), "flush", *command_at))
-        .unionByName(rows(commands.filter(F.col("command") == "shutdown"), "session_end", *command_at))
+        .unionByName(rows(commands.filter(F.col("command") == "mark"), "mark", *command_at, **named))
+        .unionByName(rows(commands.filter(F.col("command") == "flush"), "flush", *command_at, **named))
+        .unionByName(rows(commands.filter(F.col("command") == "shutdown"), "session_end", *command_at, **named))
         .unionByName(rows(commands.filter(F.col("command") == "shutdown"), "flush", *command_at,
-                          step=F.lit(1)))
+                          step=F.lit(1), **named))
     )
     op = F.when(
         F.col("capture").isNotNull(),
@@ -375,5 +381,20 @@ def assemble(
         sums={"snapshots": (F.col("type") == "snapshot").cast("bigint")},
         last={"op": op},
     ).select(
+        "session_id", "seq", "type", "at_ms", "window_start", "command_id", "capture", "detail", "raw_events",
+        "op", "snapshots",
+    )
+
+
+def assemble(
+    sessions: DataFrame,
+    windows: DataFrame,
+    overflows: DataFrame,
+    commands: DataFrame,
+    chunk_ms: int | None = None,
+) -> DataFrame:
+    """``ordered_events`` without references; ``assembly.assemble_typed`` adds
+    the bodies."""
+    return ordered_events(sessions, windows, overflows, commands, chunk_ms).select(
         "session_id", "seq", "type", "at_ms", "detail", "raw_events", "op", "snapshots"
     )

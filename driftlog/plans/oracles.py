@@ -482,6 +482,46 @@ _q("assembled_timeline", """select session_id, row_number() over w - 1 as seq, t
   (sum(case when type = 'snapshot' then 1 else 0 end) over w)::bigint as snapshots
 from emitted window w as (partition by session_id order by type <> 'session_start', at_ms, phase, place, type)""", _ASSEMBLY, True)
 
+# Typed bodies: paths capped at 3, changes at 2, states as of each capture.
+_TYPED = f"""{_ASSEMBLY},
+limited as (select *, row_number() over (partition by session_id, window_start order by first_ms, first_notif, path) as rank,
+    sum(raw_events) over (partition by session_id, window_start) as all_raw, min(first_ms) over (partition by session_id, window_start) as began,
+    count(*) over (partition by session_id, window_start) as all_paths from (
+  select session_id, window_start, path, count(*) as raw_events, min(t_ms) as first_ms, arg_min(notif_id, (t_ms, notif_id)) as first_notif,
+    list(distinct operation) as ops from touches join assigned using (session_id, t_ms) group by 1, 2, 3)),
+bodies as (select session_id, closed_ms, began, string_agg(path || ':' || replace({op_list('ops')}, ',', '+'), ',' order by path) as paths
+  from limited join bounds using (session_id, window_start) where rank <= 3 group by 1, 2, 3),
+everything as (select * from emitted union all select distinct session_id, 'overflow', closed_ms, 0, -1, 'recorder:audit_path_limit:3', all_raw::bigint
+  from limited join bounds using (session_id, window_start) where all_paths > 3),
+numbered as (select *, row_number() over w - 1 as seq, (sum(case when type = 'snapshot' then 1 else 0 end) over w)::bigint as snapshots
+  from everything window w as (partition by session_id order by type <> 'session_start', at_ms, phase, place, type)),
+captures as (select session_id, snapshots as capture_no, at_ms from numbered where type in ('session_start', 'snapshot')),
+seen as (select t.*, (select min(capture_no) from captures c where c.session_id = t.session_id and c.at_ms >= t.t_ms) as capture_no from touches t),
+states as (select session_id, capture_no, path, arg_max(case when operation <> 'remove' then
+    {{'blob': sha256((notif_id % 50)::varchar), 'x': notif_id % 3 = 0, 'bytes': notif_id % 1000}} end, (t_ms, notif_id)) as after
+  from (select * from seen where capture_no is not null) group by 1, 2, 3),
+kinds as (select *, case when before is null and after is null then null when before is null then 'added' when after is null then 'removed'
+    when before.blob <> after.blob then 'modified' when before.x <> after.x then 'mode_changed' end as kind
+  from (select *, lag(after) over (partition by session_id, path order by capture_no) as before from states)),
+changed as (select *, row_number() over (partition by session_id, capture_no order by path) as place from kinds where kind is not null and capture_no > 0),
+listed as (select session_id, capture_no, count(*) as total, string_agg(concat_ws(':', path, kind, coalesce('b:' || after.blob, ''),
+      coalesce('b:' || before.blob, ''), coalesce(after.bytes::varchar, '')), ',' order by path) filter (place <= 2) as changes,
+    count(*) filter (kind = 'added') as added, count(*) filter (kind = 'removed') as removed, count(*) filter (kind = 'modified') as modified,
+    count(*) filter (kind = 'mode_changed') as mode_changed from changed group by 1, 2)"""
+_CLOCK = "strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')"
+_q("assembled_round_trip", f"""select n.session_id, n.seq, {_CLOCK.format('n.at_ms')} as ts, n.type, n.raw_events, n.detail as source,
+  b.paths, case when n.type = 'touched_paths' then {_CLOCK.format('b.began')} end as started_at,
+  case when n.type = 'snapshot' then coalesce(l.changes, '') end as changes,
+  case when n.type = 'snapshot' then coalesce(l.added, 0) end as added, case when n.type = 'snapshot' then coalesce(l.removed, 0) end as removed,
+  case when n.type = 'snapshot' then coalesce(l.modified, 0) end as modified,
+  case when n.type = 'snapshot' then coalesce(l.mode_changed, 0) end as mode_changed,
+  case when n.type = 'snapshot' then coalesce(l.total, 0) > 2 end as truncated,
+  case when n.type = 'mark' then 'm' || n.place end as label, case when n.type = 'mark' then n.place end as meta_n,
+  case when n.type = 'flush' then n.seq end as through_seq
+from numbered n left join bodies b on n.type = 'touched_paths' and b.session_id = n.session_id and b.closed_ms = n.at_ms
+left join listed l on n.type = 'snapshot' and l.session_id = n.session_id and l.capture_no = n.snapshots""", _TYPED, True)
+_q("assembled_audit", "select session_id, 0::bigint as seq, '' as rule, '' as detail from notes where false", NOTES)
+
 # ------------------------------------------------------------------ trees
 
 

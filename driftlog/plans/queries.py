@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlog.functions.values import event_object_name, operations_of, touch_operation
-from driftlog.operators import measure, publish, timeline, trees, validate, windows
+from driftlog.operators import assembly, measure, publish, timeline, trees, validate, windows
 from driftlog.operators.segments import BatchLimit
 from driftlog.plans import recipes
 from driftlog.session import save_and_reload, scratch_path
@@ -599,6 +599,64 @@ def assembled_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _typed_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Notifications are parsed and filtered once for all branches.
+    notes = save_and_reload(recipes.notifications(spark, sf_dir), "notifications")
+    touches = save_and_reload(windows.observe(notes, recipes.ROOT, ignores=recipes.IGNORES), "touches")
+    overflows = windows.overflow_reports(notes)
+    commands = recipes.commands(spark, sf_dir).selectExpr(
+        "*", "concat('m', cast(command_id as string)) label", "concat('{\"n\":', cast(command_id as string), '}') meta",
+        "cast(null as string) reason",
+    )
+    assigned = save_and_reload(windows.debounce(touches, recipes.RULE, overflows, commands), "assigned")
+    paths = save_and_reload(windows.window_paths(windows.in_windows(touches, assigned)), "paths")
+    sessions = notes.groupBy("session_id").agg(F.min("t_ms").alias("opened_ms")).select(
+        "*", F.array(F.lit(recipes.ROOT)).alias("roots"), F.array(*map(F.lit, recipes.IGNORES)).alias("ignore")
+    )
+    return assembly.assemble_typed(
+        sessions, paths, windows.window_bounds(assigned, recipes.RULE), windows.in_windows(overflows, assigned),
+        commands, recipes.edits(touches), max_paths=3, max_changes=2, chunk_ms=recipes.RULE.chunk_ms,
+    )[0]
+
+
+def _typed_export(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "typed-timeline")
+    sinks.write_timeline(sinks.typed_json(_typed_timeline(spark, sf_dir)), path)
+    return path
+
+
+@query
+def assembled_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = timeline.typed(readers.read_timeline(spark, _typed_export(spark, sf_dir)))
+    text = lambda *parts: F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return events.select(
+        "session_id", "seq", "ts", "type",
+        F.coalesce("touched_paths.raw_events", "overflow.raw_events").alias("raw_events"),
+        F.col("overflow.source").alias("source"),
+        _joined(F.transform("touched_paths.paths", lambda p: text(p["path"], F.concat_ws("+", p["operations"])))).alias("paths"),
+        F.col("touched_paths.window_started_at").alias("started_at"),
+        _joined(
+            F.transform("snapshot.changes", lambda c: text(c["path"], c["kind"], c["blob"], c["prev_blob"], c["bytes"]))
+        ).alias("changes"),
+        *[F.col(f"snapshot.stats.{kind}").alias(kind) for kind in ("added", "removed", "modified", "mode_changed")],
+        F.col("snapshot.truncated").alias("truncated"),
+        F.col("mark.label").alias("label"),
+        F.variant_get("mark.meta", "$.n", "bigint").alias("meta_n"),
+        F.col("flush.through_seq").alias("through_seq"),
+    )
+
+
+@query
+def assembled_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _typed_export(spark, sf_dir)
+    lines = readers.read_lines(spark, path)
+    faults = validate.validate_timeline(lines).filter("not ok").select(
+        F.col("file").alias("session_id"), F.lit(None).cast("bigint").alias("seq"),
+        F.lit("valid_timeline").alias("rule"), F.col("error_class").alias("detail"),
+    )
+    return validate.audit(timeline.typed(readers.read_timeline(spark, path))).unionByName(faults)
+
+
 # ------------------------------------------------------------------ trees
 
 

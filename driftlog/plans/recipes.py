@@ -42,6 +42,21 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edits(touches: DataFrame) -> DataFrame:
+    """File states behind the touches: a removal empties its path, any other
+    touch writes content named after the notification."""
+    return touches.select("session_id", "t_ms", "notif_id", "operation", F.posexplode("paths").alias("pos", "path")).selectExpr(
+        "session_id",
+        "t_ms",
+        "notif_id * 1024 + pos edit_id",
+        "path",
+        "'file' entry_type",
+        "case when operation <> 'remove' then sha2(cast(notif_id % 50 as string), 256) end blob",
+        "notif_id % 3 = 0 executable",
+        "notif_id % 1000 bytes",
+    )
+
+
 def pausing_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("event_id % 25 = 0").selectExpr(
         "concat('u', cast(user_id as string)) session_id",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driftlog.functions.values import event_object_name
 from driftlog.operators.ordered import attach_facts, ordered_scan, seq_chunk
+from driftlog.schemas import BODIES
 from driftlog.session import save_and_reload
 
 
@@ -27,6 +28,18 @@ def event_json(timeline: DataFrame) -> DataFrame:
     )
 
 
+def typed_json(timeline: DataFrame, start_fields: dict[str, str] | None = None) -> DataFrame:
+    """Typed events, one body column per event type, as JSON lines.  Absent
+    optional fields are left out; ``start_fields`` are further text fields of
+    session_start, as a producer's versions."""
+    more = [F.lit(value).alias(name) for name, value in (start_fields or {}).items()]
+    bodies = [
+        F.when(F.col("type") == name, F.to_json(F.struct(f"{name}.*", *more) if name == "session_start" and more else F.col(name)))
+        for name in BODIES
+    ]
+    return event_json(timeline.withColumn("data", F.parse_json(F.coalesce(*bodies))))
+
+
 def write_timeline(lines: DataFrame, path: str, part_rows: int = 65_536) -> None:
     """Export JSON lines (session_id, seq, value) as text.
 
