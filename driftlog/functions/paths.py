@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Directories every recording ignores.
@@ -70,18 +71,55 @@ def glob_regex(pattern: str) -> str:
     return "".join(out)
 
 
-def ignored(relative: Column, ignores: Sequence[str]) -> Column:
-    """Does an ignore glob, its subtree or an equal path component match?"""
-    if not ignores:
-        return F.lit(False)
+def ignore_rule(ignores: Sequence[str]) -> tuple[str, list[str]]:
+    """An ignore list as one regular expression for whole paths and subtrees,
+    and the names that no path component may equal."""
     globs = [pattern.lstrip("/") for pattern in ignores]
     alternatives = "|".join(f"{glob_regex(g)}|{glob_regex(g + '/**')}" for g in globs)
-    literals = sorted({pattern.strip("/") for pattern in ignores})
-    return relative.rlike(f"(?s)^(?:{alternatives})$") | F.arrays_overlap(
+    return f"(?s)^(?:{alternatives})$", sorted({pattern.strip("/") for pattern in ignores})
+
+
+def ignored(relative: Column, ignores: Sequence[str] | tuple[Column, Column]) -> Column:
+    """Does an ignore glob, its subtree or an equal path component match?  A
+    rule may also be given as columns, its expression and its names."""
+    if not len(ignores):
+        return F.lit(False)
+    if isinstance(ignores[0], Column):
+        expression, names = ignores
+        return F.rlike(relative, expression) | F.arrays_overlap(F.split(relative, "/"), names)
+    text, literals = ignore_rule(ignores)
+    return relative.rlike(text) | F.arrays_overlap(
         F.split(relative, "/"), F.array(*[F.lit(name) for name in literals])
     )
 
 
+def session_filters(lists: DataFrame) -> DataFrame:
+    """What each session records, from (session_id, root, excluded, ignores):
+    the lists as columns that ``recorded_paths`` takes, session_id, root,
+    excluded, expression, names; and error, NULL unless a glob is malformed.
+
+    Globs are compiled here, once per session; paths are then matched by Spark
+    with the joined columns.  A NULL list is empty.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for patterns in frame["ignores"]:
+                try:
+                    rows.append((*ignore_rule(ignore_list(() if patterns is None else list(patterns))), None))
+                except ValueError as error:
+                    rows.append((None, None, str(error)))
+            made = pd.DataFrame(rows, columns=["expression", "names", "error"], index=frame.index)
+            yield pd.concat([frame[["session_id", "root", "excluded"]], made], axis=1)
+
+    none = F.array().cast("array<string>")
+    return lists.select(
+        "session_id", F.regexp_replace("root", r"(?<=.)/+$", "").alias("root"),
+        F.transform(F.coalesce("excluded", none), lambda x: F.regexp_replace(x, r"/+$", "")).alias("excluded"), "ignores",
+    ).mapInPandas(run, "session_id string, root string, excluded array<string>, expression string, names array<string>, error string")
+
+
 def below(path: Column, prefix: Column) -> Column:
     """Is ``path`` the prefix itself or inside it, compared by component?"""
     return (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
@@ -90,12 +128,13 @@ def below(path: Column, prefix: Column) -> Column:
 def recorded_paths(
     paths: Column,
     root: str | Column,
-    excluded: Sequence[str] = (),
-    ignores: Sequence[str] = (),
+    excluded: Sequence[str] | Column = (),
+    ignores: Sequence[str] | tuple[Column, Column] = (),
 ) -> Column:
     """Paths of an array relative to ``root`` with ``/`` separators; those the
     recording does not cover are left out.  Relative input is taken below
-    ``root``.  ``ignores`` are added to the fixed ones.
+    ``root``.  ``ignores`` are added to the fixed ones; all three may be columns
+    of ``session_filters``.
 
     The steps are chained so that each one binds its result once: inside a
     lambda Spark does not share repeated subexpressions.
@@ -113,13 +152,17 @@ def recorded_paths(
 
     def covered(path: Column) -> Column:
         inside = path.startswith(start)
+        if isinstance(excluded, Column):
+            return inside & ~F.exists(excluded, lambda prefix: below(path, prefix))
         for prefix in excluded:
             inside = inside & ~below(path, F.lit(prefix.rstrip("/")))
         return inside
 
     clean = F.filter(F.transform(F.transform(paths, absolute), normal), covered)
     relative = F.transform(clean, lambda path: F.substr(path, F.length(start) + 1))
-    kept = F.filter(relative, lambda path: (path != "") & ~ignored(path, ignore_list(ignores)))
+    by_column = len(ignores) and isinstance(ignores[0], Column)
+    rule = ignores if by_column else ignore_list(ignores)
+    kept = F.filter(relative, lambda path: (path != "") & ~ignored(path, rule))
     return F.transform(kept, lambda path: F.replace(path, F.lit("\\"), F.lit("/")))
 
 

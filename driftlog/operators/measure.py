@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlog.functions.values import clock_ns, rule_violations
 from driftlog.operators.ordered import attach_facts, first_per_group, ordered_scan, seq_chunk
+from driftlog.session import save_and_reload
 
 # Sample modes, latency names and the required numbers of a result.
 MODES = ("isolated", "burst", "continuous")
 VALUE_CHUNKS = 256
+PART_VALUES = 65_536
 LATENCIES = (
     "watcher_detection_wall_estimate",
     "debounce_projector_daemon_wall",
@@ -194,46 +198,82 @@ def scope_estimates(samples: DataFrame) -> DataFrame:
     )
 
 
+PERCENTS = (50, 95, 99)
+
+
+def _ranks() -> list[Column]:
+    """The 0-based ranks that the percentiles lie between."""
+    exact = [(F.col("count") - 1) * F.lit(p) / F.lit(100.0) for p in PERCENTS]
+    return [side(rank) for rank in exact for side in (F.floor, F.ceil)]
+
+
 def statistics(
     values: DataFrame, keys: Sequence[str], value: str = "value", weight: str | None = None
 ) -> DataFrame:
     """Exact count, min, p50, p95, p99, max per key, linearly interpolated;
     ``weight`` names a column of repeat counts.
 
-    A key may hold most rows, so values are counted first, ranked by running
-    counts over value chunks, and only the ranks asked for are kept.  Chunks
-    are cut at approximate quantiles of each key's distinct values, so a narrow
-    distribution is split like a wide one.
+    A key may hold most rows, so equal values are counted first.  The range of
+    a key's values is cut into equal parts, whose counts tell which parts hold
+    the asked ranks and how many values lie below; only these parts are kept,
+    and cut again while one holds over ``PART_VALUES`` values.  So a narrow or
+    lopsided distribution is cut like any other, and only small parts of a key
+    are ever ordered.
     """
     number = F.col(value).cast("double")
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    counted = (
+    counted = save_and_reload(
         values.filter(F.col(value).isNotNull())
         .select(*keys, number.alias("_v"), times.alias("_w"))
         .groupBy(*keys, "_v")
-        .agg(F.sum("_w").alias("_c"))
+        .agg(F.sum("_w").alias("_c")),
+        "counted",
     )
     totals = counted.groupBy(*keys).agg(
-        F.sum("_c").alias("count"),
-        F.min("_v").alias("min"),
-        F.max("_v").alias("max"),
-        F.percentile_approx("_v", [i / VALUE_CHUNKS for i in range(1, VALUE_CHUNKS)], 10 * VALUE_CHUNKS).alias("_cuts"),
-    )
-    cut = attach_facts(counted, totals, list(keys), F.col("_v"), how="inner").withColumn(
-        "_cut", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+        F.sum("_c").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max")
     )
-    placed = ordered_scan(
-        cut.drop("_cuts"), list(keys), ["_v"], F.col("_cut"), sums={"_through": F.col("_c")}
+    totals = save_and_reload(totals, "totals")
+    # A part of a key: its range, and the number of values below it.
+    parts = totals.select(
+        *keys, F.lit(0).cast("bigint").alias("_cut"), F.col("min").alias("_low"), F.col("max").alias("_high"),
+        F.lit(0).cast("bigint").alias("_below"), "count",
     )
-    picks = []
-    for percent in (50, 95, 99):
-        rank = (F.col("count") - 1) * F.lit(percent) / F.lit(100.0)
-        for side, target in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            here = (F.col("_through") > target) & (F.col("_through") - F.col("_c") <= target)
-            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{percent}"))
-    found = placed.groupBy(*keys).agg(
-        F.max("count").alias("count"), F.max("min").alias("min"), F.max("max").alias("max"), *picks
+    kept = counted.withColumn("_cut", F.lit(0).cast("bigint"))
+    while True:
+        width = F.col("_high") - F.col("_low")
+        within = F.least(F.floor((F.col("_v") - F.col("_low")) / width * VALUE_CHUNKS), F.lit(VALUE_CHUNKS - 1))
+        cut = attach_facts(kept, parts, [*keys, "_cut"], F.col("_v"), how="inner").select(
+            *keys, "_v", "_c", "_below", "count",
+            (F.col("_cut") * VALUE_CHUNKS + F.when(width > 0, within).otherwise(0)).cast("bigint").alias("_next"),
+            "_cut",
+        )
+        counts = cut.groupBy(*keys, "_cut", "_next").agg(
+            F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_values"), F.min("_v").alias("_low"),
+            F.max("_v").alias("_high"), F.max("_below").alias("_below"), F.max("count").alias("count"),
+        )
+        before = Window.partitionBy(*keys, "_cut").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        holds = [(rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_n")) for rank in _ranks()]
+        asked = placed.filter(functools.reduce(operator.or_, holds)).select(
+            *keys, F.col("_next").alias("_cut"), "_low", "_high", "_below", "count", "_values"
+        )
+        parts = save_and_reload(asked, "parts")
+        chosen = attach_facts(
+            cut.select(*keys, F.col("_next").alias("_cut"), "_v", "_c"), parts.select(*keys, "_cut"), [*keys, "_cut"],
+            F.col("_v"), how="left_semi",
+        )
+        kept = save_and_reload(chosen, "kept")
+        if not parts.filter(F.col("_values") > PART_VALUES).head(1):
+            break
+    through = ordered_scan(kept, [*keys, "_cut"], ["_v"], F.lit(0), sums={"_through": F.col("_c")}).join(
+        parts.select(*keys, "_cut", "_below", "count"), [*keys, "_cut"]
     )
+    upto = F.col("_below") + F.col("_through")
+    picks = [
+        F.max(F.when((upto > rank) & (upto - F.col("_c") <= rank), F.col("_v"))).alias(f"_{side}{percent}")
+        for rank, (percent, side) in zip(_ranks(), [(p, s) for p in PERCENTS for s in ("lo", "hi")], strict=True)
+    ]
+    found = through.groupBy(*keys).agg(*picks).join(totals, list(keys))
 
     def at(percent: int) -> Column:
         rank = (F.col("count") - 1) * F.lit(percent) / F.lit(100.0)

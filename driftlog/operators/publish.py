@@ -443,14 +443,21 @@ def listing_totals(listing: DataFrame, prefix: str) -> DataFrame:
 
 
 def sessions_in_listing(listing: DataFrame, prefix: str) -> DataFrame:
-    """Objects and bytes per session below a parent prefix; the session is
-    the single segment that follows the prefix."""
+    """Objects and bytes per session below a parent prefix, with the outcome
+    ``ok``; the session is the single segment that follows the prefix.  Keys
+    whose segment is no name are counted in one row without session, as
+    ``unnamed``.  An unusable prefix is the only row, as ``bad_prefix``."""
     exact = folder_of(prefix)
     segment = F.split_part(F.substr(F.col("key_name"), F.length(exact) + 1), F.lit("/"), F.lit(1))
-    return (
+    named = (
         listing.filter(F.col("key_name").startswith(exact))
-        .withColumn("session_id", segment)
-        .filter(~F.col("session_id").isin("", ".", ".."))
+        .withColumn("session_id", F.when(~segment.isin("", ".", ".."), segment))
         .groupBy("session_id")
         .agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
+        .withColumn("outcome", F.when(F.col("session_id").isNull(), "unnamed").otherwise("ok"))
+    )
+    refused = listing.sparkSession.range(1).filter(exact.isNull()).select(
+        F.lit(None).cast("string").alias("session_id"), F.lit(0).cast("bigint").alias("objects"),
+        F.lit(0).cast("bigint").alias("bytes"), F.lit("bad_prefix").alias("outcome"),
     )
+    return named.unionByName(refused)

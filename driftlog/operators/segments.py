@@ -5,10 +5,13 @@ chain is cut into chunks of the order column and followed in three steps:
 
 1. per chunk (parallel): for every position where a segment could enter the
    chunk, where would the chain leave it;
-2. per key: follow these small tables from chunk to chunk;
+2. follow these small tables from chunk to chunk;
 3. per chunk (parallel): with the true entry known, emit the segment starts.
 
-Only step 2 is sequential, over one row per chunk.
+For windows, step 2 is a tree: a chunk maps the window carried into it to the
+one carried out, piecewise constant, and such maps compose.  Blocks of chunks
+are composed in parallel, one row per block is followed per key, and the blocks
+are followed again in parallel, each from its own entry.
 """
 
 from __future__ import annotations
@@ -62,6 +65,11 @@ def _starts_of_groups(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+def _bounds_of_groups(frame: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    low = _starts_of_groups(frame, keys)
+    return list(zip(low.tolist(), [*low[1:].tolist(), len(frame)], strict=True))
+
+
 def _by_chunk(rows: DataFrame, order: str) -> DataFrame:
     """Whole chunks per task, in order."""
     return rows.repartition("session_id", "chunk").sortWithinPartitions("session_id", "chunk", order)
@@ -148,10 +156,83 @@ class _Chunks:
             jump = further
 
 
+# Chunks composed by one task; a key is followed over its blocks alone.
+FOLD_CHUNKS = 512
+
 _TIME_EDGE_SCHEMA = (
     "session_id string, chunk bigint, first_t bigint, first_eff bigint, first_epoch bigint, "
     "last_t bigint, last_epoch bigint, entries array<bigint>, exits array<bigint>, forced_exit bigint"
 )
+_TIME_EDGE_COLUMNS = [field.split(" ")[0] for field in _TIME_EDGE_SCHEMA.split(", ")]
+
+
+def _distinct_exits(entries: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Breakpoints only: the last entry of each run with one exit."""
+    kept = np.append(exits[1:] != exits[:-1], True)
+    return entries[kept], exits[kept]
+
+
+def _pieces(maps) -> dict[str, list[np.ndarray]]:
+    small = [_distinct_exits(entries, exits) for entries, exits in maps]
+    return {"entries": [m[0] for m in small], "exits": [m[1] for m in small]}
+
+
+class _Fold:
+    """Follows chunk rows of one key; what is carried may be many values."""
+
+    def __init__(self, rule: Debounce):
+        self.rule = rule
+
+    def connected(self, before, row) -> bool:
+        """Whether a window can reach from one chunk row into the next."""
+        return row.first_epoch == before.last_epoch and before.last_t + self.rule.quiescence_ms > row.first_eff
+
+    def through(self, row, carried: np.ndarray) -> np.ndarray:
+        """The windows carried out of a chunk by those carried into it."""
+        at = np.searchsorted(row.entries, carried + self.rule.max_delay_ms, side="left")
+        inside = at < len(row.exits)
+        past = carried if pd.isna(row.forced_exit) else np.full(len(carried), int(row.forced_exit))
+        return np.where(inside, np.asarray(row.exits)[np.minimum(at, len(row.exits) - 1)], past)
+
+
+def _time_compose(rule: Debounce):
+    """One row per block of chunks, with the map of the whole block."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = _Fold(rule)
+        for frame in _groups(frames, ["session_id", "block"]):
+            rows = []
+            for a, b in _bounds_of_groups(frame, ["session_id", "block"]):
+                block = list(frame.iloc[a:b].itertuples(index=False))
+                first, before = block[0], block[0]
+                entries, exits = np.asarray(first.entries), np.asarray(first.exits)
+                tail = None if pd.isna(first.forced_exit) else int(first.forced_exit)
+                # What is carried in began before the block: its latest deadline.
+                due = first.chunk * rule.chunk_ms + rule.max_delay_ms
+                for row in block[1:]:
+                    if not fold.connected(before, row):
+                        tail = int(row.exits[0])
+                        exits = np.full(len(exits), tail)
+                    else:
+                        exits = fold.through(row, exits)
+                        if tail is not None:
+                            tail = int(fold.through(row, np.array([tail]))[0])
+                        elif entries[-1] < due:
+                            # A window may have come through all chunks so far.
+                            later = np.flatnonzero(np.asarray(row.entries) > entries[-1])
+                            later = later[: np.searchsorted(np.asarray(row.entries)[later], due, "left") + 1]
+                            entries = np.concatenate((entries, np.asarray(row.entries)[later]))
+                            exits = np.concatenate((exits, np.asarray(row.exits)[later]))
+                            tail = None if pd.isna(row.forced_exit) else int(row.forced_exit)
+                    entries, exits = _distinct_exits(entries, exits)
+                    before = row
+                rows.append((first.session_id, first.block, first.first_t, first.first_eff, first.first_epoch,
+                             before.last_t, before.last_epoch, entries, exits, tail))
+            out = pd.DataFrame(rows, columns=_TIME_EDGE_COLUMNS)
+            out["forced_exit"] = out["forced_exit"].astype("Int64")
+            yield out
+
+    return run
 
 
 def _time_edges(rule: Debounce):
@@ -173,8 +254,7 @@ def _time_edges(rule: Debounce):
                     "first_epoch": c.epoch[c.low],
                     "last_t": c.t[c.high - 1],
                     "last_epoch": c.epoch[c.high - 1],
-                    "entries": [c.eff[a:b] for a, b in zip(c.low, stop)],
-                    "exits": [ends[a:b] for a, b in zip(c.low, stop)],
+                    **_pieces((c.eff[a:b], ends[a:b]) for a, b in zip(c.low, stop)),
                     "forced_exit": pd.array(forced_exit, dtype="Int64"),
                 }
             ).assign(forced_exit=lambda out: out["forced_exit"].where(has_forced))
@@ -183,33 +263,24 @@ def _time_edges(rule: Debounce):
 
 
 def _time_fold(rule: Debounce):
-    """Follow the chain over chunk rows sorted by (session, chunk)."""
+    """The window carried into every row, following rows sorted by (session,
+    chunk); a row without entries states what is carried into its block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, start, last_t, last_epoch = None, None, None, None
+        fold = _Fold(rule)
+        before, start, given = None, None, False
         for frame in frames:
             rows = []
             for row in frame.itertuples(index=False):
-                carried = None
-                if row.session_id == session and not (
-                    row.first_epoch != last_epoch
-                    or last_t + rule.quiescence_ms <= row.first_eff
-                ):
-                    carried = start
+                if row.entries is None:
+                    before, start, given = row, None if pd.isna(row.forced_exit) else int(row.forced_exit), True
+                    continue
+                same = before is not None and row.session_id == before.session_id
+                carried = start if same and (given or fold.connected(before, row)) else None
+                given = False
                 rows.append((row.session_id, row.chunk, carried))
-                if carried is None:
-                    position = 0
-                else:
-                    position = int(
-                        np.searchsorted(row.entries, carried + rule.max_delay_ms, side="left")
-                    )
-                session, last_t, last_epoch = row.session_id, row.last_t, row.last_epoch
-                if position < len(row.exits):
-                    start = int(row.exits[position])
-                elif not pd.isna(row.forced_exit):
-                    start = int(row.forced_exit)
-                else:
-                    start = carried
+                start = int(row.exits[0]) if carried is None else int(fold.through(row, np.array([carried]))[0])
+                before = row
             out = pd.DataFrame(rows, columns=["session_id", "chunk", "carried"])
             out["carried"] = out["carried"].astype("Int64")
             yield out
@@ -274,11 +345,22 @@ def debounce_instants(
     )
     # Both passes read the same columns, so Spark shares the work below them.
     edges = _by_chunk(chunked, "t_ms").mapInPandas(_time_edges(rule), _TIME_EDGE_SCHEMA)
-    entries = (
-        edges.repartition("session_id")
+    edges = edges.withColumn("block", F.floor(F.col("chunk") / FOLD_CHUNKS).cast("bigint"))
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        order = ["session_id", "block", F.col("entries").isNotNull(), "chunk"]
+        return rows.repartition("session_id", "block").sortWithinPartitions(*order)
+
+    carried = "session_id string, chunk bigint, carried bigint"
+    into_blocks = (
+        by_block(edges)
+        .mapInPandas(_time_compose(rule), _TIME_EDGE_SCHEMA)
+        .repartition("session_id")
         .sortWithinPartitions("session_id", "chunk")
-        .mapInPandas(_time_fold(rule), "session_id string, chunk bigint, carried bigint")
+        .mapInPandas(_time_fold(rule), carried)
     )
+    given = into_blocks.select("session_id", F.col("chunk").alias("block"), F.col("carried").alias("forced_exit"))
+    entries = by_block(edges.unionByName(given, allowMissingColumns=True)).mapInPandas(_time_fold(rule), carried)
     # The carried window travels as the first row of its chunk.  A join would
     # let skew handling split a chunk between tasks.
     lead = entries.select(

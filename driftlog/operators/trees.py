@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from driftlog.operators.ordered import (
 )
 
 MAX_CHANGES = 5_000
-POINTS = 4_096
 
 
 def _entry() -> Column:
@@ -251,51 +251,92 @@ def changes_between_generations(trees: DataFrame) -> DataFrame:
     )
 
 
-def _with_points(versions: DataFrame, requests: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Versions with the requests of their session as one sorted array each.
+def _shifted(number: Column, level: Column) -> Column:
+    return F.call_function("shiftright", number, level)
 
-    A session's distinct requests become arrays of at most ``POINTS`` structs,
-    so a version row meets few arrays instead of every request, and only the
-    matching requests are ever turned into rows.
-    """
-    asked = requests.select("session_id", *columns).distinct()
-    group = F.pmod(F.xxhash64(*columns), F.lit(1 << 20))
-    counted = asked.groupBy("session_id").agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("_groups"))
-    packed = (
-        asked.join(counted, "session_id")
-        .withColumn("_group", F.pmod(group, "_groups"))
-        .groupBy("session_id", "_group")
-        .agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_points"))
-        .select("session_id", "_points")
-    )
-    return versions.join(packed, "session_id")
 
+def dyadic_nodes(start: Column, stop: Column, levels: int) -> Column:
+    """The nodes (level, place) that make up [start, stop): aligned intervals
+    of 2^level numbers from place * 2^level, at most two of each level.  Bounds
+    are clipped to 0 and 2^levels."""
+    low = F.greatest(start, F.lit(0)).cast("bigint")
+    high = F.least(stop, F.lit(1 << levels)).cast("bigint")
 
-def tree_at(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Entries valid at each requested (session_id, at_seq)."""
-    valid = F.filter(
-        "_points",
-        lambda p: (F.col("valid_from") <= p["at_seq"])
-        & (F.col("valid_to").isNull() | (p["at_seq"] < F.col("valid_to"))),
-    )
-    return (
-        _with_points(versions, requests, ["at_seq"])
-        .select(*versions.columns, F.explode(valid).alias("_point"))
-        .select(*versions.columns, "_point.at_seq")
+    def of_level(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        first, last = _shifted(low + size - 1, level), _shifted(high, level)
+        some = first < last
+        left = F.when(some & (first % 2 == 1), F.struct(level.alias("level"), first.alias("place")))
+        right = F.when(some & (last % 2 == 1), F.struct(level.alias("level"), (last - 1).alias("place")))
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level)))
+
+
+def dyadic_parents(point: Column, levels: int) -> Column:
+    """The node of every level that holds a point."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(levels)),
+        lambda level: F.struct(level.alias("level"), _shifted(point.cast("bigint"), level).alias("place")),
     )
 
 
-def materialize(versions: DataFrame, requests: DataFrame, known: DataFrame, blobs: DataFrame) -> DataFrame:
+def _levels(points: DataFrame, *columns: str) -> int | None:
+    """Levels that cover the asked points; None if nothing is asked."""
+    top = points.agg(F.max(F.greatest(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0]))).first()[0]
+    return None if top is None else max(int(top) + 1, 1).bit_length()
+
+
+def tree_at(versions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Entries valid at each requested (session_id, at_seq).
+
+    A version's interval is cut into dyadic nodes and a request names the nodes
+    that hold its point; they meet in exactly one node or none.  So both sides
+    are joined by equality, and no version is compared with a request it does
+    not serve.  Spark broadcasts the requests where their measured size allows
+    it, else it can split a session that holds most rows.
+    """
+    asked = requests.select("session_id", "at_seq").filter("at_seq >= 0").distinct()
+    levels = _levels(asked, "at_seq")
+    if levels is None:
+        return versions.withColumn("at_seq", F.lit(None).cast("bigint")).limit(0)
+    stop = F.coalesce("valid_to", F.lit(1 << levels))
+    cut = versions.withColumn("_node", F.explode(dyadic_nodes(F.col("valid_from"), stop, levels)))
+    held = asked.withColumn("_node", F.explode(dyadic_parents(F.col("at_seq"), levels)))
+    return cut.join(held, ["session_id", "_node"]).select(*versions.columns, "at_seq")
+
+
+def _resolved(requests: DataFrame, known: DataFrame, durable: DataFrame | None, *ops: tuple[str, str]) -> DataFrame:
+    """Requests with the sequence number of each operation and the outcome:
+    ``unknown_op``, ``not_durable`` behind no watermark, or ``ok``."""
+    out = requests
+    for op, seq in ops:
+        out = out.join(known.select("session_id", F.col("op").alias(op), F.col("seq").alias(seq)), ["session_id", op], "left")
+    numbers = [F.col(seq) for _, seq in ops]
+    missing = functools.reduce(operator.or_, [n.isNull() for n in numbers])
+    outcome = F.when(missing, "unknown_op")
+    if durable is not None:
+        out = out.join(durable.select("session_id", "durable_seq"), "session_id", "left")
+        late = functools.reduce(operator.or_, [n > F.coalesce("durable_seq", F.lit(-1)) for n in numbers])
+        outcome = outcome.when(late, "not_durable")
+    return out.withColumn("outcome", outcome.otherwise("ok")).drop("durable_seq")
+
+
+def materialize(
+    versions: DataFrame, requests: DataFrame, known: DataFrame, blobs: DataFrame, durable: DataFrame | None = None
+) -> DataFrame:
     """Files of each requested (session_id, op) with their content.
 
-    ``known`` maps durable operations to sequence numbers (session_id, op,
-    seq).  A request for another operation is one row with the outcome
-    ``unknown_op`` and no path; files have the outcome ``ok``, or
-    ``missing_content`` when no blob holds theirs.  Both joins are plain, so
-    that adaptive execution splits a content shared by very many paths.
+    ``known`` maps operations to sequence numbers (session_id, op, seq).  A
+    request for another operation is one row with the outcome ``unknown_op``
+    and no path; with ``durable`` (session_id, durable_seq), one for an
+    operation behind the watermark is one row ``not_durable``.  Files have the
+    outcome ``ok``, or ``missing_content`` when no blob holds theirs.  Joins are
+    plain, so that adaptive execution splits a content shared by very many paths.
     """
-    at = requests.join(known, ["session_id", "op"], "left").select("session_id", "op", F.col("seq").alias("at_seq"))
-    entries = tree_at(versions, at.filter("at_seq is not null")).join(at, ["session_id", "at_seq"])
+    at = _resolved(requests.select("session_id", "op"), known, durable, ("op", "at_seq"))
+    served = at.filter("outcome = 'ok'").select("session_id", "op", "at_seq")
+    entries = tree_at(versions, served).join(served, ["session_id", "at_seq"])
     files = entries.join(blobs.select("blob", "content"), "blob", "left").select(
         "session_id",
         "op",
@@ -305,39 +346,47 @@ def materialize(versions: DataFrame, requests: DataFrame, known: DataFrame, blob
         "bytes",
         "content",
     )
-    unknown = at.filter("at_seq is null").select("session_id", "op", F.lit("unknown_op").alias("outcome"))
-    return files.unionByName(unknown, allowMissingColumns=True)
+    refused = at.filter("outcome <> 'ok'").select("session_id", "op", "outcome")
+    return files.unionByName(refused, allowMissingColumns=True)
 
 
 def diff_operations(versions: DataFrame, requests: DataFrame) -> DataFrame:
     """Differences between two points per request (session_id, before_seq,
     after_seq), as bare ids.
 
-    Only versions that begin or end between the two points can differ, so
-    unchanged paths are dropped before any shuffle by path.
+    A path can only differ where a version begins or ends between the points,
+    so requests are cut into dyadic nodes and met by the nodes that hold a
+    version's ends.  A version with both ends inside is alive at neither point;
+    every other one meets a request once.
     """
-    asked = requests.select("session_id", "before_seq", "after_seq").distinct()
-
-    def alive(point: Column) -> Column:
-        return (F.col("valid_from") <= point) & (F.col("valid_to").isNull() | (point < F.col("valid_to")))
+    asked = requests.select("session_id", "before_seq", "after_seq").filter("before_seq >= 0 and after_seq >= 0").distinct()
+    low, high = F.least("before_seq", "after_seq"), F.greatest("before_seq", "after_seq")
+    levels = _levels(asked, "before_seq", "after_seq") or 1
+    spans = asked.withColumn("_node", F.explode(dyadic_nodes(low + 1, high + 1, levels)))
+    entry = _entry().alias("_entry")
+    ends = versions.select(
+        "session_id", "path", "valid_from", "valid_to", entry,
+        F.explode(F.array_compact(F.array(
+            F.struct(F.col("valid_from").alias("at"), F.lit(True).alias("begins")),
+            F.when(F.col("valid_to").isNotNull(), F.struct(F.col("valid_to").alias("at"), F.lit(False).alias("begins"))),
+        ))).alias("_end"),
+    ).filter(F.col("_end.at") < (1 << levels))
+    held = ends.withColumn("_node", F.explode(dyadic_parents(F.col("_end.at"), levels)))
+    other_end = F.when(F.col("_end.begins"), F.coalesce(F.col("valid_to") > high, F.lit(True))).otherwise(
+        F.col("valid_from") <= low
+    )
 
-    def differs(request: Column) -> Column:
-        one, two = request["before_seq"], request["after_seq"]
-        low, high = F.least(one, two), F.greatest(one, two)
-        crossing = ((F.col("valid_from") > low) & (F.col("valid_from") <= high)) | (
-            (F.col("valid_to") > low) & (F.col("valid_to") <= high)
-        )
-        return crossing & (alive(one) | alive(two))
+    def alive(point: str) -> Column:
+        at = F.col(point)
+        return (F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))
 
-    points = ["before_seq", "after_seq"]
     return (
-        _with_points(versions, asked, points)
-        .select(*versions.columns, F.explode(F.filter("_points", differs)).alias("_point"))
-        .select(*versions.columns, "_point.before_seq", "_point.after_seq")
+        held.join(spans, ["session_id", "_node"])
+        .filter(other_end)
         .groupBy("session_id", "before_seq", "after_seq", "path")
         .agg(
-            F.max(F.when(alive(F.col("before_seq")), _entry())).alias("old"),
-            F.max(F.when(alive(F.col("after_seq")), _entry())).alias("new"),
+            F.max(F.when(alive("before_seq"), F.col("_entry"))).alias("old"),
+            F.max(F.when(alive("after_seq"), F.col("_entry"))).alias("new"),
         )
         .filter(~F.col("old").eqNullSafe(F.col("new")))
         .select(
@@ -352,20 +401,20 @@ def diff_operations(versions: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def diff(versions: DataFrame, requests: DataFrame, known: DataFrame) -> DataFrame:
+def diff(
+    versions: DataFrame, requests: DataFrame, known: DataFrame, durable: DataFrame | None = None
+) -> DataFrame:
     """``diff_operations`` for requests by operation (session_id, before_op,
     after_op), with the outcome ``ok``.  A request with an operation that is
     not in ``known`` (session_id, op, seq) is one row with the outcome
-    ``unknown_op``, the sequence numbers that are known, and no path."""
-    before = known.select("session_id", F.col("op").alias("before_op"), F.col("seq").alias("before_seq"))
-    after = known.select("session_id", F.col("op").alias("after_op"), F.col("seq").alias("after_seq"))
-    resolved = requests.join(before, ["session_id", "before_op"], "left").join(after, ["session_id", "after_op"], "left")
-    both = F.col("before_seq").isNotNull() & F.col("after_seq").isNotNull()
-    changed = diff_operations(versions, resolved.filter(both)).withColumn("outcome", F.lit("ok"))
-    unknown = resolved.filter(~both).select(
-        "session_id", "before_seq", "after_seq", F.lit("unknown_op").alias("outcome")
-    )
-    return changed.unionByName(unknown, allowMissingColumns=True)
+    ``unknown_op``, the sequence numbers that are known, and no path; with
+    ``durable`` (session_id, durable_seq), one with an operation behind the
+    watermark is one row ``not_durable``."""
+    asked = requests.select("session_id", "before_op", "after_op")
+    resolved = _resolved(asked, known, durable, ("before_op", "before_seq"), ("after_op", "after_seq"))
+    changed = diff_operations(versions, resolved.filter("outcome = 'ok'")).withColumn("outcome", F.lit("ok"))
+    refused = resolved.filter("outcome <> 'ok'").select("session_id", "before_seq", "after_seq", "outcome")
+    return changed.unionByName(refused, allowMissingColumns=True)
 
 
 def compare_trees(expected: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame]:

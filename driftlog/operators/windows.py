@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlog.functions.paths import ALWAYS_IGNORED, recorded_paths
 from driftlog.functions.values import operation_bit, operations_of, touch_operation
-from driftlog.operators.ordered import ordered_scan, smallest_per_group, time_chunk
+from driftlog.operators.ordered import attach_facts, ordered_scan, smallest_per_group, time_chunk
 from driftlog.operators.segments import Debounce, debounce_instants
 
 MAX_AUDIT_PATHS = 100_000
@@ -21,8 +21,8 @@ DEFAULT_REPORTER = "recorder"
 def observe(
     notifications: DataFrame,
     root: str | Column = "/",
-    excluded: tuple[str, ...] = (),
-    ignores: tuple[str, ...] | list[str] = ALWAYS_IGNORED,
+    excluded: tuple[str, ...] | Column = (),
+    ignores: tuple[str, ...] | list[str] | tuple[Column, Column] = ALWAYS_IGNORED,
 ) -> DataFrame:
     """Notifications that touch a recorded path, with the surviving paths.
 
@@ -43,6 +43,14 @@ def observe(
     )
 
 
+def observe_sessions(notifications: DataFrame, filters: DataFrame) -> DataFrame:
+    """``observe`` with the root, exclusions and ignores of each session, see
+    ``paths.session_filters``.  Sessions without usable filters record nothing."""
+    usable = filters.filter("error is null").drop("error")
+    known = attach_facts(notifications, usable, ["session_id"], F.col("notif_id"), how="inner")
+    return observe(known, F.col("root"), F.col("excluded"), (F.col("expression"), F.col("names")))
+
+
 def overflow_reports(notifications: DataFrame) -> DataFrame:
     """Rescan requests (one raw event) and backend errors (none); each needs
     a full scan."""

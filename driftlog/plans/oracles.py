@@ -215,6 +215,15 @@ from marks where durable_seq is not null and durable_seq % 3 <> 0""", MANIFESTS)
 _FEED = "select session_id, seq, type, op from tl"
 _q("durable_publication", _FEED, TALK)
 _q("live_feed", _FEED, TALK)
+_q("publication_conflicts", """select session_id, seq, type, op, 'batch' as reason from sent where rival is not null and digest > rival
+union all select session_id, seq, type, op, case seq when 0 then 'accepted' else 'staged' end from sent where other and digest < rival
+union all select session_id, seq, 'late', op, 'accepted' from tl where seq = 1""", f"""{TALK},
+events as (select session_id, seq, type, op, false as other from tl
+  union all select session_id, seq, type, 'other:' || session_id, true from tl where seq in (0, 2)),
+hashed as (select *, sha256('{{"session_id":"' || session_id || '","seq":' || seq || ',"type":"' || type || '"'
+  || coalesce(',"op":"' || op || '"', '') || '}}') as digest from events),
+sent as (select h.*, r.digest as rival from hashed h left join hashed r
+  on r.session_id = h.session_id and r.seq = h.seq and r.other <> h.other)""")
 _q("timeline_tail", "select value, coalesce(case when parsed then seq end, -1) as seq from recs", LINES)
 
 ATTEMPTS = """tries as (
@@ -292,6 +301,13 @@ _q("inspect_operation", """select session_id, op, k.seq, k.parent_op, k.commit,
   case when k.seq is null then 'unknown_operation' else 'found' end as outcome
 from (select distinct session_id, case when seq % 5 = 3 then op || '0' else op end as op from tl where op is not null)
 left join known k using (session_id, op)""", TALK + _OPS)
+_q("engine_index", """select session_id, seq, op, parent_op, commit, tree from tl
+where type in ('session_start', 'snapshot') and seq between 1 and 4""", TALK)
+_q("engine_inspection", """select session_id, op, k.seq, k.parent_op, k.commit, k.tree,
+  case when k.seq is null then 'unknown_operation' else 'found' end as outcome
+from (select distinct session_id, op from tl where op is not null and substr(session_id, 2)::bigint % 10 = 3)
+left join known k using (session_id, op)""", TALK + _OPS)
+_q("engine_tree_as_of", "select session_id, gen as at_seq, path, blob, bytes from gens where session_id in ('s2', 's5')", GENS)
 _q("inspect_tree", """select session_id, asked_tree, case when f.op is null then 'unknown_tree' when k.seq is null then 'unknown_operation'
   else 'found' end as outcome, k.seq, f.op, k.parent_op, k.commit
 from (select distinct session_id, case when seq % 5 = 3 then tree || '0' else tree end as asked_tree from tl where tree is not null) a
@@ -385,6 +401,9 @@ from (select *, min(case when refusal is not null then offer end) over (partitio
 
 _q("touch_operations", "select notif_id, operation from notes", NOTES)
 _q("kept_notifications", "select session_id, notif_id, t_ms, operation, path as paths from touches", NOTES)
+_q("kept_by_session", """select session_id, notif_id, t_ms, operation, path as paths from notes
+where operation is not null and session_id <> 'u7' and path not like '.git/%' and case when substr(session_id, 2)::bigint % 2 = 0
+  then not (path like '%/d2/%' or path like 'src/d1/%' or path like 'src/d3/%') else path not like '%.tmp/%' end""", NOTES)
 _q("observed_counts", """select session_id, count(*) as raw_events, min(t_ms) as first_ms, max(t_ms) as last_ms
 from touches group by 1""", NOTES)
 _q("debounce_windows", "select * from bounds", WINDOWS, True)
@@ -571,6 +590,19 @@ _q("operation_diff", """select session_id, b::bigint as before_seq, a::bigint as
 where xb is distinct from yb
 union all select distinct session_id, 0, null::bigint, 'unknown_op', null, null, null from gens where gen = 0""",
    f"{GENS},\nasked(b, a) as (values (3, 1), (0, 2), (0, 3), (0, 4))")
+_MARKED = f"""{GENS},
+marked as (select *, case when session_id <> 's1' then 2 else -1 end as upto from gens)"""
+_q("durable_files", """select session_id, 'op:' || gen as op, 'ok' as outcome, path, sha256(body) as content_id from marked where gen <= upto
+union all select distinct session_id, 'op:' || gen, 'not_durable', null, null from marked where gen > upto""", _MARKED)
+_q("durable_diff", """select session_id, b::bigint as before_seq, a::bigint as after_seq, 'ok' as outcome, path, xb as before, yb as after from (
+  select coalesce(x.session_id, y.session_id) as session_id, coalesce(x.b, y.b) as b, coalesce(x.a, y.a) as a,
+    coalesce(x.path, y.path) as path, x.blob as xb, y.blob as yb
+  from (select g.*, r.* from marked g join asked r on g.gen = r.b where upto > 0) x
+  full join (select g.*, r.* from marked g join asked r on g.gen = r.a where upto > 0) y
+  on x.session_id = y.session_id and x.path = y.path and x.a = y.a and x.b = y.b)
+where xb is distinct from yb
+union all select distinct session_id, 1, gen::bigint, 'not_durable', null, null, null from marked where gen > upto""",
+   f"{_MARKED},\nasked(b, a) as (values (1, 0), (1, 1), (1, 2))")
 _COMPARED = f"""{TREES},
 pairs as (select session_id, path, b.blob as want, a.blob as got,
     case when a.blob is null then 'missing' when b.blob is null then 'extra' when a.blob = b.blob then 'equal' else 'changed' end as outcome
@@ -720,6 +752,11 @@ where fault not in (-1, 0, 1, 3, 4) and key_name in (select key_name from listed
 _q("listing_sessions", """select 's' || (page_id % 7) as session_id, count(*) as objects, sum(length(html))::bigint as bytes from pages
 where page_id % 10 <> 0 group by 1""")
 
+_q("listing_session_outcomes", """select case when page_id % 10 <> 0 then 's' || (page_id % 7) end as session_id, count(*) as objects,
+  sum(length(html))::bigint as bytes, case when page_id % 10 = 0 then 'unnamed' else 'ok' end as outcome, ' rec/ ' as prefix
+from pages group by all
+union all select null, 0, 0, 'bad_prefix', unnest(['rec//x', '..'])""".replace("group by all", "group by 1, 4"))
+
 # ------------------------------------------------------------ measurement
 
 _q("session_summary", """select c.session_id, events, snapshot_count, touched_path_windows, coalesce(paths, 0) as distinct_touched_paths,

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlog.functions.paths import session_filters
 from driftlog.functions.values import event_object_name, operations_of, touch_operation
 from driftlog.operators import assembly, measure, publish, timeline, trees, validate, windows
 from driftlog.operators.segments import BatchLimit
 from driftlog.plans import recipes
 from driftlog.session import save_and_reload, scratch_path
-from driftlog.sources import readers, sinks
+from driftlog.sources import readers, sinks, tables
 from driftlog.streaming.continuity import live_continuity_stream
 from driftlog.streaming.runs import run_available, run_batches, use_rocksdb
 from driftlog.streaming.windows import debounce_stream
@@ -216,6 +217,18 @@ def durable_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def publication_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writers that send unlike contents for accepted, staged and new numbers."""
+    rows = timeline.index(recipes.timeline(spark, sf_dir)).selectExpr("session_id", "seq", "kind type", "op")
+    store = sinks.DurableStore(spark, scratch_path(spark, "conflict-store"), _EVENT_SCHEMA)
+    store.publish(rows.filter("seq <> 1"), 0)
+    other = rows.filter("seq in (0, 2)").withColumn("op", F.concat(F.lit("other:"), F.col("session_id")))
+    store.publish(rows.unionByName(other), 1)
+    store.publish(rows.filter("seq = 1").withColumn("type", F.lit("late")), 2)
+    return store.conflicts()
+
+
 @query
 def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, store = _accepted_stream(spark, sf_dir, "live")
@@ -324,6 +337,40 @@ def timeline_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.index(recipes.timeline(spark, sf_dir))
 
 
+def _engine_timeline(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "engine-timeline")
+    tables.write_table(recipes.timeline(spark, sf_dir).drop("mark"), path, buckets=16)
+    return path
+
+
+@query
+def engine_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of sequence numbers of all sessions, out of the engine table."""
+    rows = tables.read_table(spark, _engine_timeline(spark, sf_dir), first=1, last=4)
+    return timeline.operation_rows(rows)
+
+
+@query
+def engine_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of a few sessions, out of the engine table."""
+    asked = timeline.index(recipes.timeline(spark, sf_dir)).filter(
+        "op is not null and cast(substr(session_id, 2) as bigint) % 10 = 3"
+    ).select("session_id", "op").distinct()
+    rows = tables.rows_for(spark, _engine_timeline(spark, sf_dir), asked)
+    return timeline.inspect_operation(rows, asked)
+
+
+@query
+def engine_tree_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of two sessions from a table of path versions."""
+    path = scratch_path(spark, "engine-versions")
+    tables.write_table(_history(spark, sf_dir), path, order="valid_from", buckets=16)
+    asked = recipes.generations(spark, sf_dir).filter("session_id in ('s2', 's5')").selectExpr(
+        "session_id", "cast(gen as bigint) at_seq"
+    ).distinct()
+    return trees.tree_at(tables.rows_for(spark, path, asked), asked).select("session_id", "at_seq", "path", "blob", "bytes")
+
+
 @query
 def inspect_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = recipes.timeline(spark, sf_dir)
@@ -456,6 +503,20 @@ def kept_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def kept_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kinds of sessions with unlike lists, and one with a broken glob."""
+    notes = recipes.notifications(spark, sf_dir)
+    even = F.substr("session_id", F.lit(2)).cast("bigint") % 2 == 0
+    lists = notes.select("session_id").distinct().select(
+        "session_id", F.lit(recipes.ROOT + "/").alias("root"),
+        F.when(even, F.array(F.lit(recipes.ROOT + "/src/d3/"))).alias("excluded"),
+        F.when(F.col("session_id") == "u7", F.array(F.lit("[a")))
+        .when(even, F.array(F.lit("src/d1/*"), F.lit("d2"))).otherwise(F.array(F.lit("*.tmp"))).alias("ignores"),
+    )
+    return windows.observe_sessions(notes, session_filters(lists)).withColumn("paths", _joined("paths"))
+
+
 @query
 def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _touches(spark, sf_dir).groupBy("session_id").agg(
@@ -773,6 +834,32 @@ def operation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _durable_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarks at generation 2, some sessions without any."""
+    return recipes.generations(spark, sf_dir).select("session_id").distinct().filter("session_id <> 's1'").withColumn(
+        "durable_seq", F.lit(2).cast("bigint")
+    )
+
+
+@query
+def durable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _generation_ops(spark, sf_dir)
+    files = trees.materialize(
+        _history(spark, sf_dir), known.select("session_id", "op"), known,
+        recipes.generation_blobs(spark, sf_dir).dropDuplicates(["blob"]), _durable_generations(spark, sf_dir),
+    )
+    return files.select("session_id", "op", "outcome", "path", F.sha2("content", 256).alias("content_id"))
+
+
+@query
+def durable_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _generation_ops(spark, sf_dir)
+    asked = known.selectExpr("session_id", "'op:1' before_op", "op after_op")
+    return trees.diff(_history(spark, sf_dir), asked, known, _durable_generations(spark, sf_dir)).select(
+        "session_id", "before_seq", "after_seq", "outcome", "path", "before", "after"
+    )
+
+
 @query
 def tree_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = trees.compare_trees(recipes.tree_before(spark, sf_dir), recipes.tree_after(spark, sf_dir))
@@ -996,7 +1083,21 @@ def listing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'/', cast(page_id as string)) key_name",
         "cast(length(html) as bigint) size",
     )
-    return publish.sessions_in_listing(rows, "rec")
+    return publish.sessions_in_listing(rows, "rec").filter("outcome = 'ok'").drop("outcome")
+
+
+@query
+def listing_session_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable and unusable prefixes; keys without a session name."""
+    rows = recipes.table(spark, sf_dir, "pages").selectExpr(
+        "concat('rec/', case when page_id % 10 = 0 then '' else concat('s', cast(page_id % 7 as string)) end, "
+        "'/', cast(page_id as string)) key_name",
+        "cast(length(html) as bigint) size",
+    )
+    found = [
+        publish.sessions_in_listing(rows, prefix).withColumn("prefix", F.lit(prefix)) for prefix in (" rec/ ", "rec//x", "..", "none")
+    ]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 # ------------------------------------------------------------ measurement
