@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlog.llm.blobs import RangeReader, list_blobs, write_blobs
-from driftlog.llm.text import TO_LOWER, Texts, find_words, gather, hash_spans, same_spans, slices
+from driftlog.llm.text import Texts, find_words, gather, hash_spans, same_spans, slices
 
 BLOCK = 128
 CHUNK = 512 * BLOCK
@@ -307,13 +307,15 @@ class WordEncoder:
         if len(self.bounds) > CACHED_WORDS:
             self.forget()
         words = find_words(texts)
-        odd = np.concatenate(([0], np.cumsum((texts.data >= 128) | (texts.data == 39) | (texts.data == 60))))
-        plain = odd[words.ends] == odd[words.starts]
         # Plain words are looked up in lower case, others as they stand.
-        steps = np.zeros(len(texts.data) + 1, np.int8)
-        steps[words.starts[plain]] = 1
-        steps[words.ends[plain]] -= 1
-        data = np.where(np.cumsum(steps[:-1], dtype=np.int8) > 0, TO_LOWER[texts.data], texts.data)
+        data = texts.data
+        odd = np.flatnonzero((data >= 128) | (data == 39) | (data == 60))
+        plain = np.ones(len(words.starts), bool)
+        plain[np.searchsorted(words.starts, odd, "right") - 1] = False
+        capital = np.flatnonzero((data >= 65) & (data <= 90))
+        capital = capital[plain[np.searchsorted(words.starts, capital, "right") - 1]]
+        data = data.copy()
+        data[capital] += 32
         hashes = hash_spans(data, words.starts, words.ends)
         seen, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         rows = self._rows(seen)
@@ -328,7 +330,8 @@ class WordEncoder:
         ids, sizes = gather(self.ids, self.bounds, rows)
         # Words that only share the hash of a known word are encoded alone.
         at = self.spelled_bounds
-        alike = same_spans(data, words.starts, words.ends, self.spelled, at[rows], at[rows + 1])
+        # Only spans over eight bytes can do so, or spans of unlike length.
+        alike = same_spans(data, words.starts, words.ends, self.spelled, at[rows], at[rows + 1], known=8)
         if not alike.all():
             parts = np.split(ids, np.cumsum(sizes)[:-1])
             for i in np.flatnonzero(~alike).tolist():

@@ -170,12 +170,14 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def same_spans(
-    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray,
+    known: int = 0,
 ) -> np.ndarray:
-    """Whether each span of ``data`` holds the same bytes as its span of ``other``."""
+    """Whether each span of ``data`` holds the same bytes as its span of ``other``;
+    of spans of up to ``known`` bytes only the lengths are compared."""
     mine, theirs = _lanes(data), _lanes(other)
     out = ends - starts == to - from_
-    rows = np.flatnonzero(out)
+    rows = np.flatnonzero(out & (ends - starts > known))
     at, there, left = starts[rows], from_[rows], (ends - starts)[rows]
     while len(rows):
         mask = _LANE_MASKS[np.clip(left, 0, 8)]
