@@ -121,6 +121,12 @@ def plan_mix(shards: DataFrame, block: int, total: float = TOTAL, most: float =
     for i in range(len(names)):
         own = slice(first[i], first[i + 1])
         take[own] = block * sainte_lague(words[own], int(quotas[i]), np.floor(most * words[own] / block))
+        # Whole blocks may not fill a capped source: it ends in part of one.
+        short = int(targets[i]) - int(take[own].sum())
+        if short > 0 and quotas[i] >= math.floor(most * sizes[i] / block):
+            room = np.floor(most * words[own]).astype(np.int64) - take[own]
+            before = np.cumsum(room) - room
+            take[own] += np.clip(short - before, 0, room)
     return Plan(names, sizes, targets, source, shard, words, take)
 
 
@@ -148,7 +154,8 @@ def _place(docs: DataFrame, seed: int, shard_words: int) -> tuple[DataFrame, Dat
     shares = shares.select(F.col("source").alias("_source"), F.greatest("_shards", F.lit(1)).alias("_shards"))
     rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
     dealt = (
-        sized.join(shares, F.col("source").eqNullSafe(F.col("_source")))
+        sized.filter("size > 0")
+        .join(shares, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "_shards"))
         .drop("_source", "_shards")
         # Repeated rows of a document are one run in the stream.
@@ -162,7 +169,17 @@ def _place(docs: DataFrame, seed: int, shard_words: int) -> tuple[DataFrame, Dat
     placed = runs.withColumn("copy", F.explode(F.expr("sequence(0L, rows - 1)"))).withColumn(
         "start", F.col("start") + F.col("copy") * F.col("size")
     )
-    return placed.drop("rows"), dealt.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
+    # Texts without words have no place in a stream; however many there are,
+    # they stand in no window.
+    zero = F.lit(0).cast("bigint")
+    wordless = sized.filter("size = 0").select(
+        "source", zero.alias("shard"), "doc_id", "size", zero.alias("start"), zero.alias("copy")
+    )
+    words = dealt.select("source", "shard", (F.col("size") * F.col("rows")).alias("words")).union(
+        wordless.select("source", "shard", zero.alias("words")).distinct()
+    )
+    placed = placed.drop("rows").unionByName(wordless)
+    return placed, words.groupBy("source", "shard").agg(F.sum("words").alias("words"))
 
 
 def _selected(start: np.ndarray, length: np.ndarray, rest: np.ndarray, blocks: np.ndarray, step: np.ndarray, offset: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
