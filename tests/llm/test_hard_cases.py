@@ -54,9 +54,14 @@ def test_long_words_stay_apart(make_docs, spark):
 def test_words_that_share_a_hash_are_encoded_alone(monkeypatch):
     model = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(model)
-    monkeypatch.setattr(simple8b, "hash_spans", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    # Words of up to eight bytes keep their own hashes, as they always do.
+    real = text.hash_spans
+    monkeypatch.setattr(
+        simple8b, "hash_spans",
+        lambda data, starts, ends: np.where(ends - starts > 8, (ends - starts).astype(np.uint64), real(data, starts, ends)),
+    )
     coder = simple8b.WordEncoder(open(model, encoding="utf-8").read())
-    line = "red fox and cat don't \u00e9t\u00e9 abc \u00e9t\u00ea Red"
+    line = "red fox greetings don't mountains \u00e9t\u00e9\u00e9t\u00e9\u00e9 Mountains notebooks \u00e9t\u00ea\u00e9t\u00ea\u00ea greetings"
     raw = np.frombuffer(line.encode(), np.uint8)
     ids, _ = coder.encode(text.Texts(raw, np.array([0, len(raw)])))
     assert ids.tolist() == library.encode(line, add_special_tokens=False).ids
