@@ -337,11 +337,12 @@ def materialize(
     at = _resolved(requests.select("session_id", "op"), known, durable, ("op", "at_seq"))
     served = at.filter("outcome = 'ok'").select("session_id", "op", "at_seq")
     entries = tree_at(versions, served).join(served, ["session_id", "at_seq"])
-    files = entries.join(blobs.select("blob", "content"), "blob", "left").select(
+    files = with_entry_defaults(entries).join(blobs.select("blob", "content"), "blob", "left").select(
         "session_id",
         "op",
         F.when(F.col("content").isNull(), "missing_content").otherwise("ok").alias("outcome"),
         "path",
+        "entry_type",
         "executable",
         "bytes",
         "content",

@@ -444,6 +444,19 @@ bounds as (select session_id, window_start, last_ms, instants,
     case when (pf is not null and deadline >= pf) or (pf is null and np <= deadline and (nc is null or np < nc)) then nc
       else least(deadline, nc) end as closed_ms from closing)"""
 _q("debounce_with_commands", "select * from bounds", _COMMANDED, True)
+_q("activity_streamed", f"""select b.session_id, b.window_start, b.last_ms, b.closed_ms, coalesce(w.raw, 0)::bigint as raw_events,
+  coalesce(w.paths, '') as paths, concat_ws(',', case when w.n > 2 then 'recorder:audit_path_limit:2' end, o.sources) as sources
+from bounds b left join (
+  select session_id, window_start, sum(raw_events) as raw, count(*) as n,
+    string_agg(path || '=' || replace({op_list('ops')}, ',', '+'), ',' order by rank) filter (rank <= 2) as paths
+  from (select *, row_number() over (partition by session_id, window_start order by first_ms, first_notif, path) as rank from (
+    select session_id, window_start, path, count(*) as raw_events, min(t_ms) as first_ms, arg_min(notif_id, (t_ms, notif_id)) as first_notif,
+      list(distinct operation) as ops from touches join assigned using (session_id, t_ms) group by 1, 2, 3)) group by 1, 2) w
+  using (session_id, window_start)
+left join (
+  select session_id, window_start, string_agg(case place when 2 then 'recorder:overflow_report_limit:2' else source end, ',' order by place) as sources
+  from (select o.session_id, window_start, source, row_number() over (partition by o.session_id, window_start order by o.t_ms, notif_id) as place
+    from overs o join assigned using (session_id, t_ms)) where place <= 2 group by 1, 2) o using (session_id, window_start)""", _COMMANDED, True)
 _q("debounce_streamed", f"""select a.session_id, a.window_start, max(t_ms) as last_ms, least(a.window_start + {CAP}, max(t_ms) + {QUIET}) as closed_ms,
   sum(c)::bigint as raw_events
 from assigned a join (select session_id, t_ms, count(*) as c from touches group by 1, 2) using (session_id, t_ms)

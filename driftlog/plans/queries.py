@@ -18,6 +18,7 @@ from driftlog.operators.segments import BatchLimit
 from driftlog.plans import recipes
 from driftlog.session import save_and_reload, scratch_path
 from driftlog.sources import readers, sinks, tables
+from driftlog.streaming.activity import activity_rows, activity_stream
 from driftlog.streaming.continuity import live_continuity_stream
 from driftlog.streaming.runs import run_available, run_batches, use_rocksdb
 from driftlog.streaming.windows import debounce_stream
@@ -535,22 +536,58 @@ def debounce_with_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_bounds(assigned, recipes.RULE)
 
 
+def _in_thirds(rows: DataFrame, ends: DataFrame, name: str) -> DataFrame:
+    """A stream of rows in three spans of time, and the ends last.  A span is
+    written by many tasks, all of a session's rows to one file, so triggers
+    take a session's rows in the order of time wherever they are cut."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    saved = save_and_reload(rows, f"{name}-rows")
+    bounds = saved.agg(F.min("t_ms"), F.max("t_ms")).first()
+    low, width = bounds[0] or 0, ((bounds[1] or 0) - (bounds[0] or 0)) // 3 + 1
+    for part in (*[saved.filter(F.expr(f"(t_ms - {low}) div {width} = {third}")) for third in range(3)], ends):
+        part.repartition(4, "session_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
 @query
 def debounce_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows closed by the stream, the last ones by the ends of sessions."""
     use_rocksdb(spark)
-    path = scratch_path(spark, "touches")
     rows = _touches(spark, sf_dir).select("session_id", "t_ms", F.lit(False).alias("is_end"))
-    # A few files in time order, one per trigger, and the ends last.
-    bounds = rows.agg(F.min("t_ms"), F.max("t_ms")).first()
-    low, width = bounds[0] or 0, ((bounds[1] or 0) - (bounds[0] or 0)) // 3 + 1
-    for part in range(3):
-        rows.filter(F.expr(f"(t_ms - {low}) div {width} = {part}")).coalesce(1).write.mode("append").parquet(path)
-    rows.select("session_id", F.lit(None).cast("bigint").alias("t_ms"), F.lit(True).alias("is_end")).distinct().coalesce(
-        1
-    ).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return run_available(debounce_stream(stream, recipes.RULE), "debounce")
+    ends = rows.select("session_id", F.lit(None).cast("bigint").alias("t_ms"), F.lit(True).alias("is_end")).distinct()
+    return run_available(debounce_stream(_in_thirds(rows, ends, "touches"), recipes.RULE), "debounce")
+
+
+@query
+def activity_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with commands, pauses, overflow reports and capped path sets,
+    closed by the stream."""
+    use_rocksdb(spark)
+    notes = save_and_reload(recipes.notifications(spark, sf_dir), "notifications")
+    rows = activity_rows(
+        windows.observe(notes, recipes.ROOT, ignores=recipes.IGNORES), windows.overflow_reports(notes),
+        recipes.pausing_commands(spark, sf_dir),
+    )
+    ends = activity_rows(
+        windows.observe(notes.limit(0), recipes.ROOT), ends=notes.select("session_id").distinct()
+    ).filter("kind = 'end'")
+    stream = activity_stream(_in_thirds(rows, ends, "activity"), recipes.RULE, max_paths=2, max_reports=2)
+    closed = run_available(stream, "activity")
+    ops = F.concat_ws("+", operations_of(F.col("operation_bits")))
+    listed = F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("kind") == "path", F.struct("place", F.concat_ws("=", "path", ops).alias("x"))))),
+            lambda p: p["x"],
+        ), ",",
+    )
+    sources = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "overflow", F.struct("place", "source")))), lambda p: p["source"]), ","
+    )
+    return closed.groupBy("session_id", "window_start", "last_ms", "closed_ms").agg(
+        F.max(F.when(F.col("kind") == "window", F.col("raw_events"))).alias("raw_events"),
+        listed.alias("paths"), sources.alias("sources"),
+    )
 
 
 @query

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +12,8 @@ from driftlog.functions.values import event_object_name
 from driftlog.operators.ordered import attach_facts, ordered_scan, seq_chunk
 from driftlog.schemas import BODIES
 from driftlog.session import save_and_reload
+from driftlog.sources.restore import restore as restore_files
+from driftlog.sources.restore import restore_plan
 
 
 def event_json(timeline: DataFrame) -> DataFrame:
@@ -349,31 +348,10 @@ def load_cursor(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore(files: DataFrame, destination: str, session_folder: str) -> int:
-    """Write materialized files (path, executable, content) below a folder on
-    a shared filesystem; returns how many were written.
-
-    The destination must be empty and outside the session's own folder.
-    """
-    target, session = os.path.realpath(destination), os.path.realpath(session_folder)
-    if target == session or target.startswith(session.rstrip("/") + "/"):
-        raise ValueError("destination is inside the session")
-    if os.path.exists(target) and (not os.path.isdir(target) or os.listdir(target)):
-        raise ValueError("destination is not empty")
-    os.makedirs(target, exist_ok=True)
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                place = os.path.join(target, row.path)
-                if not os.path.realpath(place).startswith(target + os.sep):
-                    raise ValueError(f"unsafe path {row.path!r}")
-                os.makedirs(os.path.dirname(place), exist_ok=True)
-                staged = f"{place}.{os.getpid()}.part"
-                with open(staged, "wb") as out:
-                    out.write(row.content)
-                os.chmod(staged, 0o755 if row.executable else 0o644)
-                os.replace(staged, place)
-            yield pd.DataFrame({"written": [len(frame)]})
-
-    done = files.select("path", "executable", "content").mapInPandas(write, "written bigint")
-    return done.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+    """``restore.restore``; returns how many files and links were written, and
+    refuses everything if one path is unsafe."""
+    plan = restore_plan(files)
+    if not plan.filter("outcome = 'unsafe_path'").isEmpty():
+        raise ValueError("unsafe path")
+    done = restore_files(files, destination, session_folder)
+    return done.filter(F.col("outcome").isin("write", "link")).count()
