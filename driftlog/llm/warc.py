@@ -1,10 +1,14 @@
 """WARC records in ZIP packages, written and range-read in Spark.
 
 A package is a ZIP file of stored (uncompressed) members: an archive of
-individually gzipped WARC records and an index with one line per record.  The
+individually gzipped WARC records and a CDXJ index with one line per record.  The
 reader only fetches byte ranges: the end of the file, the central directory
 (ZIP64 or not), the members' local headers, the index, and then the records it
 names.  Nothing is extracted or read as a whole.
+
+Packages of other writers may hold several archives, gzipped or plain, CDX or
+CDXJ indexes that name them, or none, and records of any type.  An archive that
+no index line names is walked from record to record.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,10 +30,12 @@ from driftlog.llm.blobs import RangeReader, list_blobs, write_blobs
 
 PACKAGE_BYTES = 8 << 20
 READ_AHEAD = 1 << 20
+HEAD_BYTES = 4_096
 ARCHIVE = "archive/data.warc.gz"
-INDEX = "indexes/index.cdx"
+INDEX = "indexes/index.cdxj"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
+_COMPACT = "20240101000000"
 
 
 # ------------------------------------------------------------------ packages
@@ -129,30 +136,69 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def _page(identity: str | None) -> int | None:
+    """The page id in a record id of this module's own form."""
+    named = (identity or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(named) if named.lstrip("-").isdigit() and (identity or "").startswith("<urn:page:") else None
+
+
 def parse_record(raw: bytes) -> dict[str, object]:
-    """The fields of a record; a response's size and digest are taken from its
-    payload and must agree with its header."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    payload = block.partition(b"\r\n\r\n")[2]
-    identity = fields["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
-    refers = fields.get("WARC-Refers-To")
-    size, digest = int(fields["Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if fields["WARC-Type"] == "response" and (len(payload), _digest(payload)) != (size, digest):
-        raise ValueError(f"payload of record {identity} does not match its digest")
-    url = fields["WARC-Target-URI"]
+    """The fields of a record of any type.
+
+    The payload of a response or request is its HTTP body, that of a revisit is
+    missing, that of any other record its block.  Size and digest are taken from
+    the payload, a revisit's from its header, where they may be unknown; a
+    response whose header states another SHA-1 is refused.
+    """
+    head, _, rest = raw.lstrip(b"\r\n").partition(b"\r\n\r\n")
+    lines = [line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]]
+    fields = {name.strip().lower(): value.strip() for name, _, value in lines}
+    block = rest[: int(fields["content-length"])]
+    kind = fields.get("warc-type", "unknown")
+    http = fields.get("content-type", "").startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    stated = fields.get("warc-payload-digest", "")
+    size: int | None = len(payload)
+    if kind == "revisit":
+        size = int(fields["payload-length"]) if "payload-length" in fields else None
+        digest = stated.removeprefix("sha1:") or None
+    else:
+        digest = _digest(payload)
+        if kind == "response" and stated.startswith("sha1:") and stated.removeprefix("sha1:") != digest:
+            raise ValueError(f"payload of record {fields.get('warc-record-id')} does not match its digest")
+    url = fields.get("warc-target-uri")
+    identity, refers = fields.get("warc-record-id"), fields.get("warc-refers-to")
+    own = (identity or "").startswith("<urn:page:")
     return {
-        "page_id": None if identity == "none" else int(identity),
-        "url": url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
+        "page_id": _page(identity),
+        "url": url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%") if url and own else url,
         "payload_bytes": size,
         "payload_digest": digest,
-        "record_type": fields["WARC-Type"],
-        "refers_to": None if refers is None else int(refers.removeprefix("<urn:page:").removesuffix(">")),
-        "payload": payload if fields["WARC-Type"] == "response" else None,
+        "record_type": kind,
+        "refers_to": _page(refers),
+        "record_id": identity,
+        "payload": None if kind == "revisit" else payload,
     }
 
 
+def index_places(lines: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) of the lines of a CDX or CDXJ index.  A CDX
+    index names its columns in its first line; lines without length are left
+    out, so their archives are walked."""
+    columns = {"S": 8, "V": 9, "g": 10}
+    for line in lines:
+        if line.startswith(" CDX"):
+            columns = {letter: i for i, letter in enumerate(line.split()[1:])}
+        elif line.rstrip().endswith("}"):
+            about = json.loads(line[line.index("{") :])
+            if "offset" in about and "length" in about:
+                yield str(about.get("filename", "")), int(about["offset"]), int(about["length"])
+        else:
+            parts = line.split()
+            if len(parts) > max(columns.get(c, 1 << 30) for c in "SVg") and parts[columns["S"]].isdigit():
+                yield parts[columns["g"]], int(parts[columns["V"]]), int(parts[columns["S"]])
+
+
 # --------------------------------------------------------------------- Spark
 
 
@@ -203,7 +249,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, package_by
             for i in range(batch.num_rows):
                 page_id, url, html, refers_to = (c[i].as_py() for c in columns)
                 record = gzip.compress(build_record(page_id, url, html.encode(), refers_to), 1, mtime=0)
-                index.append(f"{'none' if page_id is None else page_id} {len(archive)} {len(record)}\n")
+                about = {"filename": ARCHIVE, "offset": str(len(archive)), "length": str(len(record))}
+                index.append(f"{'none' if page_id is None else page_id} {_COMPACT} {json.dumps(about)}\n")
                 archive += record
                 if len(archive) >= package_bytes:
                     yield package()
@@ -217,20 +264,28 @@ def locate_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, offset, length) of every record of the packages below ``path``.
 
     Offsets count from the start of the package file.  The places come from the
-    index member; a package without one is walked record by record.
+    index members, each line for the archive it names, by its full or its last
+    name, or for the only one; an archive without a line is walked record by
+    record.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader()
         for batch in batches:
             for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stored = {m.name: m for m in members(reader, name, length)}
-                for archive in [m for m in stored.values() if m.name.endswith((".warc.gz", ".warc"))]:
-                    if INDEX in stored:
-                        lines = reader.read(name, stored[INDEX].start, stored[INDEX].size).decode().split("\n")[:-1]
-                        places = [tuple(map(int, line.split(" ")[1:3])) for line in lines]
-                    else:
-                        places = list(_walk(reader, name, archive))
+                stored = members(reader, name, length)
+                archives = [m for m in stored if m.name.endswith((".warc.gz", ".warc"))]
+                named = {m.name.rsplit("/", 1)[-1]: m for m in archives} | {m.name: m for m in archives}
+                known: dict[Member, list[tuple[int, int]]] = {}
+                for index in [m for m in stored if m.name.endswith((".cdx", ".cdxj"))]:
+                    lines = reader.read(name, index.start, index.size).decode("utf-8", "replace").split("\n")
+                    for file, offset, size in index_places(lines):
+                        archive = named.get(file) or named.get(file.rsplit("/", 1)[-1])
+                        archive = archive or (archives[0] if len(archives) == 1 and not file else None)
+                        if archive is not None:
+                            known.setdefault(archive, []).append((offset, size))
+                for archive in archives:
+                    places = known.get(archive) or list(_walk(reader, name, archive))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([name] * len(places), pa.string()),
@@ -243,8 +298,30 @@ def locate_records(spark: SparkSession, path: str) -> DataFrame:
     return list_blobs(spark, path).mapInArrow(run, "path string, offset bigint, length bigint")
 
 
+def _walk_plain(reader: RangeReader, path: str, archive: Member) -> Iterator[tuple[int, int]]:
+    """Borders of the records of an uncompressed archive, by their lengths."""
+    at = 0
+    while at < archive.size:
+        head, ask = b"", HEAD_BYTES
+        while b"\r\n\r\n" not in head.lstrip(b"\r\n") and len(head) < archive.size - at:
+            head = reader.read(path, archive.start + at, min(ask, archive.size - at))
+            ask *= 4
+        begun = at + len(head) - len(head.lstrip(b"\r\n"))
+        fields = head.lstrip(b"\r\n").partition(b"\r\n\r\n")
+        if not fields[1]:
+            return
+        sizes = [line.partition(b":")[2] for line in fields[0].split(b"\r\n") if line.lower().startswith(b"content-length:")]
+        end = begun + len(fields[0]) + 4 + int(sizes[0])
+        yield begun, end - begun
+        at = end
+
+
 def _walk(reader: RangeReader, path: str, archive: Member) -> Iterator[tuple[int, int]]:
-    """Borders of the gzip members of an archive without index."""
+    """Borders of the records of an archive without index: those of its gzip
+    members, or of plain records."""
+    if reader.read(path, archive.start, min(2, archive.size)) != b"\x1f\x8b":
+        yield from _walk_plain(reader, path, archive)
+        return
     at, fetched = 0, 0
     waiting = b""
     unpack, begun = zlib.decompressobj(31), 0
@@ -269,14 +346,15 @@ _FIELDS = {
 }
 
 
-def read_records(places: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_records(places: DataFrame, with_payload: bool = True, with_ids: bool = False) -> DataFrame:
     """The records at (path, offset, length), each read as a byte range.
 
     Neighbouring ranges are fetched together, up to ``READ_AHEAD`` bytes.  Size
     and digest are those of the full payload; a revisit has no payload of its
-    own.
+    own.  Records of other writers and types have no page_id; ``with_ids`` adds
+    every record's record_id.  An empty table gives an empty result.
     """
-    kinds = _FIELDS | ({"payload": pa.binary()} if with_payload else {})
+    kinds = _FIELDS | ({"payload": pa.binary()} if with_payload else {}) | ({"record_id": pa.string()} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader()
@@ -291,13 +369,13 @@ def read_records(places: DataFrame, with_payload: bool = True) -> DataFrame:
                     end += rows[stop][2]
                     stop += 1
                 data = memoryview(reader.read(path, start, end - start))
-                records = [
-                    parse_record(gzip.decompress(data[o - start : o - start + n])) for _, o, n in rows[at:stop]
-                ]
+                parts = [data[o - start : o - start + n] for _, o, n in rows[at:stop]]
+                records = [parse_record(gzip.decompress(p) if p[:2] == b"\x1f\x8b" else bytes(p)) for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[name] for r in records], kind) for name, kind in kinds.items()], list(kinds)
                 )
                 at = stop
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    return places.select("path", "offset", "length").mapInArrow(run, schema + (", payload binary" if with_payload else ""))
+    schema += (", payload binary" if with_payload else "") + (", record_id string" if with_ids else "")
+    return places.select("path", "offset", "length").mapInArrow(run, schema)
