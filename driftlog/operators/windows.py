@@ -299,12 +299,17 @@ def dirty_sessions(windows: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def touched_events(kept_paths: DataFrame) -> DataFrame:
-    """Capped window paths as one array per window, sorted by path."""
+def touched_events(paths: DataFrame, limit: int = MAX_AUDIT_PATHS, capped: bool = False) -> DataFrame:
+    """The first ``limit`` paths of each window as one array, sorted by path.
+
+    An array is one row, so it is always bounded; with ``capped`` the paths come
+    from ``cap_paths`` and are not ranked again.
+    """
+    keys = ["session_id", "window_start"]
+    if not capped:
+        paths = smallest_per_group(paths, keys, ["first_seen", "path"], limit)
     entry = F.struct("path", operations_of(F.col("operation_bits")).alias("operations"))
-    return kept_paths.groupBy("session_id", "window_start").agg(
-        F.array_sort(F.collect_list(entry)).alias("paths")
-    )
+    return paths.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("paths"))
 
 
 def ordered_events(
