@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlog.llm.blobs import RangeReader, list_blobs, write_blobs
-from driftlog.llm.text import Texts, find_words, gather, hash_spans, same_spans, slices
+from driftlog.llm.text import SPACES, Texts, find_words, gather, hash_spans, same_spans, slices
 
 BLOCK = 128
 CHUNK = 512 * BLOCK
@@ -265,10 +265,12 @@ class WordEncoder:
         self.piece_ids = np.concatenate([self.piece_ids, *parts])
         self.piece_bounds = np.concatenate((self.piece_bounds, self.piece_bounds[-1] + np.cumsum(np.concatenate(sizes))))
 
-    def _learn(self, words: list[bytes], plain: list[bool], hashes: np.ndarray) -> None:
+    def _learn(self, words: list[bytes], mixed: list[bool], hashes: np.ndarray) -> np.ndarray:
+        """Learn words in the order of their hashes, of which only ``mixed`` ones
+        are cut; their rows."""
         if len(self.piece_rows) > CACHED_PIECES:
             self._forget_pieces()
-        cut = [self.runs.findall(w) if p else [w] for w, p in zip(words, plain, strict=True)]
+        cut = [self.runs.findall(w) if m else [w] for w, m in zip(words, mixed, strict=True)]
         flat = [p for own in cut for p in own]
         self._ask(list(dict.fromkeys(p for p in flat if p not in self.piece_rows)))
         rows = np.fromiter(map(self.piece_rows.__getitem__, flat), np.int64, len(flat))
@@ -281,17 +283,19 @@ class WordEncoder:
         self.spelled_bounds = np.concatenate((self.spelled_bounds, ends))
         self.ids = np.concatenate((self.ids, ids))
         self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
-        late = self._merge(self.known[1], (hashes, first + np.arange(len(words))))
+        rows_of = first + np.arange(len(words))
+        late = self._merge(self.known[1], (hashes, rows_of))
         if 4 * len(late[0]) > len(self.known[0][0]):
             self.known = [self._merge(self.known[0], late), (late[0][:0], late[1][:0])]
         else:
             self.known[1] = late
+        return rows_of
 
     @staticmethod
     def _merge(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        hashes = np.concatenate((one[0], two[0]))
-        order = np.argsort(hashes, kind="stable")
-        return hashes[order], np.concatenate((one[1], two[1]))[order]
+        # Both are sorted already.
+        at = np.searchsorted(one[0], two[0])
+        return np.insert(one[0], at, two[0]), np.insert(one[1], at, two[1])
 
     def _rows(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of known words, -1 for others."""
@@ -322,10 +326,13 @@ class WordEncoder:
         fresh = rows < 0
         if fresh.any():
             picked = first[fresh]
-            raw, flags = data.tobytes(), plain[picked].tolist()
+            # A plain word of letters alone is one piece.
+            signs = np.zeros(len(plain), bool)
+            other = np.flatnonzero((data < 97) & ~SPACES[data] | (data > 122))
+            signs[np.searchsorted(words.starts, other, "right") - 1] = True
+            raw, mixed = data.tobytes(), (plain & signs)[picked].tolist()
             spans = zip(words.starts[picked].tolist(), words.ends[picked].tolist(), strict=True)
-            self._learn([raw[a:b] for a, b in spans], flags, seen[fresh])
-            rows = self._rows(seen)
+            rows[fresh] = self._learn([raw[a:b] for a, b in spans], mixed, seen[fresh])
         rows = rows[which]
         ids, sizes = gather(self.ids, self.bounds, rows)
         # Words that only share the hash of a known word are encoded alone.
