@@ -9,6 +9,7 @@ from driftlog.functions.paths import ALWAYS_IGNORED, recorded_paths
 from driftlog.functions.values import operation_bit, operations_of, touch_operation
 from driftlog.operators.ordered import attach_facts, ordered_scan, smallest_per_group, time_chunk
 from driftlog.operators.segments import Debounce, debounce_instants
+from driftlog.session import save_and_reload
 
 MAX_AUDIT_PATHS = 100_000
 MAX_OVERFLOW_REPORTS = 64
@@ -126,6 +127,8 @@ def debounce(
         .unionByName(marker(moments.withColumn("command_id", F.lit(0).cast("bigint")), 1,
                             no, F.lit(None).cast("boolean")))
     )
+    # The scan and both passes of the segmenter read their input twice.
+    marks = save_and_reload(marks, "marks")
     placed = ordered_scan(
         marks,
         ["session_id"],
@@ -149,6 +152,7 @@ def debounce(
         "next_pause",
         paused_from.alias("paused_from"),
     )
+    prepared = save_and_reload(prepared, "instants")
     return debounce_instants(prepared, rule, ("next_close", "next_pause", "paused_from"))
 
 

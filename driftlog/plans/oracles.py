@@ -578,6 +578,9 @@ _q("tree_diff_capped", """select session_id, rank, path, kind from (
 _q("tree_diff_stats", """select session_id, count(*) filter (kind = 'added') as added, count(*) filter (kind = 'removed') as removed,
   count(*) filter (kind = 'modified') as modified, 0::bigint as renamed, count(*) filter (kind = 'mode_changed') as mode_changed,
   count(*) > 20 as truncated from differing group by 1""", TREES)
+_q("running_tree_ids", f"""select session_id, gen, 't:' || sha256(count(*)::varchar || ':' || {lanes('d')}) as tree, count(*) as entries,
+  sum(bytes)::bigint as bytes
+from (select *, sha256(path || chr(0) || 'file' || chr(0) || blob || chr(0) || 'false') as d from gens) group by 1, 2""", GENS)
 _q("operation_chain", """select session_id, seq, op, lag(op) over (partition by session_id order by seq) as parent_op, commit, tree
 from (select session_id, gen as seq, 't:' || max(blob) as tree,
     'op:' || sha256(session_id || ':' || gen || ':t:' || max(blob)) as op,

@@ -817,6 +817,21 @@ def _generation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def running_tree_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of every generation, from the changes between generations."""
+    whole = trees.with_entry_defaults(recipes.generations(spark, sf_dir)).select(
+        "session_id", F.col("gen").cast("bigint").alias("gen"), "path",
+        F.struct("entry_type", "blob", "executable").alias("entry"), F.col("bytes").cast("bigint").alias("bytes"),
+    )
+    now = whole.withColumnsRenamed({"entry": "after", "bytes": "after_bytes"})
+    last = whole.filter("gen < 4").withColumn("gen", F.col("gen") + 1).withColumnsRenamed(
+        {"entry": "before", "bytes": "before_bytes"}
+    )
+    changes = now.join(last, ["session_id", "gen", "path"], "full_outer").filter("not (before <=> after)")
+    return trees.running_tree_ids(changes, whole.select("session_id", "gen").distinct(), "gen")
+
+
 @query
 def operation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = recipes.generations(spark, sf_dir).groupBy("session_id", "gen").agg(

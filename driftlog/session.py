@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 OWN_ROOT = "driftlog.scratch.dir"
+_OWN_FOLDERS: set[str] = set()
 
 
 def build_session(master: str = "local[8]", app: str = "driftlog", **conf: str) -> SparkSession:
@@ -62,8 +63,20 @@ def name_shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing exists there yet."""
-    return os.path.join(shared_root(spark), "driftlog", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; nothing exists there yet.
+
+    All paths of an application lie in one folder, which the driver deletes when
+    it ends; executors never do.
+    """
+    own = os.path.join(shared_root(spark), "driftlog", spark.sparkContext.applicationId)
+    if own not in _OWN_FOLDERS:
+        where = spark._jvm.org.apache.hadoop.fs.Path(own)
+        # An instance of its own, which nobody else closes before the end.
+        system = spark._jvm.org.apache.hadoop.fs.FileSystem.newInstance(where.toUri(), spark._jsc.hadoopConfiguration())
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _OWN_FOLDERS.add(own)
+    return os.path.join(own, f"{name}-{uuid.uuid4().hex}")
 
 
 def save_and_reload(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -329,11 +328,9 @@ class DurableStore:
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of the files below a folder, empty ones too; their
     content is not read.  A folder that is not there has none."""
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "path string, length bigint")
-    return found.select("path", "length")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
 def advance_cursor(acks: DataFrame, path: str) -> None:
