@@ -536,6 +536,20 @@ assert save_and_reload(spark.range(3), "r").count() == 3
     assert done.returncode == 0, done.stderr
 
 
+def test_scratch_goes_with_the_application(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+from driftlog.session import build_session, save_and_reload
+spark = build_session("local[1]", **{{"spark.checkpoint.dir": "{tmp_path}/shared"}})
+assert save_and_reload(spark.range(3), "r").count() == 3
+import os
+assert len(os.listdir("{tmp_path}/shared/driftlog")) == 1
+"""
+    done = subprocess.run([sys.executable, "-c", script], env=os.environ | {"PYTHONPATH": repo}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert os.listdir(tmp_path / "shared" / "driftlog") == []
+
+
 # ------------------------------------------------------------ measurement
 
 
