@@ -127,8 +127,6 @@ def debounce(
         .unionByName(marker(moments.withColumn("command_id", F.lit(0).cast("bigint")), 1,
                             no, F.lit(None).cast("boolean")))
     )
-    # The scan and both passes of the segmenter read their input twice.
-    marks = save_and_reload(marks, "marks")
     placed = ordered_scan(
         marks,
         ["session_id"],
@@ -152,6 +150,7 @@ def debounce(
         "next_pause",
         paused_from.alias("paused_from"),
     )
+    # The passes of the segmenter read their input more than once.
     prepared = save_and_reload(prepared, "instants")
     return debounce_instants(prepared, rule, ("next_close", "next_pause", "paused_from"))
 
