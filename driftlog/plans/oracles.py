@@ -515,6 +515,7 @@ _q("assembled_timeline", """select session_id, row_number() over w - 1 as seq, t
 from emitted window w as (partition by session_id order by type <> 'session_start', at_ms, phase, place, type)""", _ASSEMBLY, True)
 
 # Typed bodies: paths capped at 3, changes at 2, states as of each capture.
+# arg_max leaves out NULL arguments, so states are wrapped: a removal may be last.
 _TYPED = f"""{_ASSEMBLY},
 limited as (select *, row_number() over (partition by session_id, window_start order by first_ms, first_notif, path) as rank,
     sum(raw_events) over (partition by session_id, window_start) as all_raw, min(first_ms) over (partition by session_id, window_start) as began,
@@ -529,8 +530,8 @@ numbered as (select *, row_number() over w - 1 as seq, (sum(case when type = 'sn
   from everything window w as (partition by session_id order by type <> 'session_start', at_ms, phase, place, type)),
 captures as (select session_id, snapshots as capture_no, at_ms from numbered where type in ('session_start', 'snapshot')),
 seen as (select t.*, (select min(capture_no) from captures c where c.session_id = t.session_id and c.at_ms >= t.t_ms) as capture_no from touches t),
-states as (select session_id, capture_no, path, arg_max(case when operation <> 'remove' then
-    {{'blob': sha256((notif_id % 50)::varchar), 'x': notif_id % 3 = 0, 'bytes': notif_id % 1000}} end, (t_ms, notif_id)) as after
+states as (select session_id, capture_no, path, arg_max({{'e': case when operation <> 'remove' then
+    {{'blob': sha256((notif_id % 50)::varchar), 'x': notif_id % 3 = 0, 'bytes': notif_id % 1000}} end}}, (t_ms, notif_id)).e as after
   from (select * from seen where capture_no is not null) group by 1, 2, 3),
 kinds as (select *, case when before is null and after is null then null when before is null then 'added' when after is null then 'removed'
     when before.blob <> after.blob then 'modified' when before.x <> after.x then 'mode_changed' end as kind
