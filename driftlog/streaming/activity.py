@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +20,7 @@ _OUTPUT = (
     "session_id string, window_start bigint, last_ms bigint, closed_ms bigint, kind string, place bigint, path string, "
     "operation_bits int, source string, raw_events bigint"
 )
+_CLOSED = Row(*[column.split(" ")[0] for column in _OUTPUT.split(", ")])
 _WINDOW = "window_start bigint, last_ms bigint, raw_events bigint, paths bigint, reports bigint, limited boolean"
 
 
@@ -113,77 +113,87 @@ class ActivityProcessor(StatefulProcessor):
             open_[2:] = [due if paused is None or due < paused else None, True]
         return found, of, paused
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat([f.drop(columns="session_id") for f in rows], ignore_index=True)
-        ended = bool((frame["kind"] == "end").any())
-        commands = frame[frame["kind"] == "command"].sort_values(["t_ms", "place"])
-        seen = frame[frame["kind"].isin(["touch", "overflow"])]
-        marks = [(int(t), 0, c) for t, c in zip(commands["t_ms"], commands["source"], strict=True)]
-        marks += [(int(t), 1, None) for t in seen["t_ms"].unique()]
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        commands: list[Row] = []
+        touches: list[Row] = []
+        overflows: list[Row] = []
+        ended = False
+        for row in rows:
+            if row.kind == "touch":
+                touches.append(row)
+            elif row.kind == "overflow":
+                overflows.append(row)
+            elif row.kind == "command":
+                commands.append(row)
+            else:
+                ended = True
+        instants = {row.t_ms for row in touches} | {row.t_ms for row in overflows}
+        marks = [(row.t_ms, 0, row.source) for row in sorted(commands, key=lambda r: (r.t_ms, r.place is None, r.place or 0))]
+        marks += [(t_ms, 1, None) for t_ms in instants]
         marks.sort(key=lambda m: m[:2])
 
-        kept = self.window.get() if self.window.exists() else None
-        paused = self.pause.get()[0] if self.pause.exists() else None
+        kept = self.window.get()
+        was_paused = self.pause.get()
         before = [kept[0], kept[1], None, False] if kept else None
-        found, of, paused = self._walk(marks, before, paused, ended)
-        seen = seen.assign(number=seen["t_ms"].map(of))
-        out: list[tuple] = []
-        for number, window in enumerate(found):
-            own = seen[seen["number"] == number]
-            held = kept if number == 0 and kept else (None, None, 0, 0, 0, False)
-            out += self._advance(key[0], window, own, held, number == 0 and kept is not None)
-        if paused is None:
-            self.pause.clear()
-        else:
+        found, of, paused = self._walk(marks, before, was_paused[0] if was_paused else None, ended)
+        # Rows are dealt to their windows once, in their order.
+        own: list[tuple[list[Row], list[Row]]] = [([], []) for _ in found]
+        for row in sorted(touches, key=lambda r: (r.t_ms, r.place is None, r.place or 0, r.pos)):
+            own[of[row.t_ms]][0].append(row)
+        for row in sorted(overflows, key=lambda r: (r.t_ms, r.place is None, r.place or 0)):
+            own[of[row.t_ms]][1].append(row)
+        for number, (window, (paths, reports)) in enumerate(zip(found, own, strict=True)):
+            stored = number == 0 and kept is not None
+            held = kept if stored else (None, None, 0, 0, 0, False)
+            for values in self._advance(key[0], window, paths, reports, held, stored):
+                yield _CLOSED(*values)
+        if paused is not None:
             self.pause.update((paused,))
-        if not found or found[-1][3]:
+        elif was_paused:
+            self.pause.clear()
+        if kept and (not found or found[-1][3]):
             self.window.clear()
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _OUTPUT.split(", ")]).astype(
-            {c: "Int64" for c in ("last_ms", "closed_ms", "place", "operation_bits", "raw_events")}
-        )
 
     # --------------------------------------------------------- the contents
 
-    def _advance(self, session: str, window: list, own: pd.DataFrame, held: tuple, stored: bool) -> list[tuple]:
+    def _advance(
+        self, session: str, window: list, touches: list[Row], overflows: list[Row], held: tuple, stored: bool
+    ) -> list[tuple]:
         """Add a trigger's rows to a window; its output if it is closed."""
         start, last, closed_ms, closed = window
-        touches = own[own["kind"] == "touch"].sort_values(["t_ms", "place", "pos"])
-        raw = int(held[2]) + int((touches["pos"] == 0).sum())
+        raw = int(held[2]) + sum(row.pos == 0 for row in touches)
         count, limited = int(held[3]), bool(held[5])
         fresh: dict[str, list] = {}
-        for path, bit, t_ms, place, pos in zip(*(touches[c] for c in ("path", "bit", "t_ms", "place", "pos")), strict=True):
-            entry = fresh.get(path)
+        for row in touches:
+            entry = fresh.get(row.path)
             if entry is None:
-                known = self.paths.getValue((path,)) if stored and self.paths.containsKey((path,)) else None
+                known = self.paths.getValue((row.path,)) if stored else None
                 if known is None and count >= self.max_paths:
                     limited = True
                     continue
                 count += known is None
-                entry = fresh[path] = list(known) if known else [0, int(t_ms), int(place), int(pos)]
-            entry[0] |= int(bit)
+                entry = fresh[row.path] = list(known) if known else [0, row.t_ms, row.place, row.pos]
+            entry[0] |= row.bit
 
-        overflows = own[own["kind"] == "overflow"].sort_values(["t_ms", "place"])
         reports, added = int(held[4]), []
-        for source, own_raw in zip(overflows["source"], overflows["raw_events"], strict=True):
+        for row in overflows:
             if reports < self.max_reports:
                 last_one = reports == self.max_reports - 1
-                added.append((f"{self.reporter}:overflow_report_limit:{self.max_reports}" if last_one else source, int(own_raw)))
+                added.append((f"{self.reporter}:overflow_report_limit:{self.max_reports}" if last_one else row.source, row.raw_events))
                 reports += 1
 
         if not closed:
-            if not stored:
-                self.paths.clear()
-                self.reports.clear()
+            # A window that closes leaves no paths and reports behind.
             for path, entry in fresh.items():
                 self.paths.updateValue((path,), tuple(entry))
-            for report in added:
-                self.reports.appendValue(report)
+            if added:
+                self.reports.appendList(added)
             self.window.update((start, last, raw, count, reports, limited))
             return []
 
         paths = {k[0]: list(v) for k, v in self.paths.iterator()} if stored else {}
         paths |= fresh
-        listed = [tuple(r) for r in self.reports.get()] if stored and self.reports.exists() else []
+        listed = [tuple(r) for r in self.reports.get()] if stored and held[4] else []
         if stored:
             self.paths.clear()
             self.reports.clear()
@@ -214,7 +224,7 @@ def activity_stream(
     On rows that come in time order this equals ``windows.debounce`` with
     commands, ``cap_paths`` and ``cap_overflows``.
     """
-    return rows.groupBy("session_id").transformWithStateInPandas(
+    return rows.groupBy("session_id").transformWithState(
         statefulProcessor=ActivityProcessor(rule, max_paths, max_reports, reporter),
         outputStructType=_OUTPUT,
         outputMode="Append",

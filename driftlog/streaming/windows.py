@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftlog.operators.segments import Debounce
 
 _OUTPUT = "session_id string, window_start bigint, last_ms bigint, closed_ms bigint, raw_events bigint"
+_CLOSED = Row(*[column.split(" ")[0] for column in _OUTPUT.split(", ")])
 _STATE = "window_start bigint, last_ms bigint, raw_events bigint"
 
 
@@ -34,53 +35,49 @@ class DebounceProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("window", _STATE)
 
-    def _closed(self, session: str, window) -> tuple:
-        deadline = min(window[0] + self.rule.max_delay_ms, window[1] + self.rule.quiescence_ms)
-        return session, window[0], window[1], deadline, window[2]
+    def _deadline(self, window: list) -> int:
+        return min(window[0] + self.rule.max_delay_ms, window[1] + self.rule.quiescence_ms)
 
-    def _rows(self, closed) -> pd.DataFrame:
-        return pd.DataFrame(closed, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
+    def _closed(self, session: str, window: list) -> Row:
+        return _CLOSED(session, window[0], window[1], self._deadline(window), window[2])
 
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         # Rows are folded to counts per instant while they arrive.
-        counts = pd.Series(dtype="float64")
+        counts: Counter[int] = Counter()
         ended = False
-        for frame in rows:
-            ended = ended or bool(frame["is_end"].any())
-            counts = counts.add(frame[~frame["is_end"]].groupby("t_ms").size(), fill_value=0)
-        window = list(self.state.get()) if self.state.exists() else None
-        closed = []
-        for t_ms, count in counts.sort_index().items():
-            t_ms, count = int(t_ms), int(count)
-            if window is not None and t_ms >= self._closed(key[0], window)[3]:
-                closed.append(self._closed(key[0], window))
+        for row in rows:
+            if row.is_end:
+                ended = True
+            elif row.t_ms is not None:
+                counts[row.t_ms] += 1
+        kept = self.state.get()
+        window = list(kept) if kept else None
+        for t_ms in sorted(counts):
+            if window is not None and t_ms >= self._deadline(window):
+                yield self._closed(key[0], window)
                 window = None
             if window is None:
                 window = [t_ms, t_ms, 0]
             window[1] = max(window[1], t_ms)
-            window[2] += count
+            window[2] += counts[t_ms]
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
         if window is not None and ended:
-            closed.append(self._closed(key[0], window))
+            yield self._closed(key[0], window)
             window = None
-        if window is None:
-            self.state.clear()
-        else:
+        if window is not None:
             self.state.update(tuple(window))
             if self.idle_ms is not None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._rows(closed)
+        elif kept:
+            self.state.clear()
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        closed = []
-        if self.state.exists():
-            closed.append(self._closed(key[0], self.state.get()))
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        kept = self.state.get()
+        if kept:
+            yield self._closed(key[0], list(kept))
             self.state.clear()
-        yield self._rows(closed)
 
     def close(self) -> None:
         pass
@@ -93,7 +90,7 @@ def debounce_stream(touches: DataFrame, rule: Debounce = Debounce(), idle_ms: in
     There is no watermark, because rows behind one would be dropped.
     """
     end = F.coalesce("is_end", F.lit(False)) if "is_end" in touches.columns else F.lit(False)
-    return touches.select("session_id", "t_ms", end.alias("is_end")).groupBy("session_id").transformWithStateInPandas(
+    return touches.select("session_id", "t_ms", end.alias("is_end")).groupBy("session_id").transformWithState(
         statefulProcessor=DebounceProcessor(rule, idle_ms),
         outputStructType=_OUTPUT,
         outputMode="Append",
