@@ -62,13 +62,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 
 class Model(NamedTuple):
     """Log ratio of trusted to raw probability per bucket, and the least score
-    that is kept in each language; languages without a cut keep every score."""
+    that is kept in each language; languages without a cut keep every score.
+
+    ``cuts`` holds the ``MOST_LANGUAGES`` with most trusted documents; ``more``
+    is a table (lang, cut) of all others, if there are any, and is joined."""
 
     ratios: np.ndarray
     cuts: dict[str | None, float]
+    more: DataFrame | None = None
+
+    def with_cuts(self, rows: DataFrame, lang: str) -> DataFrame:
+        """``rows`` with the cut of a language that ``cuts`` does not hold."""
+        if self.more is None:
+            return rows.withColumn("_cut", F.lit(None).cast("double"))
+        more = self.more.select(F.col("lang").alias("_cut_lang"), F.col("cut").alias("_cut"))
+        return rows.join(more, rows[lang].eqNullSafe(F.col("_cut_lang")), "left").drop("_cut_lang")
 
-    def cut(self, langs: pa.Array) -> np.ndarray:
-        return np.array([self.cuts.get(lang, -np.inf) for lang in langs.to_pylist()], np.float64)
+
+def _least(cuts: dict[str | None, float], langs: pa.Array, others: pa.Array) -> np.ndarray:
+    """The least kept score of each row."""
+    other = others.fill_null(-np.inf).to_pylist()
+    return np.array([cuts.get(lang, o) for lang, o in zip(langs.to_pylist(), other, strict=True)], np.float64)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -87,9 +101,10 @@ def train(docs: DataFrame, trusted: DataFrame, trusted_block: int = TRUSTED_BLOC
     rarer among the trusted texts scores lower as a whole.  So each language
     has its own cut.  It lies ``SPREAD`` times as far below the median of its
     trusted documents as the score under which ``TRUSTED_TAIL`` of them lie, and
-    ``MARGIN`` more; with fewer than ``LEAST_TRUSTED`` of them, or outside the
-    ``MOST_LANGUAGES`` with most of them, it has none.  Without any trusted
-    text every ratio is 0 and nothing is cut.
+    ``MARGIN`` more; with fewer than ``LEAST_TRUSTED`` of them it has none.
+    The cuts of the ``MOST_LANGUAGES`` with most of them are collected, those of
+    all others stay a table.  Without any trusted text every ratio is 0 and
+    nothing is cut.
     """
     ids = trusted.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
     ids = save_and_reload(ids, "trusted-ids")
@@ -130,12 +145,17 @@ def train(docs: DataFrame, trusted: DataFrame, trusted_block: int = TRUSTED_BLOC
             F.first("total").alias("total"),
         )
         .filter(F.col("total") >= LEAST_TRUSTED)
-        .orderBy(F.col("total").desc(), "lang")
-        .limit(MOST_LANGUAGES)
-    )
-    return Model(
-        ratios, {r.lang: (r.middle - SPREAD * (r.middle - r.tail)) * SCORE_STEP - MARGIN for r in cuts.collect()}
+        .select("lang", "total", ((F.col("middle") - SPREAD * (F.col("middle") - F.col("tail"))) * SCORE_STEP - MARGIN).alias("cut"))
     )
+    most = cuts.orderBy(F.col("total").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    more = None
+    if len(most) == MOST_LANGUAGES:
+        last = most[-1]
+        behind = F.col("lang").isNotNull() if last.lang is None else F.col("lang") > last.lang
+        rest = cuts.filter((F.col("total") < last.total) | ((F.col("total") == last.total) & behind)).select("lang", "cut")
+        rest = save_and_reload(rest, "more-cuts")
+        more = None if rest.isEmpty() else rest
+    return Model(ratios, {r.lang: r.cut for r in most}, more)
 
 
 def _duplicate_lines(text: bytes) -> int:
@@ -204,11 +224,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     columns are ignored.
     """
 
+    ratios, cuts = model.ratios, model.cuts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            found = measure(texts, model.ratios)
+            found = measure(texts, ratios)
             failed = base_failed(found)
-            kept = ~failed & (found["quality_score"] >= model.cut(part.column(2)))
+            kept = ~failed & (found["quality_score"] >= _least(cuts, part.column(2), part.column(3)))
             columns = [pa.array(found[name].astype(np.int64)) for name in COUNTS]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *columns, pa.array(found["quality_score"]), pa.array(failed), pa.array(kept)],
@@ -216,18 +238,20 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", quality_score double, base_failed boolean, kept boolean"
-    return _columns(docs).mapInArrow(run, schema)
+    return model.with_cuts(_columns(docs), "lang").mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a good verdict, all columns unchanged."""
 
+    ratios, cuts = model.ratios, model.cuts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            found = measure(texts, model.ratios)
-            langs = part.column(part.num_columns - 1)
-            kept = ~base_failed(found) & (found["quality_score"] >= model.cut(langs))
-            yield part.select(list(range(part.num_columns - 1))).filter(pa.array(kept))
+            found = measure(texts, ratios)
+            own = part.num_columns - 2
+            kept = ~base_failed(found) & (found["quality_score"] >= _least(cuts, part.column(own), part.column(own + 1)))
+            yield part.select(list(range(own))).filter(pa.array(kept))
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select("*", lang.alias("_lang")).mapInArrow(run, docs.schema)
+    return model.with_cuts(docs.select("*", lang.alias("_lang")), "_lang").mapInArrow(run, docs.schema)
