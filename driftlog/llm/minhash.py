@@ -8,9 +8,10 @@ with each member.  Every proposed edge is confirmed on the full shingle sets.
 
 A star alone could hide a link between two members that are both unlike the
 hub, so buckets that still hold several components choose another hub and are
-tried again while that finds links.  What is open then is finished exactly: a
-pair at the threshold shares one of the rarest shingles of both texts, so the
-open texts are joined by these, across components, and confirmed like the rest.
+tried again while that finds links.  Bands only find links soon; what they miss
+is finished exactly: a pair at the threshold shares one of the rarest shingles
+of both texts, so all texts, in a bucket or not, are joined by these across
+components and confirmed like the rest.
 Texts with the same shingle set are one node from the start.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlog.llm.components import connected_components
@@ -120,12 +121,13 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def _open_pairs(nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (u, v) of different components that can reach the threshold.
+    """All pairs (u, v) of different components that can reach the threshold.
 
-    ``nodes`` holds id and component.  Shingles are ordered by rarity, as far
-    as a table of 2 to the ``RARITY_BITS`` counters tells; any order gives the same
-    links.  Only a text's prefix is joined: its rarest shingles, as many as
-    could be missing in a similar text, and one more.  Pairs are left out whose
+    ``nodes`` holds id and component of every row of ``texts``.  Shingles are
+    ordered by rarity, as far as a table of 2 to the ``RARITY_BITS`` counters
+    tells; any order gives the same links.  Only a text's prefix is joined: its
+    rarest shingles, as many as could be missing in a similar text, and one
+    more.  Pairs are left out whose sizes are too unlike, whose first common
     places in the two orders leave too little in common, or whose prefixes share
     so few shingles that what follows cannot make up for it.
     """
@@ -139,8 +141,7 @@ def _open_pairs(nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
             total += np.bincount(cells(shingle_sets(part)[0]), minlength=len(total))
         return total
 
-    some = texts.join(nodes.select("id"), "id", "left_semi")
-    counts = sum_vectors(some.select("text"), count, 1 << RARITY_BITS)
+    counts = sum_vectors(texts.select("text"), count, 1 << RARITY_BITS)
     rarity = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,21 +152,25 @@ def _open_pairs(nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
             order = np.lexsort((values, rarity.value[cells(values)], owner))
             place = np.arange(len(values)) - bounds[owner]
             kept = np.flatnonzero(100 * (sizes[owner] - place) >= threshold * sizes[owner])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(owner[kept])), pa.array(sizes[owner[kept]]),
-                 pa.array(values[order][kept].view(np.int64)), pa.array(place[kept])],
-                ["id", "n", "shingle", "place"],
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(owner[kept], np.arange(len(sizes) + 1)).astype(np.int32)),
+                pa.array(values[order][kept].view(np.int64)),
             )
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists], ["id", "n", "prefix"])
 
-    tokens = some.select("id", "text").mapInArrow(prefixes, "id bigint, n bigint, shingle bigint, place bigint")
-    tokens = save_and_reload(tokens.join(nodes, "id"), "prefixes")
-    mixed = (
-        tokens.groupBy("shingle")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    # A text's prefix stays one row until its component is known.
+    tokens = (
+        texts.select("id", "text").mapInArrow(prefixes, "id bigint, n bigint, prefix array<bigint>")
+        .join(nodes, "id")
+        .select("id", "n", "component", F.posexplode("prefix").alias("place", "shingle"))
+    )
+    own = Window.partitionBy("shingle")
+    tokens = (
+        tokens.select("*", F.min("component").over(own).alias("low"), F.max("component").over(own).alias("high"))
         .filter("low < high")
-        .select("shingle")
+        .drop("low", "high")
     )
-    tokens = tokens.join(mixed, "shingle", "left_semi")
+    tokens = save_and_reload(tokens, "prefixes")
     left = tokens.select("shingle", *[F.col(c).alias(f"{c}_u") for c in ("id", "n", "place", "component")])
     right = tokens.select("shingle", *[F.col(c).alias(f"{c}_v") for c in ("id", "n", "place", "component")])
     needed = threshold * (F.col("n_u") + F.col("n_v"))
@@ -174,9 +179,14 @@ def _open_pairs(nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
     return (
         left.join(right, "shingle")
         .filter("id_u < id_v and component_u != component_v")
-        .filter(left_over * (100 + threshold) >= needed)
+        .filter(100 * F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v"))
         .groupBy(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"))
+        .agg(
+            F.count(F.lit(1)).alias("shared"), F.max(left_over).alias("from_first"),
+            F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"),
+        )
+        # Only the first common shingle has nothing in common before it.
+        .filter(F.col("from_first") * (100 + threshold) >= needed)
         # What both have after their prefixes is no more than one has there.
         .filter((F.col("shared") + F.greatest(rest("n_u"), rest("n_v"))) * (100 + threshold) >= needed)
         .select("u", "v")
@@ -217,9 +227,11 @@ def near_duplicates(
     shared = save_and_reload(members.join(hubs, "bucket"), "buckets")
     nodes = shared.select("id").distinct()
     named = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = save_and_reload(
-        named.join(nodes, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts"
+    reps = sets.select(F.col("rep").alias("id")).distinct()
+    every = save_and_reload(
+        named.join(reps, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "every-text"
     )
+    texts = save_and_reload(every.join(nodes, "id", "left_semi"), "texts")
 
     pairs = shared.filter("hub < id").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     tried = save_and_reload(pairs, "pairs")
@@ -255,13 +267,15 @@ def near_duplicates(
         tried = tried.union(fresh)
         found = found.union(links)
         groups = save_and_reload(connected_components(found), "groups")
-    open_nodes = save_and_reload(still_open.select("id", "component").distinct(), "open-nodes")
-    if not open_nodes.isEmpty():
-        tried = tried.union(fresh)
-        last = save_and_reload(_open_pairs(open_nodes, texts, threshold).join(tried, ["u", "v"], "left_anti"), "pairs")
-        links = save_and_reload(_confirm(last, texts, threshold), "found")
-        if not links.isEmpty():
-            groups = save_and_reload(connected_components(found.union(links)), "groups")
+    # Texts that share no band, or only with others, can still be similar.
+    placed = save_and_reload(
+        reps.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "placed"
+    )
+    tried = tried.union(fresh)
+    last = save_and_reload(_open_pairs(placed, every, threshold).join(tried, ["u", "v"], "left_anti"), "pairs")
+    links = save_and_reload(_confirm(last, every, threshold), "found")
+    if not links.isEmpty():
+        groups = save_and_reload(connected_components(found.union(links)), "groups")
 
     labels = sets.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
         *prints, F.coalesce("component", "rep").alias("component_id")
