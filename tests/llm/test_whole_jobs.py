@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from test_pairs_and_mix import brute
 
-from driftlog.llm import minhash, quality
+from driftlog.llm import attention, lm, minhash, quality
 
 
 def near_threshold():
@@ -67,3 +68,30 @@ def test_every_language_has_its_cut(spark, make_docs, monkeypatch):
     assert {r.doc_id for r in quality.score_documents(docs, bounded).filter("kept").collect()} == want
     left = quality.keep_good(docs, bounded)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == want
+
+
+def test_all_rounds_together_learn_from_every_window(spark, monkeypatch):
+    """Each rare word of each training text is a target, not those of one
+    window a text; texts that are held out are none."""
+    rng = np.random.default_rng(2)
+    streams, want = [], 0
+    for i in range(40):
+        data = rng.integers(1, 40, rng.integers(1, 900)).astype(np.uint8)
+        data[rng.random(len(data)) < 0.05] |= lm.RARE
+        streams.append((bytearray(data.tobytes() + b"\0"), i % 4 == 0))
+        want += int((data >= lm.RARE).sum()) if i % 4 else 0
+    table = spark.createDataFrame(streams, "classes binary, held_out boolean").coalesce(1)
+    monkeypatch.setattr(attention, "TRAIN_BATCH", 8)
+    seen = []
+    monkeypatch.setattr(lm, "sum_vectors", lambda df, count, size: count(iter(df.toArrow().to_batches())))
+    monkeypatch.setattr(lm, "LEAST_STEPS", 1)
+    monkeypatch.setattr(
+        attention, "train_locally",
+        lambda theta, batches, steps, rate: (seen.extend(b for b, _ in zip(batches, range(steps), strict=False)), theta)[1],
+    )
+    for block in (1 << 25, 2_000):
+        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        seen.clear()
+        lm._train(table, attention.initial(np.ones(attention.CLASSES)), 3)
+        scored = {(i.tobytes(), t.tobytes()): int(s.sum()) for b in seen for i, _, t, s in zip(*b, strict=True)}
+        assert sum(scored.values()) == want
