@@ -127,9 +127,9 @@ def _open_pairs(nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
     ordered by rarity, as far as a table of 2 to the ``RARITY_BITS`` counters
     tells; any order gives the same links.  Only a text's prefix is joined: its
     rarest shingles, as many as could be missing in a similar text, and one
-    more.  Pairs are left out whose sizes are too unlike, whose first common
-    places in the two orders leave too little in common, or whose prefixes share
-    so few shingles that what follows cannot make up for it.
+    more.  Common places are left out from where the two orders leave too little
+    in common, and pairs whose places before that are so few that what follows
+    cannot make up for it.
     """
 
     def cells(values: np.ndarray) -> np.ndarray:
@@ -174,21 +174,19 @@ def _open_pairs(nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
     left = tokens.select("shingle", *[F.col(c).alias(f"{c}_u") for c in ("id", "n", "place", "component")])
     right = tokens.select("shingle", *[F.col(c).alias(f"{c}_v") for c in ("id", "n", "place", "component")])
     needed = threshold * (F.col("n_u") + F.col("n_v"))
-    rest = lambda n: F.col(n) - F.floor(F.col(n) * (100 - threshold) / 100) - 1
     left_over = F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
     return (
         left.join(right, "shingle")
         .filter("id_u < id_v and component_u != component_v")
-        .filter(100 * F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v"))
+        # No less than needed can be common from a pair's first common place on.
+        .filter(left_over * (100 + threshold) >= needed)
         .groupBy(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
         .agg(
-            F.count(F.lit(1)).alias("shared"), F.max(left_over).alias("from_first"),
+            F.count(F.lit(1)).alias("shared"), F.min(left_over).alias("from_last"),
             F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"),
         )
-        # Only the first common shingle has nothing in common before it.
-        .filter(F.col("from_first") * (100 + threshold) >= needed)
-        # What both have after their prefixes is no more than one has there.
-        .filter((F.col("shared") + F.greatest(rest("n_u"), rest("n_v"))) * (100 + threshold) >= needed)
+        # The common places left are the pair's first; all others come after.
+        .filter((F.col("shared") - 1 + F.col("from_last")) * (100 + threshold) >= needed)
         .select("u", "v")
     )
 
