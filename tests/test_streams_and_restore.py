@@ -128,3 +128,18 @@ def test_a_materialized_operation_is_restored(spark, tmp_path):
     assert os.readlink(f"{target}/link") == "a/run"
     found = readers.scan_tree(spark, f"file://{target}").filter("path = 'a/run'")
     assert rows(found, "path", "bytes") == [("a/run", 1)]
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Spark deals files out by an opening cost; a tree is read by fewer tasks
+    than that, with the same rows."""
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    monkeypatch.setattr(readers, "PARTITIONS_A_TASK", 8)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = readers.scan_tree(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= max(4 * spark.sparkContext.defaultParallelism, 38)
+        assert {(r.path, bytes(r.content)) for r in found.collect()} == {(f"{i}.txt", str(i).encode()) for i in range(300)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
