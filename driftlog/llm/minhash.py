@@ -263,8 +263,7 @@ def near_duplicates(
         if links.isEmpty():
             break
         tried = tried.union(fresh)
-        found = found.union(links)
-        groups = save_and_reload(connected_components(found), "groups")
+        groups = save_and_reload(connected_components(groups.union(links)), "groups")
     # Texts that share no band, or only with others, can still be similar.
     placed = save_and_reload(
         reps.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "placed"
@@ -273,7 +272,7 @@ def near_duplicates(
     last = save_and_reload(_open_pairs(placed, every, threshold).join(tried, ["u", "v"], "left_anti"), "pairs")
     links = save_and_reload(_confirm(last, every, threshold), "found")
     if not links.isEmpty():
-        groups = save_and_reload(connected_components(found.union(links)), "groups")
+        groups = save_and_reload(connected_components(groups.union(links)), "groups")
 
     labels = sets.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
         *prints, F.coalesce("component", "rep").alias("component_id")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from test_pairs_and_mix import brute
 
-from driftlog.llm import attention, lm, minhash, quality
+from driftlog.llm import attention, components, lm, minhash, quality, reduce
 
 
 def near_threshold():
@@ -95,3 +95,56 @@ def test_all_rounds_together_learn_from_every_window(spark, monkeypatch):
         lm._train(table, attention.initial(np.ones(attention.CLASSES)), 3)
         scored = {(i.tobytes(), t.tobytes()): int(s.sum()) for b in seen for i, _, t, s in zip(*b, strict=True)}
         assert sum(scored.values()) == want
+
+
+def test_training_only_computes_scored_places(monkeypatch):
+    """A batch with one scored place costs one row of attention and logits,
+    and has the same gradient as alone."""
+    rng = np.random.default_rng(3)
+    theta = attention.initial(np.ones(attention.CLASSES))
+    data = rng.integers(1, 40, 3_000).astype(np.uint8)
+    inputs, valid, targets, _ = attention.Windows(data, np.array([0, 3_000])).rows(np.arange(100))
+    scored = np.zeros(targets.shape, np.float32)
+    scored[7, 5] = 1
+    seen, exp = [], attention._exp
+    monkeypatch.setattr(attention, "_exp", lambda values: (seen.append(values.size), exp(values))[1])
+    got = attention.gradient(theta, inputs, valid, targets, scored)
+    assert sum(seen) == attention.WIDTH + attention.CLASSES
+    alone = attention.gradient(theta, inputs[7:8], valid[7:8], targets[7:8], scored[7:8])
+    assert np.allclose(got, alone, atol=1e-7) and np.abs(got).max() > 0
+
+
+def test_links_that_are_stars_take_no_pass(spark, monkeypatch):
+    passes, step = [], components._larger_to_least
+    monkeypatch.setattr(components, "_larger_to_least", lambda edges: (passes.append(1), step(edges))[1])
+    stars = spark.createDataFrame([(1, 5), (9, 1), (2, 3), (4, 4)], "u long, v long")
+    got = {r.id: r.component for r in components.connected_components(stars).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 2: 2, 3: 2} and not passes
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    found = components.connected_components(chain).collect()
+    assert {r.id for r in found if r.component == 0} == set(range(21)) and len(found) == 21 and passes
+
+
+@pytest.mark.parametrize("parts", [1, 3, 20])
+def test_sums_reach_the_driver_in_slices(spark, monkeypatch, parts):
+    size = 2 * reduce.SLICE + 5
+    sizes, collect = [], type(spark.range(1)).collect
+
+    def spied(df):
+        rows = collect(df)
+        sizes.extend(len(r.v) for r in rows if "v" in df.columns)
+        return rows
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", spied)
+    table = spark.range(0, 100, 1, parts)
+
+    def count(batches):
+        out = np.zeros(size)
+        for batch in batches:
+            np.add.at(out, np.asarray(batch.column(0)) * 600, 1.0)
+        return out
+
+    got = reduce.sum_vectors(table, count, size)
+    want = np.zeros(size)
+    want[np.arange(100) * 600] = 1
+    assert (got == want).all() and sizes and max(sizes) <= 8 * reduce.SLICE
