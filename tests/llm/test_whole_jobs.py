@@ -114,6 +114,35 @@ def test_training_only_computes_scored_places(monkeypatch):
     assert np.allclose(got, alone, atol=1e-7) and np.abs(got).max() > 0
 
 
+def test_scoring_computes_inputs_once_for_all_batches(monkeypatch):
+    """Queries, keys and values of a class at a place are computed once, not in
+    every window; each chance is that of the model taken place by place."""
+    rng = np.random.default_rng(4)
+    theta = attention.initial(rng.random(attention.CLASSES) * 100)
+    theta += rng.normal(0, 0.2, attention.SIZE).astype(np.float32)
+    sizes = [1, 23, 24, 25, 48, 49, 130]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    data = rng.integers(1, attention.CLASSES, bounds[-1]).astype(np.uint8)
+    data[bounds[1:] - 1] = attention.END
+    p, want = attention.views(theta.astype(np.float64)), []
+    for start, size in zip(bounds[:-1], sizes, strict=True):
+        for at in range(size):
+            first = at // attention.STRIDE * attention.STRIDE - (attention.WIDTH - attention.STRIDE)
+            seen = [i for i in range(first, at + 1) if i >= 0]
+            x = np.array([p["embed"][data[start + i - 1] if i else attention.END] + p["place"][i - first] for i in seen])
+            weights = np.exp(x @ p["key"] @ (x[-1] @ p["query"]) / np.sqrt(attention.DIM))
+            h = x[-1] + weights @ (x @ p["value"]) / weights.sum() @ p["mix"]
+            z = h + np.maximum(h @ p["up"] + p["up_bias"], 0) @ p["down"] + p["down_bias"]
+            logits = z @ p["out"] + p["out_bias"]
+            want.append(logits[data[start + at]] - np.log(np.exp(logits).sum()))
+    tables, make = [], attention.Scorer.__init__
+    monkeypatch.setattr(attention.Scorer, "__init__", lambda self, theta: (tables.append(1), make(self, theta))[1])
+    monkeypatch.setattr(attention, "BATCH", 3)
+    assert np.allclose(attention.score_streams(theta, data, bounds), want, rtol=1e-4, atol=1e-4)
+    assert len(tables) == 1
+    assert len(attention.score_streams(theta, data[:0], bounds[:1])) == 0
+
+
 def test_links_that_are_stars_take_no_pass(spark, monkeypatch):
     passes, step = [], components._larger_to_least
     monkeypatch.setattr(components, "_larger_to_least", lambda edges: (passes.append(1), step(edges))[1])
