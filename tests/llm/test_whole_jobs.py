@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_pairs_and_mix import brute
 
@@ -143,6 +144,15 @@ def test_scoring_computes_inputs_once_for_all_batches(monkeypatch):
     assert len(attention.score_streams(theta, data[:0], bounds[:1])) == 0
 
 
+def test_scoring_holds_a_few_texts_at_a_time():
+    """Slices have all rows in their order, and only a text alone is larger than a slice."""
+    sizes = [0, 3, 9, 1, 1, 40, 0, 7, 4, 30, 2]
+    rows = pa.RecordBatch.from_pydict({"doc_id": [*range(len(sizes))], "classes": [b"x" * n for n in sizes]})
+    batches = iter([rows.slice(0, 6), rows.slice(6, 0), rows.slice(6)])
+    cuts = [c.column("doc_id").to_pylist() for c in lm._row_slices(batches, 10)]
+    assert cuts == [[0, 1], [2, 3], [4], [5], [6, 7], [8], [9], [10]]
+
+
 def test_links_that_are_stars_take_no_pass(spark, monkeypatch):
     passes, step = [], components._larger_to_least
     monkeypatch.setattr(components, "_larger_to_least", lambda edges: (passes.append(1), step(edges))[1])
