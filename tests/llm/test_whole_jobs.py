@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from test_pairs_and_mix import brute
@@ -98,6 +100,42 @@ def test_all_rounds_together_learn_from_every_window(spark, monkeypatch):
         assert sum(scored.values()) == want
 
 
+def test_training_learns_every_subword_and_end(make_docs, monkeypatch):
+    """Words seen again and again are targets as well, and so are the ends;
+    texts that are held out are none."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(i, "the cat sat on the mat and the cat sat " * (i % 9)) for i in range(30)] + [(None, None), (31, "unheard-of")]
+    with open(ranks, encoding="ascii") as file:
+        encoding = lm._encoding(file.read())
+    want = 0
+    for i, text in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            want += 1 + sum(len(encoding.encode_ordinary(" " + w)) for w in (text or "").split())
+    found = []
+
+    def train(streams, theta, rounds):
+        lists = [bytes(r.classes) for r in streams.filter("not held_out").collect()]
+        examples = next(lm._blocks(iter([pa.RecordBatch.from_pydict({"classes": lists})])))
+        found.append(int(sum(examples.batch(examples.which[i : i + 7])[3].sum() for i in range(0, len(examples.which), 7))))
+        held = [bytes(r.classes) for r in streams.filter("held_out").collect()]
+        found.append(sum(max(x) >= lm.LEARNED for x in held))
+        return theta
+
+    monkeypatch.setattr(lm, "_train", train)
+    assert lm.score_documents(make_docs(rows), ranks).count() == len(rows)
+    assert found == [want, 0]
+
+
+def test_gradients_of_windows_and_of_places_agree():
+    rng = np.random.default_rng(6)
+    theta = attention.initial(rng.random(attention.CLASSES) * 100) + rng.normal(0, 0.1, attention.SIZE).astype(np.float32)
+    bounds = np.array([0, 1, 20, 24, 90, 500])
+    windows = attention.Windows(rng.integers(0, attention.CLASSES, 500).astype(np.uint8), bounds)
+    inputs, valid, targets, scored = windows.rows(np.arange(len(windows.stream)))
+    parts = [f(theta, inputs, valid, targets, scored.astype(np.float32)) for f in (attention._gradient_of_windows, attention._gradient_of_places)]
+    assert np.allclose(*parts, atol=1e-6) and np.abs(parts[0]).max() > 0.01
+
+
 def test_training_only_computes_scored_places(monkeypatch):
     """A batch with one scored place costs one row of attention and logits,
     and has the same gradient as alone."""
